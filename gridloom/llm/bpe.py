@@ -247,6 +247,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ordinary text. The vocabulary, a file of bounded size, is read on the driver and broadcast.
     """
     docs = docs.drop("ids", "n_tokens")
+    columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +257,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 part = batch.slice(a, b - a)
                 ids = coder.encode_batch(t or "" for t in part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in docs.columns), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
-                    names=[*docs.columns, "ids", "n_tokens"],
+                    [*(part.column(c) for c in columns), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
+                    names=[*columns, "ids", "n_tokens"],
                 )
 
     schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "ids binary, n_tokens long"
@@ -268,6 +269,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that its packed ``ids`` stand for; null ids stand
     for none."""
     encoded = encoded.drop("decoded")
+    columns = encoded.columns
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +278,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             for a, b in _groups([(n or 0) // 4 for n in pc.binary_length(batch.column("ids")).to_pylist()], _BATCH_IDS):
                 part = batch.slice(a, b - a)
                 out = coder.decode_batch([i or b"" for i in part.column("ids").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in encoded.columns), pa.array(out, pa.binary())], names=[*encoded.columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out, pa.binary())], names=[*columns, "decoded"])
 
     schema = "".join(f"`{c}` {t}, " for c, t in encoded.dtypes) + "decoded binary"
     return encoded.mapInArrow(run, schema)

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import bpe, chat, langid, lengths, mixing, rules, warc
 from .common import table
 
 
+def vocabulary() -> tuple[str, str]:
+    """Path of the ranks that the token queries use, and the pattern that cuts pretokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts consist of control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -21,9 +28,43 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_conversations(rows.unionByName(hard)))
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op5_source_mixing)}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.context_limits(lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents"), *vocabulary())))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
+    return bpe.token_digests(bpe.bpe_decode(encoded.drop("text"), *vocabulary()))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_warc_zstd,
+        op3_quality_rules,
+        op4_language_id,
+        op5_source_mixing,
+        op6_token_counts,
+        op7_byte_bpe,
+    )
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lengths, mixing, rules, warc
+from . import bpe, chat, langid, lengths, mixing, ngram_join, rules, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.bpe_decode(encoded.drop("text"), *vocabulary()))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,5 +70,6 @@ QUERIES = {
         op5_source_mixing,
         op6_token_counts,
         op7_byte_bpe,
+        op8_ngram_jaccard,
     )
 }

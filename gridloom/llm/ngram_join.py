@@ -456,7 +456,12 @@ def similar_documents(docs: DataFrame, sim: Similarity | None = None) -> DataFra
 def one_of_each(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
     """The rows of ``docs`` that stand for their component: the one with its least doc_id (of rows
     that repeat this id, the first by text). Rows with a null doc_id stay."""
-    heads = similar_documents(docs, sim).where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    same = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(heads, F.col("doc_id") == F.col("_head"), "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = written(similar_documents(docs, sim), "partenum-components")
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    size = others.count()
+    kept = docs.join(F.broadcast(others) if size <= SMALL else others, "doc_id", "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    first = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(first)

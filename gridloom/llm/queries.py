@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lengths, mixing, ngram_join, rules, warc
+from . import bpe, chat, langid, lengths, mixing, ngram_join, rules, suffixes, vectors, warc
 from .common import table
 
 
@@ -60,6 +60,15 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,5 +80,7 @@ QUERIES = {
         op6_token_counts,
         op7_byte_bpe,
         op8_ngram_jaccard,
+        op9_embedding_near_dup,
+        op10_suffix_array_dedup,
     )
 }

@@ -75,11 +75,13 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row's counts go beside its first column, which is ``text`` or a struct that has it."""
     for batch in batches:
         # a slice at a time, so that the working arrays stay small
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            texts = pa.array(part.column("text").fill_null(""), pa.large_string()).cast(pa.large_binary())
+            own = part.column("text") if "text" in part.schema.names else part.column(0).field("text")
+            texts = pa.array(own.fill_null(""), pa.large_string()).cast(pa.large_binary())
             texts = pa.concat_arrays([texts])
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             raw = texts.buffers()[2]
@@ -99,7 +101,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 "n_lines": lines,
                 "n_distinct_words": distinct,
             }
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(columns[c]) for c in COUNTS)], names=["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(columns[c]) for c in COUNTS)], names=[part.schema.names[0], *COUNTS])
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
@@ -245,6 +247,12 @@ def calibrate(scored: DataFrame, labels: DataFrame, loss: float = 0.001) -> floa
     return max(least if least < 2.0 else 0.0, (r["step"] + 1) / STEPS)
 
 
+def _judge(docs: DataFrame, labels: DataFrame, loss: float) -> tuple[DataFrame, Forest, float]:
+    stats = written(rule_statistics(docs), "rule-stats")
+    forest = fit_forest(stats)
+    return stats, forest, calibrate(with_scores(stats, forest), labels, loss)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, loss: float = 0.001) -> DataFrame:
     """``rule_statistics`` with ``base_failed``, ``score`` and ``kept``.
 
@@ -254,7 +262,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, loss: float = 0.001) -> Da
     also repeated ones; null and empty texts fail the base rules. Empty tables give empty
     results, and without good labels the base rules alone decide.
     """
-    stats = written(rule_statistics(docs), "rule-stats")
-    scored = with_scores(stats, fit_forest(stats))
-    threshold = calibrate(scored, labels, loss)
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold))
+    stats, forest, threshold = _judge(docs, labels, loss)
+    return with_scores(stats, forest).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, loss: float = 0.001) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps. The counts are taken again beside whole
+    rows, which costs less than a shuffle of the texts to join the verdicts."""
+    _, forest, threshold = _judge(docs, labels, loss)
+    rows = docs.select(F.struct("*").alias("_row"))
+    kind = dict(rows.dtypes)["_row"]
+    counted = rows.mapInArrow(_count_batches, f"_row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return with_scores(counted, forest).where(~base_failed() & (F.col("score") < threshold)).select("_row.*")

@@ -11,7 +11,7 @@ they share a signature. Sets that share one are compared exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -40,7 +40,7 @@ CUT_K = 40
 STAR, BLOCK = 500, 1024
 #: Counters of a sketch.
 COUNTERS = 512
-#: Broadcast at most so many ids (8 to 40 bytes each); more are joined by a shuffle.
+#: Broadcast at most so many ids (16 bytes each); more are joined by a shuffle.
 SMALL = 400_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -300,15 +300,35 @@ def candidate_stars(docs: DataFrame, sim: Similarity) -> DataFrame:
     return written(found.where("sig is null").select("a", "b").union(stars).distinct(), "partenum-stars")
 
 
-def _with_texts(docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """Join ``roles`` (doc_id, ...) with the documents' texts; few roles are broadcast."""
-    roles = written(roles, "roles")
-    size = roles.count()
-    return docs.select("doc_id", "text").join(F.broadcast(roles) if size <= SMALL else roles, "doc_id")
+def _packed(docs: DataFrame, classes: DataFrame, wanted: DataFrame, pack: Callable[[np.ndarray], bytes], width: int) -> DataFrame:
+    """``cls``, ``data``: what ``pack`` makes of the sets that ``wanted`` (cls) names. Their ids are
+    broadcast where they are few, so that texts stay where they are."""
+    ids = written(wanted.select("cls").distinct().join(classes, "cls").select("doc_id", "cls"), "partenum-wanted")
+    few = ids.count() <= SMALL
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, bytes]] = []
+            for text, cls in zip(_texts(batch), batch.column("cls").to_pylist(), strict=True):
+                own = shingle_set(text, width)
+                if len(own) and set_id(own) == cls:  # else another text under the same id
+                    out.append((cls, pack(own)))
+                if len(out) >= 500:
+                    yield _batch(out)
+                    out = []
+            if out:
+                yield _batch(out)
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of ``pairs`` (a, b: cls) that are similar, by comparing whole sets.
+    def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        cls, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=["cls", "data"])
+
+    # a repeated row gives its set again; one is enough
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(run, "cls long, data binary").groupBy("cls").agg(F.first("data").alias("data"))
+
+
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, packed: Callable[[np.ndarray], bytes], similar: Callable[[bytes, bytes], bool], width: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: cls) of which ``similar`` holds for what ``packed`` makes of their sets.
 
     ``classes``: cls, doc_id (a document that has the set). A centre with many members is dealt
     to several tasks, with ``STAR`` members each.
@@ -316,59 +336,81 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sim: Similar
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("n"))
     members = pairs.join(many, "a").select(F.col("b").alias("cls"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("part"), F.lit(1).alias("kind"))
     centres = many.select(F.col("a").alias("cls"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(0).alias("kind"))
-    roles = members.union(centres).groupBy("cls").agg(F.collect_list(F.struct("centre", "part", "kind")).alias("roles")).join(classes, "cls").select("doc_id", "cls", "roles")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["centre", "part", "kind", "cls", "members"]
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            size = 0
-            for text, cls, roles in zip(_texts(batch), batch.column("cls").to_pylist(), batch.column("roles").to_pylist(), strict=True):
-                own = shingle_set(text, sim.width)
-                if not len(own) or set_id(own) != cls:
-                    continue  # another text under the same id
-                data = own.tobytes()
-                for r in roles:
-                    for column, value in zip(out, (r["centre"], r["part"], r["kind"], cls, data), strict=True):
-                        column.append(value)
-                    size += len(data)
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
-                        out, size = [[] for _ in names], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
-
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    roles = members.union(centres)
+    names = ["centre", "part", "kind", "cls", "data"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, at = np.zeros(0, np.uint64), None
+        centre, at = b"", None
         for batch in batches:
             a, b = [], []
-            keys = zip(batch.column("centre").to_pylist(), batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("cls").to_pylist(), strict=True)
-            for i, (who, part, kind, cls) in enumerate(keys):
-                own = np.frombuffer(batch.column("members")[i].as_buffer(), np.uint64)
+            for who, part, kind, cls, data in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if kind == 0:
-                    centre, at = own.copy(), (who, part)
-                elif at == (who, part):
-                    least, most = sorted((len(own), len(centre)))
-                    if sim.reaches(least, most):
-                        both = len(np.intersect1d(own, centre, assume_unique=True))
-                        if sim.reaches(both, least + most - both):
-                            a.append(who)
-                            b.append(cls)
+                    centre, at = data, (who, part)
+                elif at == (who, part) and similar(centre, data):
+                    a.append(who)
+                    b.append(cls)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    shown = _with_texts(docs, roles).mapInArrow(sets, "centre long, part int, kind int, cls long, members binary")
-    dealt = shown.repartition("centre", "part").sortWithinPartitions("centre", "part", "kind")
+    sent = roles.join(_packed(docs, classes, roles, packed, width), "cls").select(*names)
+    dealt = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "kind")
     return written(dealt.mapInArrow(compare, "a long, b long"), "partenum-links")
 
 
+def folded_sketch(members: np.ndarray) -> bytes:
+    """Members counted by hash range, four in a range on average; the first byte is the logarithm of
+    the number of ranges. Two neighbouring counts add up to that of a range twice as wide."""
+    bits = max(4, math.ceil(math.log2(max(1, len(members) / 4))))
+    counts = np.bincount((_mix(members ^ _M1) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return bytes([bits]) + np.minimum(counts, 65535).astype("<u2" if counts.max() > 255 else "u1").tobytes()
+
+
+def _counts(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, "u1" if len(sketch) == 1 + (1 << sketch[0]) else "<u2", offset=1).astype(np.int32)
+
+
+def may_reach(sim: Similarity) -> Callable[[bytes, bytes], bool]:
+    """Whether two sketches leave it open that their sets are similar: counts differ by no more
+    than the sets do."""
+
+    def test(a: bytes, b: bytes) -> bool:
+        x, y = _counts(a), _counts(b)
+        n = min(int(x.sum()), int(y.sum()))
+        size = min(len(x), len(y))
+        x, y = x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)
+        return int(np.abs(x - y).sum()) <= sim.tolerance(n)
+
+    return test
+
+
+def does_reach(sim: Similarity) -> Callable[[bytes, bytes], bool]:
+    def test(a: bytes, b: bytes) -> bool:
+        least, most = sorted((len(a) // 8, len(b) // 8))
+        if not sim.reaches(least, most):
+            return False
+        both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+        return sim.reaches(both, least + most - both)
+
+    return test
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of ``pairs`` (a, b: cls) that are similar: sketches, a sixteenth as large as the sets, rule
+    most others out, and what they leave is decided by the whole sets."""
+    open_ = _compared(docs, classes, pairs, folded_sketch, may_reach(sim), sim.width)
+    return _compared(docs, classes, open_, lambda members: members.tobytes(), does_reach(sim), sim.width)
+
+
 def _sketch(members: np.ndarray) -> bytes:
-    """Members counted by hash range: the sum of two sketches' differences is at most the number
-    of members in which the sets differ, also where counters are full."""
+    """The number of members, and members counted by hash range: the sum of two sketches' differences
+    is at most the number of members in which the sets differ, also where counters are full."""
     counts = np.bincount((_mix(members ^ _M1) >> np.uint64(64 - 9)).astype(np.int64), minlength=COUNTERS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return len(members).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, 8 + COUNTERS)
+    return rows[:, :8].copy().view(np.int64).ravel(), rows[:, 8:].astype(np.int16)
 
 
 def missing_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, sim: Similarity) -> DataFrame:
@@ -393,25 +435,12 @@ def missing_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, links:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
     right = where.select("cls", "family", "part", F.lit(1).alias("side"), place("columns"), every("rows"))
     left = where.where("part <> top").select("cls", "family", "part", F.lit(0).alias("side"), every("columns"), place("rows")).select(*right.columns)
-    roles = left.union(right).groupBy("cls").agg(F.collect_list(F.struct("family", "part", "side", "column", "row")).alias("roles")).join(classes, "cls").select("doc_id", "cls", "roles")
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, cls, roles in zip(_texts(batch), batch.column("cls").to_pylist(), batch.column("roles").to_pylist(), strict=True):
-                own = shingle_set(text, sim.width)
-                if len(own) and set_id(own) == cls:
-                    sketch = _sketch(own)
-                    rows += [r | {"cls": cls, "n": len(own), "sketch": sketch} for r in roles]
-            for at in range(0, len(rows), 4000):
-                yield pa.RecordBatch.from_pylist(rows[at : at + 4000], schema=schema)
-
-    schema = pa.schema([("family", pa.int64()), ("part", pa.int64()), ("side", pa.int32()), ("column", pa.int32()), ("row", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    roles = left.union(right)
 
     def block(rows: pa.Table) -> pa.Table:
         sides = [rows.filter(pc.equal(rows.column("side"), s)) for s in (0, 1)]
         (cls, part, n, sketch), (other, other_part, other_n, others) = (
-            (*(t.column(c).to_numpy() for c in ("cls", "part", "n")), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)) for t in sides
+            (*(t.column(c).to_numpy() for c in ("cls", "part")), *_unpacked(t.column("data").to_pylist())) for t in sides
         )
         a, b = [], []
         for i in range(len(cls)):
@@ -424,7 +453,7 @@ def missing_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, links:
                 b.append(np.maximum(near, cls[i]))
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
-    held = _with_texts(docs, roles).mapInArrow(sketches, "family long, part long, side int, column int, row int, cls long, n long, sketch binary")
+    held = roles.join(_packed(docs, classes, roles, _sketch, sim.width), "cls")
     return written(held.groupBy("family", "column", "row").applyInArrow(block, "a long, b long").distinct(), "partenum-open")
 
 

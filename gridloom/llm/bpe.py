@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker remembers before it forgets all of them.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer pretokens, in bytes, are contracted by the same rule with a heap: a recursive query
 #: writes all of a word's rows again for each merge, which grows with the square of its length.
-LONG_WORD = 400
+LONG_WORD = 100
 #: Bytes of distinct words that go into one recursive query.
-QUERY_BYTES = 400_000
+QUERY_BYTES = 60_000
 
 _ENCODE = """
 WITH RECURSIVE state(step, word, pos, token) AS (
@@ -77,7 +77,7 @@ class DuckBpe:
         pairs = [(self.rank[t[:k]], self.rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
         left, right, merged = (np.array(x, np.int32) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 3
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         self.db.execute("SET preserve_insertion_order = false")
         merges = pa.table({"l": left, "r": right, "merged": merged.astype(np.int64)})
         self.db.register("given", merges)
@@ -225,7 +225,7 @@ def _coder(tokens: list[bytes], pattern: str) -> DuckBpe:
 
 
 #: Bytes of text that a task encodes at once, and ids that it decodes at once.
-_BATCH_BYTES, _BATCH_IDS = 4_000_000, 1_000_000
+_BATCH_BYTES, _BATCH_IDS = 1_000_000, 400_000
 
 
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -239,14 +239,8 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with ``ids`` (packed little-endian unsigned 32-bit integers) and ``n_tokens``;
-    columns of these names are replaced.
-
-    Null and empty texts have no ids. Special tokens aren't recognised: their strings are
-    ordinary text. The vocabulary, a file of bounded size, is read on the driver and broadcast.
-    """
-    docs = docs.drop("ids", "n_tokens")
+def _encoded(docs: DataFrame, path: str, pattern: str, decode: bool) -> DataFrame:
+    docs = docs.drop("ids", "n_tokens", *(["decoded"] if decode else []))
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
@@ -256,15 +250,31 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for a, b in _groups(pc.binary_length(batch.column("text")).fill_null(0).to_pylist(), _BATCH_BYTES):
                 part = batch.slice(a, b - a)
                 ids = coder.encode_batch(t or "" for t in part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
-                    names=[*columns, "ids", "n_tokens"],
-                )
+                added = [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
+                if decode:
+                    added.append(pa.array(coder.decode_batch(ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *added], names=[*columns, "ids", "n_tokens", *(["decoded"] if decode else [])])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "ids binary, n_tokens long"
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "ids binary, n_tokens long" + ", decoded binary" * decode
     return docs.mapInArrow(run, schema)
 
 
+def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with ``ids`` (packed little-endian unsigned 32-bit integers) and ``n_tokens``;
+    columns of these names are replaced.
+
+    Null and empty texts have no ids. Special tokens aren't recognised: their strings are
+    ordinary text. The vocabulary, a file of bounded size, is read on the driver and broadcast.
+    Repeated rows are encoded each; an empty table gives an empty result.
+    """
+    return _encoded(docs, path, pattern, False)
+
+
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``bpe_encode`` with ``decoded``, the bytes that the ids stand for, by one process a task."""
+    return _encoded(docs, path, pattern, True)
+
+
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that its packed ``ids`` stand for; null ids stand
     for none."""

@@ -52,8 +52,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
-    return bpe.token_digests(bpe.bpe_decode(encoded.drop("text"), *vocabulary()))
+    return bpe.token_digests(bpe.bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary()))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 REMEMBERED = 150_000
 #: Longer pretokens, in bytes, are contracted by the same rule with a heap: a recursive query
 #: writes all of a word's rows again for each merge, which grows with the square of its length.
-LONG_WORD = 100
+LONG_WORD = 32
 #: Bytes of distinct words that go into one recursive query.
-QUERY_BYTES = 60_000
+QUERY_BYTES = 300_000
 
 _ENCODE = """
 WITH RECURSIVE state(step, word, pos, token) AS (
@@ -188,8 +188,15 @@ class DuckBpe:
         got = self.db.execute(_DECODE).to_arrow_table()
         self.db.unregister("ids")
         out = [b""] * len(packed)
-        for d, got_pieces in zip(got.column("doc").to_pylist(), got.column("pieces").to_pylist(), strict=True):
-            out[d] = b"".join(got_pieces)
+        # the pieces of a document lie one after the other in the column's buffer
+        for batch in got.to_batches():
+            lists = batch.column("pieces").cast(pa.large_list(pa.large_binary()))
+            ends = np.asarray(lists.offsets)
+            pieces_, flat = lists.values, lists.values.buffers()[2]
+            at = np.frombuffer(pieces_.buffers()[1], np.int64)[pieces_.offset : pieces_.offset + len(pieces_) + 1]
+            data = memoryview(flat) if flat is not None else memoryview(b"")
+            for d, i, j in zip(batch.column("doc").to_pylist(), at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True):
+                out[d] = bytes(data[i:j])
         return out
 
 

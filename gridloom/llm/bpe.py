@@ -22,34 +22,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker remembers before it forgets all of them.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Longer pretokens, in bytes, are contracted by the same rule with a heap: a recursive query
 #: writes all of a word's rows again for each merge, which grows with the square of its length.
 LONG_WORD = 32
 #: Bytes of distinct words that go into one recursive query.
-QUERY_BYTES = 300_000
+QUERY_BYTES = 500_000
 
+#: A row is a token at ``place`` (word * 64 + position of its first byte). Rows lie in the order
+#: of ``place``, so the next row of the same word is the neighbour; ``error`` guards that order.
+#: Words without a pair to contract are put out once, as done, and don't go into the next step.
 _ENCODE = """
-WITH RECURSIVE state(step, word, pos, token) AS (
-  SELECT 0, word, pos, token FROM start
+WITH RECURSIVE state(place, token, done) AS (
+  SELECT place, token, false FROM start
   UNION ALL
-  SELECT step + 1, word, pos, CASE WHEN pos = best % 65536 THEN best // 65536 ELSE token END
-  FROM (
-    SELECT *, min(found) OVER (PARTITION BY word) AS best
-    FROM (
-      SELECT p.step, p.word, p.pos, p.token, p.before, m.merged * 65536 + p.pos AS found
-      FROM (
-        SELECT step, word, pos, token,
-               lead(token) OVER w AS after, lag(pos) OVER w AS before
-        FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-      ) p LEFT JOIN merges m ON m.l = p.token AND m.r = p.after
-    )
+  (WITH near AS (
+    SELECT place, token, place >> 6 AS word, lag(place, 1, -1) OVER () AS before,
+           lead(place) OVER () AS next, lead(token) OVER () AS after
+    FROM state WHERE NOT done
+  ), pairs AS MATERIALIZED (
+    SELECT n.place, n.word, n.token, n.before, m.merged * 64 + (n.place & 63) AS found
+    FROM (SELECT place, word, token, before,
+                 CASE WHEN next <= place THEN error('rows out of order')::INT
+                      WHEN (next >> 6) = word THEN after END AS after FROM near) n
+    LEFT JOIN merges m ON m.l = n.token AND m.r = n.after
+  ), least AS (
+    SELECT word, min(found) AS best FROM pairs WHERE found IS NOT NULL GROUP BY word
   )
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best % 65536
+  SELECT p.place, CASE WHEN (p.place & 63) = (b.best & 63) THEN b.best >> 6 ELSE p.token END, b.best IS NULL
+  FROM pairs p LEFT JOIN least b ON b.word = p.word
+  WHERE b.best IS NULL OR p.before <> p.word * 64 + (b.best & 63))
 )
-SELECT word, token
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last ORDER BY word, pos
+SELECT place, token FROM state WHERE done ORDER BY place
 """
 
 _DECODE = """
@@ -78,8 +82,7 @@ class DuckBpe:
         left, right, merged = (np.array(x, np.int32) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 3
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
-        self.db.execute("SET preserve_insertion_order = false")
-        merges = pa.table({"l": left, "r": right, "merged": merged.astype(np.int64)})
+        merges = pa.table({"l": left, "r": right, "merged": merged})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.register("given", pa.table({"id": np.arange(len(tokens), dtype=np.int32), "piece": pa.array(tokens, pa.binary())}))
@@ -109,14 +112,14 @@ class DuckBpe:
     def _query(self, words: list[bytes], rows: list[int], out: list[bytes]) -> None:
         sizes = np.array([len(words[i]) for i in rows])
         word = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        pos = np.arange(len(word), dtype=np.int64) - first[word]
-        token = self.byte_rank[np.frombuffer(b"".join(words[i] for i in rows), np.uint8)]
-        self.db.register("start", pa.table({"word": word, "pos": pos.astype(np.int32), "token": token.astype(np.int64)}))
+        first = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int32)
+        place = word * 64 + np.arange(len(word), dtype=np.int32) - first[word]
+        token = self.byte_rank[np.frombuffer(b"".join([words[i] for i in rows]), np.uint8)]
+        self.db.register("start", pa.table({"place": place, "token": token}))
         got = self.db.execute(_ENCODE).fetchnumpy()
         self.db.unregister("start")
         ids = np.asarray(got["token"]).astype("<u4")
-        ends = np.cumsum(np.bincount(np.asarray(got["word"]), minlength=len(rows)))
+        ends = np.cumsum(np.bincount(np.asarray(got["place"]) >> 6, minlength=len(rows)))
         data, begin = ids.tobytes(), 0
         for i, end in zip(rows, ends.tolist(), strict=True):
             out[i] = data[4 * begin : 4 * end]

@@ -103,6 +103,25 @@ def test_bpe(docs, empty):
     assert bpe.bpe_round_trip(empty, path, pattern).count() == 0
 
 
+def test_bpe_words_of_one_query():
+    """Random words, ties of equal pairs, a first word without a pair, and lengths about the limit."""
+    import random
+
+    import tiktoken
+
+    path, pattern = vocabulary()
+    ranks = bpe.read_ranks(path)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    chance = random.Random(5)
+    words = [b"\xff\xfe", b"aaaaaaaaaaa", b"ababababab"]
+    for n in [*range(1, bpe.LONG_WORD + 3)] * 40:
+        words.append("".join(chance.choice("aeinrst lo\u00e9\u4e2d\U0001f600") for _ in range(n)).encode()[:n])
+    coder = bpe.DuckBpe(ranks, pattern)
+    got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode_words(words)]
+    assert got == [encoding._core_bpe.encode_single_piece(w) for w in words]
+    assert coder.decode_batch(coder.encode_words(words)) == words
+
+
 def brute_components(rows, width, num, den):
     sets = {}
     for doc, text in rows:

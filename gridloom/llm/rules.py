@@ -1,8 +1,8 @@
 """Quality rules: word statistics of whole texts and an isolation forest on them.
 
 ``rule_statistics`` counts, ``fit_forest`` grows random-split trees on a bounded sample
-of the statistics, ``calibrate`` chooses the threshold from all labelled rows, and
-``quality_rules`` puts them together.
+of the statistics, ``calibrate`` chooses the threshold from all labelled rows of
+both classes, and ``quality_rules`` puts them together.
 """
 
 from __future__ import annotations
@@ -227,24 +227,27 @@ STEPS = 2000
 
 
 def calibrate(scored: DataFrame, labels: DataFrame, loss: float = 0.001) -> float:
-    """The least score at which at most ``loss`` of the labelled good rows (quality 1) would be
-    rejected, from a histogram of all labelled rows that pass the base rules. 2.0, which no
-    score reaches, without good rows."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_d")).distinct()
-    rows = scored.where(~base_failed()).join(good, F.col("doc_id") == F.col("_d"), "left_semi")
-    steps = rows.groupBy(F.floor(F.col("score") * STEPS).cast("int").alias("step")).count().collect()
-    total, over = sum(r["count"] for r in steps), 0
-    if not total:
+    """The threshold of least balanced error, the mean of the shares of good rows (quality 1)
+    rejected and of bad rows (quality 0) kept, from histograms of all labelled rows that pass
+    the base rules; of equal ones the highest. An id with both labels counts in both.
+
+    Without bad rows it is the least score at which at most ``loss`` of the good rows would be
+    rejected. 2.0, which no score reaches, without good rows.
+    """
+    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_d"), F.col("quality").alias("_q")).distinct()
+    rows = scored.where(~base_failed()).join(known, F.col("doc_id") == F.col("_d"))
+    step = F.floor(F.col("score") * STEPS).cast("int").alias("step")
+    counts = np.zeros((2, STEPS + 2), np.int64)
+    for r in rows.groupBy("_q", step).count().collect():
+        counts[r["_q"], r["step"]] = r["count"]
+    # rows of each step and over, which a threshold at the step rejects
+    bad, good = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+    if not good[0]:
         return 2.0
-    least = 2.0
-    for r in sorted(steps, key=lambda r: -r["step"]):
-        over += r["count"]
-        if over > loss * total:
-            break
-        least = r["step"] / STEPS
-    else:
-        return least
-    return max(least if least < 2.0 else 0.0, (r["step"] + 1) / STEPS)
+    if not bad[0]:
+        return int(np.flatnonzero(good <= loss * good[0])[0]) / STEPS
+    error = good * bad[0] + (bad[0] - bad) * good[0]
+    return int(np.flatnonzero(error == error.min())[-1]) / STEPS
 
 
 def _judge(docs: DataFrame, labels: DataFrame, loss: float) -> tuple[DataFrame, Forest, float]:
@@ -257,8 +260,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, loss: float = 0.001) -> Da
     """``rule_statistics`` with ``base_failed``, ``score`` and ``kept``.
 
     A document is kept if it passes the base rules (10 words or more, at most a fifth of them
-    in repeated windows) and its isolation score is below the threshold that ``labels``
-    (doc_id, quality) set; unlabelled and null qualities don't count. Every row gets a verdict,
+    in repeated windows) and its isolation score is below the threshold that both classes of
+    ``labels`` (doc_id, quality) set (``calibrate``); unlabelled and null qualities don't count. Every row gets a verdict,
     also repeated ones; null and empty texts fail the base rules. Empty tables give empty
     results, and without good labels the base rules alone decide.
     """

@@ -68,6 +68,25 @@ def test_rules(spark, docs, empty):
     assert kept.count() == out.kept.sum() and kept.columns == docs.columns
 
 
+def test_rules_by_both_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = rules.quality_rules(docs, labels).where("not base_failed").join(labels, "doc_id").toPandas()
+    bad, good = out[out.quality == 0], out[out.quality == 1]
+    assert len(bad) > 20 and (~bad.kept).mean() > 0.9 and good.kept.mean() > 0.9
+
+
+def test_threshold(spark):
+    def at(scores, labels):
+        rows = [(k, s, 0, 100) for k, s in enumerate(scores)]
+        scored = spark.createDataFrame(rows, "doc_id long, score double, n_repeat_words long, n_words long")
+        return rules.calibrate(scored, spark.createDataFrame(labels, "doc_id long, quality int"), 0.25)
+
+    scores = [0.1, 0.2, 0.3, 0.6, 0.5, 0.7, 0.8]
+    good, bad = [(k, 1) for k in range(4)], [(4, 0), (5, 0), (5, 0), (6, 0), (None, 0), (0, None)]
+    assert at(scores, good + bad) == 0.5  # a good row goes, which costs less than a bad one
+    assert at(scores, good) == 601 / 2000 and at(scores, bad) == 2.0
+
+
 def test_language(spark, docs, empty):
     out = langid.language_id(docs).toPandas()
     lang = {r.doc_id: r.lang for r in docs.collect()}

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import Grown, written
 from ..values import CELL_TYPE, CYCLE, Value, as_cell, cell
 
 CELLS = f"sheet string, row int, col int, v {CELL_TYPE}"
@@ -154,25 +155,33 @@ def _reads(one: Template, other: Template) -> bool:
     return False
 
 
-def levels(templates: list[Template]) -> tuple[list[list[Template]], list[Template]]:
-    """Templates in waves, each of which reads only earlier ones; and those on or behind a cycle."""
-    waiting, waves = list(templates), []
+def levels(templates: list[Template]) -> list[tuple[list[Template], bool]]:
+    """Templates in groups, each of which reads only earlier ones and, where it says so, itself: the
+    least sets of templates that read each other or themselves. Whether their cells do, ``recalculated``
+    sees."""
+    waiting, out = list(templates), []
     while waiting:
         free = [t for t in waiting if not any(_reads(t, o) for o in waiting)]
-        if not free:
-            return waves, waiting
-        waves.append(free)
-        waiting = [t for t in waiting if t not in free]
-    return waves, []
+        if free:
+            out.append((free, False))
+        else:
+            n = len(waiting)
+            reach = [{j for j in range(n) if _reads(waiting[i], waiting[j])} for i in range(n)]
+            for k in range(n):
+                for r in reach:
+                    if k in r:
+                        r |= reach[k]
+            # the set that reaches fewest others reaches nothing but itself
+            free = [waiting[j] for j in sorted(min(reach, key=len))]
+            out.append((free, True))
+        waiting = [t for t in waiting if not any(t is f for f in free)]
+    return out
 
 
-def computed(cells: DataFrame, t: Template) -> DataFrame:
-    """The target cells of a template: one equi-join for each cell it reads, one aggregate of a
-    single row for each range."""
-    spark = cells.sparkSession
-    out = targets(spark, t)
-    values = {}
-    for name, ref in t.inputs.items():
+def _with_inputs(cells: DataFrame, t: Template, out: DataFrame, inputs: dict[str, Cell | Range]) -> DataFrame:
+    """Target cells ``out`` beside the values of ``inputs``: one equi-join for each cell, one aggregate
+    of a single row for each range."""
+    for name, ref in inputs.items():
         source = cells.where(F.col("sheet") == (ref.sheet or t.sheet))
         if isinstance(ref, Range):
             total = area(cells, ref.sheet or t.sheet, ref.r1, ref.c1, ref.r2, ref.c2).agg(as_cell(ref.total(cell("v"))).alias(f"_{name}"))
@@ -183,24 +192,144 @@ def computed(cells: DataFrame, t: Template) -> DataFrame:
         else:
             moved = source.select((F.col("row") - ref.row).alias("row"), (F.col("col") - ref.col).alias("col"), F.col("v").alias(f"_{name}"))
             out = out.join(moved, ["row", "col"], "left")
-        values[name] = cell(F.coalesce(F.col(f"_{name}"), F.expr(_EMPTY)))
+    return out
+
+
+def computed(cells: DataFrame, t: Template, out: DataFrame | None = None) -> DataFrame:
+    """The target cells of a template, or those of them in ``out``."""
+    out = _with_inputs(cells, t, targets(cells.sparkSession, t) if out is None else out, t.inputs)
+    values = {name: cell(F.coalesce(F.col(f"_{name}"), F.expr(_EMPTY))) for name in t.inputs}
     return out.select("sheet", "row", "col", as_cell(t.build(**values)).alias("v"))
 
 
+_PLACE = ["sheet", "row", "col"]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Rows of a filled-down template that one job computes.
+FILL_ROWS = 1024
+
+
+def _own_cells(t: Template) -> dict[str, Cell]:
+    """The inputs by which a template reads itself, if it only reads cells above it in the same column
+    or only cells below; else nothing."""
+    own = {name: ref for name, ref in t.inputs.items() if _reads(Template(t.sheet, t.rows, t.cols, {name: ref}, t.build), t)}
+    steps = [ref.row if isinstance(ref, Cell) and not ref.fixed and ref.col == 0 else 0 for ref in own.values()]
+    return own if all(s < 0 for s in steps) or all(s > 0 for s in steps) else {}
+
+
+def _filled(cells: DataFrame, t: Template, own: dict[str, Cell]) -> DataFrame:
+    """A template whose cells read those above (or below) them: its other inputs are joined at once,
+    and each column is folded over ``FILL_ROWS`` rows a job, which start from the values before them."""
+    spark, back = cells.sparkSession, max(abs(ref.row) for ref in own.values())
+    down = next(iter(own.values())).row < 0
+    others = [name for name in t.inputs if name not in own]
+    inputs = written(_with_inputs(cells, t, targets(spark, t), {name: t.inputs[name] for name in others}), "inputs")
+    at = (F.col("row") - t.rows[0]) if down else (t.rows[1] - F.col("row"))
+    columns = Grown(cells.where((F.col("sheet") == t.sheet) & F.col("col").between(*t.cols) & at.between(-back, -1)).select(*_PLACE, F.col("v").cast(CELL_TYPE).alias("v")), "filled")
+    made = columns.table()
+
+    def step(done: Column, x: Column) -> Column:
+        values = {name: F.element_at(done, -abs(ref.row)) for name, ref in own.items()} | {name: F.coalesce(x[f"_{name}"], F.expr(_EMPTY)) for name in others}
+        return F.concat(done, F.array(as_cell(t.build(**{name: cell(v) for name, v in values.items()})).cast(CELL_TYPE)))
+
+    empty = F.expr(_EMPTY).cast(CELL_TYPE)
+    for first in range(0, t.rows[1] - t.rows[0] + 1, FILL_ROWS):
+        known = made.where(at.between(first - back, first - 1)).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int"), "v"))).alias("_known"))
+        rows = inputs.where(at.between(first, first + FILL_ROWS - 1)).groupBy("col").agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("_at"), "row", *[f"_{name}" for name in others]))).alias("_rows"))
+        start = F.transform(F.sequence(F.lit(first - back), F.lit(first - 1)), lambda k: F.coalesce(F.col("_known")[k], empty))
+        folded = rows.join(known, "col", "left").select("col", "_rows", F.slice(F.aggregate("_rows", start, step), back + 1, FILL_ROWS).alias("_v"))
+        out = folded.select("col", F.explode(F.arrays_zip(F.col("_rows.row").alias("row"), F.col("_v").alias("v"))).alias("_c"))
+        made = columns.add(out.select(F.lit(t.sheet).alias("sheet"), "_c.row", "col", "_c.v"))
+    return made.where(at >= 0)
+
+
+def _of(t: Template, ref: Cell | Range, places: DataFrame) -> tuple[DataFrame, bool]:
+    """Targets that read some of ``places`` by ``ref``: row and col, or any row where all targets read
+    the same cells."""
+    there = places.where(F.col("sheet") == (ref.sheet or t.sheet))
+    if isinstance(ref, Range):
+        return area(there, ref.sheet or t.sheet, ref.r1, ref.c1, ref.r2, ref.c2).limit(1), False
+    if ref.fixed:
+        return there.where((F.col("row") == ref.row) & (F.col("col") == ref.col)).limit(1), False
+    return there.select((F.col("row") - ref.row).alias("row"), (F.col("col") - ref.col).alias("col")), True
+
+
+def _read_by(t: Template, own: DataFrame, places: DataFrame) -> DataFrame:
+    """Those of ``places`` that cells ``own`` of a template read."""
+    out = places.limit(0)
+    for ref in t.inputs.values():
+        there = places.where(F.col("sheet") == (ref.sheet or t.sheet))
+        if isinstance(ref, Cell) and not ref.fixed:
+            read = there.join(own.select((F.col("row") + ref.row).alias("row"), (F.col("col") + ref.col).alias("col")), ["row", "col"], "left_semi").select(*_PLACE)
+        else:
+            box = Range(ref.row, ref.col, ref.row, ref.col, None) if isinstance(ref, Cell) else ref
+            read = area(there, ref.sheet or t.sheet, box.r1, box.c1, box.r2, box.c2).join(own.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_semi")
+        out = out.unionByName(read)
+    return out.distinct()
+
+
+def _cell_by_cell(cells: DataFrame, group: list[Template], cached: DataFrame | None) -> DataFrame:
+    """Templates that read each other or themselves: wave by wave the cells that wait for no other,
+    written in between. Where all wait, those on cycles (or between two) get their value first."""
+    spark = cells.sparkSession
+    mine = []
+    for i, t in enumerate(group):
+        own = targets(spark, t)
+        for later in group[i + 1 :]:
+            own = own.join(targets(spark, later), _PLACE, "left_anti")
+        mine.append(own)
+    waves = Grown(cells.select(*_PLACE, F.col("v").cast(CELL_TYPE).alias("v")).limit(0), "waves")
+    done = waves.table()
+    count, total = 0, sum(own.count() for own in mine)
+    while count < total:
+        left = [own.join(done, _PLACE, "left_anti") for own in mine]
+        still = _union(left)
+        now, ready = cells.select(*_PLACE, "v").unionByName(done), []
+        for t, own in zip(group, left, strict=True):
+            for ref in t.inputs.values():
+                busy, by_place = _of(t, ref, still)
+                own = own.join(busy, ["row", "col"] if by_place else F.lit(True), "left_anti")
+            ready.append(computed(now, t, own.select(*_PLACE)))
+        done = waves.add(_union(ready))
+        before, count = count, done.count()
+        if count == before:
+            ring, size = [written(own, "ring") for own in left], -1
+            while size != (size := sum(own.count() for own in ring)):
+                every = _union(ring)
+                read = _union([_read_by(t, own, every) for t, own in zip(group, ring, strict=True)]).distinct()
+                ring = [written(own.join(read, _PLACE, "left_semi"), "ring") for own in ring]
+            done = waves.add(_stuck(_union(ring), cached))
+            count = done.count()
+    return done
+
+
+def _stuck(places: DataFrame, cached: DataFrame | None) -> DataFrame:
+    code = F.expr(f"struct('e' as t, cast(null as double) as n, cast(null as string) as s, cast(null as boolean) as b, '{CYCLE}' as e)")
+    if cached is None:
+        return places.withColumn("v", code)
+    return places.join(cached.select(*_PLACE, F.col("v").alias("_v")), _PLACE, "left").select(*_PLACE, F.coalesce("_v", code).alias("v"))
+
+
 def recalculated(cells: DataFrame, templates: list[Template], cached: DataFrame | None = None) -> DataFrame:
-    """``cells`` with all templates computed, wave by wave. Targets on a cycle keep the value that the
-    file had (``cached``) or become #CYCLE!."""
+    """``cells`` with all templates computed, group by group. Cells on a cycle keep the value that the
+    file had (``cached``) or become #CYCLE!; cells that read them are computed from that."""
     spark = cells.sparkSession
-    waves, rest = levels(templates)
-    for wave in waves:
-        made = [computed(cells, t) for t in wave]
+    for group, loops in levels(templates):
+        if loops:
+            base = cells
+            for t in group:
+                base = base.join(targets(spark, t), _PLACE, "left_anti")
+            base = written(base.select(*_PLACE, "v"), "base")
+            own = _own_cells(group[0]) if len(group) == 1 else {}
+            cells = base.unionByName(_filled(base, group[0], own) if own else _cell_by_cell(base, group, cached))
+            continue
+        made = [computed(cells, t) for t in group]
         for new in made:
             cells = cells.join(new.select("sheet", "row", "col"), ["sheet", "row", "col"], "left_anti").select("sheet", "row", "col", "v").unionByName(new)
-    for t in rest:
-        stuck = targets(spark, t)
-        code = F.expr(f"struct('e' as t, cast(null as double) as n, cast(null as string) as s, cast(null as boolean) as b, '{CYCLE}' as e)")
-        known = stuck.withColumn("v", code) if cached is None else stuck.join(cached.select("sheet", "row", "col", F.col("v").alias("_v")), ["sheet", "row", "col"], "left").select("sheet", "row", "col", F.coalesce("_v", code).alias("v"))
-        cells = cells.join(stuck, ["sheet", "row", "col"], "left_anti").unionByName(known)
     return cells
 
 

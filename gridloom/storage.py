@@ -23,3 +23,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A written table that grows by appending; its columns and types stay those of the first rows."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        df.write.mode("append").parquet(self.path)
+        return self.table()

@@ -351,19 +351,48 @@ def edited(cells: DataFrame, templates: list[Template], edits: DataFrame) -> Dat
     return recalculated(with_edits(cells, edits), affected(templates, places))
 
 
-def reached(edge_table: DataFrame, changed: DataFrame, most_steps: int = 1000) -> DataFrame:
-    """Cells (sheet, row, col) that depend on ``changed`` ones, by repeated joins of the edges; for
-    dependency tables that are data rather than templates."""
-    place = ["sheet", "row", "col"]
-    seen = written(changed.select(*place).distinct(), "reached")
-    front = seen
-    for _ in range(most_steps):
+def _jumps(edge_table: DataFrame) -> list[DataFrame]:
+    """For every cell one cell that it reads (a corner of a range, which reads others itself), and those
+    2, 4, 8, ... such steps away, as far as there are any: sheet, row, col and a_sheet, a_row, a_col."""
+    ends = [F.struct(F.col("src_sheet").alias("sheet"), F.col(f"r{k}").alias("row"), F.col(f"c{k}").alias("col")) for k in (1, 2)]
+    cells = edge_table.select(*_PLACE).distinct()
+    corners = edge_table.select(F.struct(*_PLACE).alias("me"), F.explode(F.array(*ends)).alias("a")).where(~F.col("a").eqNullSafe(F.col("me")))
+    targets = cells.select(F.struct(*_PLACE).alias("a"))
+    one = corners.join(targets, "a", "left_semi").groupBy("me").agg(F.max("a").alias("a"))
+    names = [f"a_{c}" for c in _PLACE]
+    flat = [*[F.col(f"me.{c}").alias(c) for c in _PLACE], *[F.col(f"a.{c}").alias(n) for c, n in zip(_PLACE, names, strict=True)]]
+    out = [written(one.select(*flat), "jumps")]
+    # longer than all cells in a row are only rings
+    for _ in range(max(0, out[0].count() - 1).bit_length()):
+        last = out[-1]
+        on = last.select(*[F.col(c).alias(f"a_{c}") for c in _PLACE], *[F.col(n).alias(f"b{n}") for n in names])
+        longer = written(last.join(on, names).select(*_PLACE, *[F.col(f"b{n}").alias(n) for n in names]), "jumps")
+        if longer.isEmpty():
+            break
+        out.append(longer)
+    return out
+
+
+def reached(edge_table: DataFrame, changed: DataFrame) -> DataFrame:
+    """Cells (sheet, row, col) that depend on ``changed`` ones, for dependency tables that are data
+    rather than templates. All edges of the newest cells are joined until there are none; in between,
+    chains are followed by jumps of doubled length, so that a long one takes a few rounds."""
+    edge_table = written(edge_table, "edges")
+    jumps = _jumps(edge_table)
+    seen = front = written(changed.select(*_PLACE).distinct(), "reached")
+    block = lambda c: F.floor(F.col(c) / 1024)
+    boxes = edge_table.withColumn("_block", F.explode(F.sequence(block("r1"), block("r2"))))
+    while not front.isEmpty():
         point = front.select(F.col("sheet").alias("src_sheet"), F.col("row").alias("pr"), F.col("col").alias("pc"))
-        block = lambda c: F.floor(F.col(c) / 1024)
-        boxes = edge_table.withColumn("_block", F.explode(F.sequence(block("r1"), block("r2"))))
         hit = boxes.join(point.withColumn("_block", block("pr")), ["src_sheet", "_block"]).where("pr between r1 and r2 and pc between c1 and c2")
-        front = written(hit.select(*place).distinct().join(seen, place, "left_anti"), "front")
+        front = written(hit.select(*_PLACE).distinct().join(seen, _PLACE, "left_anti"), "front")
         if front.isEmpty():
             break
+        new = front
+        for jump in jumps:
+            there = new.select(*[F.col(c).alias(f"a_{c}") for c in _PLACE])
+            far = jump.join(there, [f"a_{c}" for c in _PLACE], "left_semi").select(*_PLACE)
+            new = written(new.unionByName(far).distinct(), "chain")
+        front = written(new.join(seen, _PLACE, "left_anti"), "front")
         seen = written(seen.unionByName(front), "reached")
-    return seen.join(changed.select(*place), place, "left_anti")
+    return seen.join(changed.select(*_PLACE), _PLACE, "left_anti")

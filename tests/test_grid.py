@@ -61,3 +61,23 @@ def test_only_cells_on_a_cycle_are_stuck(spark):
     assert got == {(1, 1): "#CYCLE!", (1, 2): "#CYCLE!", (1, 4): "#CYCLE!", (2, 1): 7, (2, 2): 6, (2, 3): 5, (2, 4): 14}
     kept = shown(grid.recalculated(cells, [one, b1, b2, d], sheet(spark, {(1, 1): 8, (1, 2): 9})))
     assert kept[1, 1] == 8 and kept[1, 2] == 9 and kept[1, 4] == 16
+
+
+EDGES = "sheet string, row int, col int, src_sheet string, r1 int, c1 int, r2 int, c2 int"
+
+
+def test_reached_over_a_long_chain(spark):
+    edges = [("S", r, 1, "S", r - 1, 1, r - 1, 1) for r in range(2, 1502)] + [("S", r, 2, "S", r, 1, r, 1) for r in range(1400, 1502)]
+    edges += [("T", 1, 1, "S", 1450, 2, 1460, 2), ("T", 2, 1, "T", 1, 1, 1, 1), ("T", 1, 2, "T", 2, 2, 2, 2), ("T", 2, 2, "T", 1, 2, 1, 2)]
+    changed = spark.createDataFrame([("S", 300, 1)], "sheet string, row int, col int")
+    got = [tuple(r) for r in grid.reached(spark.createDataFrame(edges, EDGES), changed).collect()]
+    want = {("S", r, 1) for r in range(301, 1502)} | {("S", r, 2) for r in range(1400, 1502)} | {("T", 1, 1), ("T", 2, 1)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_reached_by_ranges_and_rings(spark):
+    edges = [("S", 1, 2, "S", 1, 1, 9, 1), ("S", 1, 3, "S", 1, 2, 2, 3), ("S", 2, 3, "S", 1, 3, 1, 3), ("S", 1, 2, "S", 2, 3, 2, 3), ("S", 5, 5, "S", 6, 6, 6, 6)]
+    table = spark.createDataFrame(edges, EDGES)
+    for place, want in [(("S", 4, 1), {("S", 1, 2), ("S", 1, 3), ("S", 2, 3)}), (("S", 10, 1), set())]:
+        got = grid.reached(table, spark.createDataFrame([place], "sheet string, row int, col int")).collect()
+        assert {tuple(r) for r in got} == want

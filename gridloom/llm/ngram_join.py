@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -468,7 +468,12 @@ def similar_documents(docs: DataFrame, sim: Similarity | None = None) -> DataFra
     the id only where their own sets link. Extra columns are ignored; an empty table gives an
     empty result. Sets are identified by 64-bit hashes.
     """
-    sim = sim or Similarity()
+    return _in_components(docs, sim or Similarity()).select("doc_id", "n_shingles", "component_id")
+
+
+def _in_components(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """``similar_documents`` with ``cls`` and ``component``, the least class of a row's component; both
+    are null for empty sets."""
     rows = written(shingle_classes(docs, sim), "shingles")
     classes = written(rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
     stars = candidate_stars(docs, sim)
@@ -478,19 +483,36 @@ def similar_documents(docs: DataFrame, sim: Similarity | None = None) -> DataFra
         links = links.union(verified(docs, classes, more, sim))
     named = classes.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "component").select("cls", "component_id")
-    return rows.join(found, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    found = named.join(least, "component").select("cls", "component", "component_id")
+    return rows.join(found, "cls", "left").select("doc_id", "n_shingles", "cls", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with its least doc_id (of rows
-    that repeat this id, the first by text). Rows with a null doc_id stay."""
-    found = written(similar_documents(docs, sim), "partenum-components")
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    size = others.count()
-    kept = docs.join(F.broadcast(others) if size <= SMALL else others, "doc_id", "left_anti")
+    """One row of each component of ``docs``: one with its least doc_id (where several rows have this
+    id, the first by text). Rows that share a doc_id are judged each by its own set. Rows with a null
+    doc_id or an empty set stay."""
+    sim = sim or Similarity()
+    found = written(_in_components(docs, sim), "partenum-components")
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    if repeated.isEmpty():
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    any_repeated = not repeated.isEmpty()
+    if any_repeated:
+        repeated = written(repeated, "repeated-ids")
+        others = others.union(repeated).distinct()
+    kept = docs.join(F.broadcast(others) if others.count() <= SMALL else others, "doc_id", "left_anti")
+    if not any_repeated:
         return kept
-    first = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            sets = [shingle_set(t.as_py() or b"", sim.width) for t in rows.field("text").cast(pa.large_string()).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([rows, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["_row", "cls"])
+
+    rows = docs.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"))
+    rows = written(rows.mapInArrow(run, f"_row {dict(rows.dtypes)['_row']}, cls long"), "repeated-rows")
+    least = found.where("doc_id = component_id and cls is not null").select("doc_id", "cls", "component").distinct()
+    first = rows.withColumn("doc_id", F.col("_row.doc_id")).join(least, ["doc_id", "cls"]).groupBy("component").agg(F.min_by("_row", F.col("_row.text")).alias("_row"))
+    for part in (rows.where("cls is null"), first):
+        kept = kept.unionByName(part.select("_row.*"))
+    return kept

@@ -173,6 +173,13 @@ def test_ngram_join(spark, docs, empty, width, num):
     assert ngram_join.similar_documents(empty).count() == 0
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (0, b), (1, b), (1, c), (1, c), (3, d), (3, d), (3, None), (1, ""), (None, a), (4, "four")]
+    got = ngram_join.one_of_each(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC), ngram_join.Similarity(num=80, den=100, width=5))
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, a), (0, b), (1, c), (3, d), (3, None), (1, ""), (None, a), (4, "four")])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((30, 16))

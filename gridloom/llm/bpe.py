@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -21,15 +21,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker remembers before it forgets all of them.
-REMEMBERED = 400_000
-#: Longer pretokens, in bytes, are contracted by the same rule with a heap: a recursive query
-#: writes all of a word's rows again for each merge, which grows with the square of its length.
-LONG_WORD = 32
-#: Bytes of distinct words that go into one recursive query.
-QUERY_BYTES = 500_000
-
-#: A row is a token at ``place`` (word * 64 + position of its first byte). Rows lie in the order
+from .common import columns_of
+
+#: Pieces whose ids a worker remembers; then it forgets those that it has not met since it had
+#: half as many.
+REMEMBERED = 250_000
+#: Bits of a byte's position in its word; words of up to 2^14 bytes go through the recursive query.
+#: It writes a word's rows again for each merge, so its time grows with the square of the length:
+#: 4.8 s for a random word of 10,000 bytes, and minutes from 100,000. Longer words are contracted
+#: by the same rule with a heap.
+PLACE_BITS = 20
+LONG_WORD = 1 << 14
+#: Bytes of distinct words that go into one recursive query, and ids that one query decodes.
+QUERY_BYTES, QUERY_IDS = 250_000, 250_000
+
+#: A row is a token at ``place`` (word * 2^20 + position of its first byte). Rows lie in the order
 #: of ``place``, so the next row of the same word is the neighbour; ``error`` guards that order.
 #: Words without a pair to contract are put out once, as done, and don't go into the next step.
 _ENCODE = """
@@ -37,28 +43,29 @@ WITH RECURSIVE state(place, token, done) AS (
   SELECT place, token, false FROM start
   UNION ALL
   (WITH near AS (
-    SELECT place, token, place >> 6 AS word, lag(place, 1, -1) OVER () AS before,
+    SELECT place, token, place >> 20 AS word, lag(place, 1, -1) OVER () AS before,
            lead(place) OVER () AS next, lead(token) OVER () AS after
     FROM state WHERE NOT done
   ), pairs AS MATERIALIZED (
-    SELECT n.place, n.word, n.token, n.before, m.merged * 64 + (n.place & 63) AS found
+    SELECT n.place, n.word, n.token, n.before, m.merged::BIGINT * 1048576 + (n.place & 1048575) AS found
     FROM (SELECT place, word, token, before,
                  CASE WHEN next <= place THEN error('rows out of order')::INT
-                      WHEN (next >> 6) = word THEN after END AS after FROM near) n
+                      WHEN (next >> 20) = word THEN after END AS after FROM near) n
     LEFT JOIN merges m ON m.l = n.token AND m.r = n.after
   ), least AS (
     SELECT word, min(found) AS best FROM pairs WHERE found IS NOT NULL GROUP BY word
   )
-  SELECT p.place, CASE WHEN (p.place & 63) = (b.best & 63) THEN b.best >> 6 ELSE p.token END, b.best IS NULL
+  SELECT p.place, CASE WHEN (p.place & 1048575) = (b.best & 1048575) THEN (b.best >> 20)::INT ELSE p.token END, b.best IS NULL
   FROM pairs p LEFT JOIN least b ON b.word = p.word
-  WHERE b.best IS NULL OR p.before <> p.word * 64 + (b.best & 63))
+  WHERE b.best IS NULL OR p.before <> (p.word << 20) + (b.best & 1048575))
 )
 SELECT place, token FROM state WHERE done ORDER BY place
 """
 
+#: Pieces are held with a character of the same number for each byte.
 _DECODE = """
-SELECT doc, list(piece ORDER BY pos) AS pieces
-FROM ids JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
+SELECT text, string_agg(piece, '') AS piece
+FROM (SELECT * FROM ids JOIN vocabulary USING (id) ORDER BY pos) GROUP BY text
 """
 
 
@@ -81,14 +88,15 @@ class DuckBpe:
         pairs = [(self.rank[t[:k]], self.rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
         left, right, merged = (np.array(x, np.int32) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 3
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "100MB"})
         merges = pa.table({"l": left, "r": right, "merged": merged})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.register("given", pa.table({"id": np.arange(len(tokens), dtype=np.int32), "piece": pa.array(tokens, pa.binary())}))
+        self.db.register("given", pa.table({"id": np.arange(len(tokens), dtype=np.int32), "piece": [t.decode("latin-1") for t in tokens]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word on its own, as little-endian unsigned 32-bit integers."""
@@ -111,15 +119,15 @@ class DuckBpe:
 
     def _query(self, words: list[bytes], rows: list[int], out: list[bytes]) -> None:
         sizes = np.array([len(words[i]) for i in rows])
-        word = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        first = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int32)
-        place = word * 64 + np.arange(len(word), dtype=np.int32) - first[word]
+        word = np.repeat(np.arange(len(rows)), sizes)
+        first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        place = (word << PLACE_BITS) + np.arange(len(word)) - first[word]
         token = self.byte_rank[np.frombuffer(b"".join([words[i] for i in rows]), np.uint8)]
         self.db.register("start", pa.table({"place": place, "token": token}))
         got = self.db.execute(_ENCODE).fetchnumpy()
         self.db.unregister("start")
         ids = np.asarray(got["token"]).astype("<u4")
-        ends = np.cumsum(np.bincount(np.asarray(got["place"]) >> 6, minlength=len(rows)))
+        ends = np.cumsum(np.bincount(np.asarray(got["place"]) >> PLACE_BITS, minlength=len(rows)))
         data, begin = ids.tobytes(), 0
         for i, end in zip(rows, ends.tolist(), strict=True):
             out[i] = data[4 * begin : 4 * end]
@@ -156,54 +164,92 @@ class DuckBpe:
             i = after[i]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of pieces, by their distinct pretokens."""
-        cut = [self.pattern.findall(p) for p in pieces]
+    def _learn(self, keys: list[str]) -> None:
+        """Remember the ids of pieces, named by their keys, by their distinct pretokens."""
+        cut = [self.pattern.findall(k[:-1] if k[-1:] == " " else " " + k) for k in keys]
         words = list({w: None for c in cut for w in c})
         ids = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
-        for p, c in zip(pieces, cut, strict=True):
-            self.known[p] = b"".join([ids[w] for w in c])
+        for k, c in zip(keys, cut, strict=True):
+            self.known[k] = b"".join([ids[w] for w in c])
 
-    def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
-        """Packed ids of each text.
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each of ``texts`` (strings, null: none).
 
         A pretoken never reaches over a space that a character other than white space follows,
-        and never depends on what lies beyond one. So texts are cut there and the pieces,
-        many of which come again, are encoded once.
+        and never depends on what lies beyond one. So texts are cut there and the distinct
+        pieces, many of which come again, are encoded once.
         """
-        cut = [pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in {p: None for c in cut for p in c} if p not in self.known]
+        keys, ends = piece_keys(texts)
+        coded = keys.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = [k for k in distinct if k not in known]
+        known.update({k: older[k] for k in missing if k in older})
+        new = [k for k in missing if k not in older]
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        of_piece = [known[k] for k in distinct]
+        return _joined(of_piece, coded.indices.to_numpy(), ends)
 
     def decode_batch(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of each text from its packed ids; unknown ids raise."""
         sizes = np.array([len(p) // 4 for p in packed])
-        doc = np.repeat(np.arange(len(packed), dtype=np.int32), sizes)
+        text = np.repeat(np.arange(len(packed), dtype=np.int32), sizes)
         ids = np.frombuffer(b"".join(packed), "<u4")
         if len(ids) and int(ids.max()) >= len(self.tokens):
             raise ValueError("an id is not in the vocabulary")
-        self.db.register("ids", pa.table({"doc": doc, "pos": np.arange(len(doc), dtype=np.int64), "id": ids.astype(np.int32)}))
-        got = self.db.execute(_DECODE).to_arrow_table()
-        self.db.unregister("ids")
-        out = [b""] * len(packed)
-        # the pieces of a document lie one after the other in the column's buffer
-        for batch in got.to_batches():
-            lists = batch.column("pieces").cast(pa.large_list(pa.large_binary()))
-            ends = np.asarray(lists.offsets)
-            pieces_, flat = lists.values, lists.values.buffers()[2]
-            at = np.frombuffer(pieces_.buffers()[1], np.int64)[pieces_.offset : pieces_.offset + len(pieces_) + 1]
-            data = memoryview(flat) if flat is not None else memoryview(b"")
-            for d, i, j in zip(batch.column("doc").to_pylist(), at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True):
-                out[d] = bytes(data[i:j])
-        return out
+        out: list[list[bytes]] = [[] for _ in packed]
+        for at in range(0, len(ids), QUERY_IDS):
+            some = slice(at, at + QUERY_IDS)
+            self.db.register("ids", pa.table({"text": text[some], "pos": np.arange(at, at + len(ids[some])), "id": ids[some].astype(np.int32)}))
+            got = self.db.sql(_DECODE).to_arrow_table()
+            self.db.unregister("ids")
+            for i, piece in zip(got.column("text").to_pylist(), got.column("piece").to_pylist(), strict=True):
+                out[i].append(piece.encode("latin-1"))
+        return [b"".join(x) for x in out]
+
+
+def _joined(parts: list[bytes], index: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """``parts`` in the order of ``index``, put together up to each of ``ends``."""
+    out, begin = [], 0
+    for end in ends.tolist():
+        out.append(b"".join([parts[i] for i in index[begin:end].tolist()]))
+        begin = end
+    return out
+
+
+def piece_keys(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Keys of the pieces of all texts, and where each text's end. A key without a space at its
+    end stands for a space and the key, another for all but that space."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    uneven = pc.match_substring_regex(texts, _SPACES).to_numpy(zero_copy_only=False)
+    plain = pc.if_else(pa.array(uneven), pa.scalar("", pa.large_string()), texts)
+    lists = pc.split_pattern(plain, " ")
+    stops = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
+    parts = lists.flatten()
+    first = np.zeros(len(parts), bool)
+    first[stops - np.diff(np.concatenate(([0], stops)))] = True
+    keys = pc.if_else(pa.array(first), pc.binary_join_element_wise(parts, *(pa.scalar(x, pa.large_string()) for x in ("", " "))), parts)
+    if not uneven.any():
+        return keys, stops
+    chunks, ends, total, begin = [], [], 0, 0
+    for i, (odd, stop) in enumerate(zip(uneven.tolist(), stops.tolist(), strict=True)):
+        if odd:
+            own = pa.array([p[1:] if p[:1] == " " and " " not in p[1:] else p + " " for p in pieces(texts[i].as_py())], pa.large_string())
+        else:
+            own = keys.slice(begin, stop - begin)
+        chunks.append(own)
+        total += len(own)
+        ends.append(total)
+        begin = stop
+    return pa.concat_arrays(chunks), np.array(ends)
 
 
 _SPACE_RUN = re.compile(r" \s")
+#: The same for Arrow: white space of one byte, then that beyond ASCII.
+_SPACES = r" [\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def pieces(text: str) -> list[str]:
@@ -235,7 +281,7 @@ def _coder(tokens: list[bytes], pattern: str) -> DuckBpe:
 
 
 #: Bytes of text that a task encodes at once, and ids that it decodes at once.
-_BATCH_BYTES, _BATCH_IDS = 1_000_000, 400_000
+_BATCH_BYTES, _BATCH_IDS = 2_000_000, 500_000
 
 
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -259,13 +305,13 @@ def _encoded(docs: DataFrame, path: str, pattern: str, decode: bool) -> DataFram
         for batch in batches:
             for a, b in _groups(pc.binary_length(batch.column("text")).fill_null(0).to_pylist(), _BATCH_BYTES):
                 part = batch.slice(a, b - a)
-                ids = coder.encode_batch(t or "" for t in part.column("text").to_pylist())
+                ids = coder.encode_batch(part.column("text"))
                 added = [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
                 if decode:
                     added.append(pa.array(coder.decode_batch(ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *added], names=[*columns, "ids", "n_tokens", *(["decoded"] if decode else [])])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "ids binary, n_tokens long" + ", decoded binary" * decode
+    schema = columns_of(docs) + "ids binary, n_tokens long" + ", decoded binary" * decode
     return docs.mapInArrow(run, schema)
 
 
@@ -300,7 +346,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 out = coder.decode_batch([i or b"" for i in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out, pa.binary())], names=[*columns, "decoded"])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in encoded.dtypes) + "decoded binary"
+    schema = columns_of(encoded) + "decoded binary"
     return encoded.mapInArrow(run, schema)
 
 

@@ -48,3 +48,8 @@ def word_count(text) -> F.Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def columns_of(df: DataFrame) -> str:
+    """The columns of ``df`` as the start of a schema, whatever their names."""
+    return "".join("`{}` {}, ".format(c.replace("`", "``"), t) for c, t in df.dtypes)

@@ -36,8 +36,10 @@ WEAK, HOT = 2, 32
 #: Up to this k a group is cut into three parts, of which each two make a signature; beyond it
 #: groups aren't cut any further.
 CUT_K = 40
-#: Members that are compared with one pivot in a task, and rows and columns of a comparison block.
+#: Members that are compared with one centre in a task, and rows and columns of a comparison block.
 STAR, BLOCK = 500, 1024
+#: Word hashes and sets' ids that a worker remembers, and bytes of sets that it puts out at once.
+WORDS_KNOWN, SETS_KNOWN, SET_BYTES = 150_000, 200_000, 4_000_000
 #: Counters of a sketch.
 COUNTERS = 512
 #: Broadcast at most so many ids (16 bytes each); more are joined by a shuffle.
@@ -56,7 +58,7 @@ class _WordHashes(dict):
     """64-bit hashes of the words that a worker has met; forgotten when they are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > WORDS_KNOWN:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -214,7 +216,7 @@ def signature_rows(docs: DataFrame, sim: Similarity) -> DataFrame:
                 cls = set_id(members)
                 if not len(members) or cls in met:
                     continue
-                if len(met) > 1_000_000:
+                if len(met) > SETS_KNOWN:
                     met.clear()
                 met.add(cls)
                 for found, slot in signatures(members, sim):
@@ -284,8 +286,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_stars(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """``a``, ``b``: every two similar sets are connected through stars of sets that share a
-    signature with the star's centre; nothing is compared yet.
+    """``a``, ``b``, ``n``: every two similar sets are connected through stars of sets that share a
+    signature with the star's centre; nothing is compared yet. ``n`` says how often they do.
 
     A set that has fewer hot groups than it has groups to spare is left out of hot signatures:
     it shares another with each set that is similar to it.
@@ -295,78 +297,70 @@ def candidate_stars(docs: DataFrame, sim: Similarity) -> DataFrame:
     hot = found.where("sig is not null").select("sig", F.col("a").alias("cls"), "slot").distinct()
     needy = hot.groupBy("cls", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("slot").bitwiseAND(F.lit((1 << 20) - 1))).drop("n")
     needed = written(hot.join(needy, ["cls", "slot"]).select("sig", "cls"), "partenum-hot")
-    centres = needed.groupBy("sig").agg(F.min("cls").alias("a"))
-    stars = needed.join(centres, "sig").where("a <> cls").select("a", F.col("cls").alias("b"))
-    return written(found.where("sig is null").select("a", "b").union(stars).distinct(), "partenum-stars")
+    # one centre a signature: as few rows as there are hot signatures, so that the many members stay where they are
+    centres = written(needed.groupBy("sig").agg(F.min("cls").alias("a")), "partenum-centres")
+    stars = needed.join(F.broadcast(centres) if centres.count() <= SMALL else centres, "sig").where("a <> cls").select("a", F.col("cls").alias("b"))
+    both = found.where("sig is null").select("a", "b").union(stars)
+    return written(both.groupBy("a", "b").agg(F.count("*").alias("n")), "partenum-stars")
 
 
-def _packed(docs: DataFrame, classes: DataFrame, wanted: DataFrame, pack: Callable[[np.ndarray], bytes], width: int) -> DataFrame:
-    """``cls``, ``data``: what ``pack`` makes of the sets that ``wanted`` (cls) names. Their ids are
+def star_sets(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int) -> DataFrame:
+    """``cls``, ``sketch``, ``data`` (the set) of the sets in ``stars`` (a, b), by one more pass over the
+    texts; ``classes``: cls, doc_id (a document that has the set). The ids of these documents are
     broadcast where they are few, so that texts stay where they are."""
-    ids = written(wanted.select("cls").distinct().join(classes, "cls").select("doc_id", "cls"), "partenum-wanted")
+    members = stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct()
+    ids = written(members.join(classes, "cls").select("doc_id", "cls"), "partenum-wanted")
     few = ids.count() <= SMALL
 
+    def batch_of(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        cls, sketch, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(data, pa.binary())], names=["cls", "sketch", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, bytes, bytes]] = []
+        size = 0
         for batch in batches:
-            out: list[tuple[int, bytes]] = []
             for text, cls in zip(_texts(batch), batch.column("cls").to_pylist(), strict=True):
                 own = shingle_set(text, width)
                 if len(own) and set_id(own) == cls:  # else another text under the same id
-                    out.append((cls, pack(own)))
-                if len(out) >= 500:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
-
-    def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        cls, data = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=["cls", "data"])
-
-    # a repeated row gives its set again; one is enough
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(run, "cls long, data binary").groupBy("cls").agg(F.first("data").alias("data"))
-
-
-def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, packed: Callable[[np.ndarray], bytes], similar: Callable[[bytes, bytes], bool], width: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: cls) of which ``similar`` holds for what ``packed`` makes of their sets.
-
-    ``classes``: cls, doc_id (a document that has the set). A centre with many members is dealt
-    to several tasks, with ``STAR`` members each.
-    """
+                    out.append((cls, _sketch(own), own.tobytes()))
+                    size += own.nbytes + COUNTERS
+                if size > SET_BYTES:
+                    yield batch_of(out)
+                    out, size = [], 0
+        if out:
+            yield batch_of(out)
+        _KNOWN.clear()
+
+    found = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(run, "cls long, sketch binary, data binary")
+    return written(found, "partenum-sets")
+
+
+def _compared(sets: DataFrame, pairs: DataFrame, column: str, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Those of ``pairs`` (a, b: cls) of which ``similar`` holds for their ``column`` of ``sets``. A
+    centre with many members is dealt to several tasks, with ``STAR`` members each."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("n"))
     members = pairs.join(many, "a").select(F.col("b").alias("cls"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("part"), F.lit(1).alias("kind"))
     centres = many.select(F.col("a").alias("cls"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(0).alias("kind"))
-    roles = members.union(centres)
     names = ["centre", "part", "kind", "cls", "data"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, at = b"", None
         for batch in batches:
             a, b = [], []
-            for who, part, kind, cls, data in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for who, part, kind, cls, data in zip(*(batch.column(c).to_pylist() for c in names[:-1]), batch.column("data"), strict=True):
                 if kind == 0:
-                    centre, at = data, (who, part)
-                elif at == (who, part) and similar(centre, data):
+                    centre, at = data.as_py(), (who, part)
+                elif at == (who, part) and similar(centre, data.as_py()):
                     a.append(who)
                     b.append(cls)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sent = roles.join(_packed(docs, classes, roles, packed, width), "cls").select(*names)
+    sent = members.union(centres).join(sets.select("cls", F.col(column).alias("data")), "cls").select(*names)
     dealt = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "kind")
-    return written(dealt.mapInArrow(compare, "a long, b long"), "partenum-links")
-
-
-def folded_sketch(members: np.ndarray) -> bytes:
-    """Members counted by hash range, four in a range on average; the first byte is the logarithm of
-    the number of ranges. Two neighbouring counts add up to that of a range twice as wide."""
-    bits = max(4, math.ceil(math.log2(max(1, len(members) / 4))))
-    counts = np.bincount((_mix(members ^ _M1) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return bytes([bits]) + np.minimum(counts, 65535).astype("<u2" if counts.max() > 255 else "u1").tobytes()
-
-
-def _counts(sketch: bytes) -> np.ndarray:
-    return np.frombuffer(sketch, "u1" if len(sketch) == 1 + (1 << sketch[0]) else "<u2", offset=1).astype(np.int32)
+    # a repeated row gave its set again
+    return written(dealt.mapInArrow(compare, "a long, b long").distinct(), "partenum-links")
 
 
 def may_reach(sim: Similarity) -> Callable[[bytes, bytes], bool]:
@@ -374,11 +368,8 @@ def may_reach(sim: Similarity) -> Callable[[bytes, bytes], bool]:
     than the sets do."""
 
     def test(a: bytes, b: bytes) -> bool:
-        x, y = _counts(a), _counts(b)
-        n = min(int(x.sum()), int(y.sum()))
-        size = min(len(x), len(y))
-        x, y = x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)
-        return int(np.abs(x - y).sum()) <= sim.tolerance(n)
+        (n, m), (x, y) = _unpacked([a, b])
+        return int(np.abs(x - y).sum(dtype=np.int64)) <= sim.tolerance(int(min(n, m)))
 
     return test
 
@@ -394,13 +385,6 @@ def does_reach(sim: Similarity) -> Callable[[bytes, bytes], bool]:
     return test
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of ``pairs`` (a, b: cls) that are similar: sketches, a sixteenth as large as the sets, rule
-    most others out, and what they leave is decided by the whole sets."""
-    open_ = _compared(docs, classes, pairs, folded_sketch, may_reach(sim), sim.width)
-    return _compared(docs, classes, open_, lambda members: members.tobytes(), does_reach(sim), sim.width)
-
-
 def _sketch(members: np.ndarray) -> bytes:
     """The number of members, and members counted by hash range: the sum of two sketches' differences
     is at most the number of members in which the sets differ, also where counters are full."""
@@ -413,48 +397,72 @@ def _unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rows[:, :8].copy().view(np.int64).ravel(), rows[:, 8:].astype(np.int16)
 
 
-def missing_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs that the stars left open: sets that stars connect but links don't, as far as
-    sketches can't rule them out.
+def _within_families(sets: DataFrame, families: DataFrame, links: DataFrame, sim: Similarity, exact: bool) -> DataFrame:
+    """``a``, ``b``: pairs that unite the parts in which ``links`` leave the sets of each family (cls,
+    family): those that sketches can't rule out, or with ``exact`` those that are similar.
 
-    Only sets outside the largest linked part of their star family are held against the rest,
-    block by block; a block is one task's, whatever the size of the family.
+    Sets outside the largest part of their family are held against the rest, block by block; a
+    block is one task's, whatever the size of the family. Within a block a pair is formed only
+    if its sets are not united yet.
     """
-    linked = components(links)
-    family = components(stars).withColumnRenamed("node", "cls").withColumnRenamed("component", "family")
-    nodes = family.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
+    size = BLOCK // 4 if exact else BLOCK
+    nodes = families.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
+    nodes = written(nodes, "partenum-nodes")
     parts = nodes.groupBy("family", "part").agg(F.count("*").alias("n"))
     open_ = (
         parts.groupBy("family")
         .agg(F.sum("n").alias("total"), F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"))
         .where("parts > 1")
-        .select("family", F.col("top.part").alias("top"), F.ceil(F.col("total") / BLOCK).cast("int").alias("columns"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("rows"))
+        .select("family", F.col("top.part").alias("top"), F.ceil(F.col("total") / size).cast("int").alias("columns"), F.ceil((F.col("total") - F.col("top.n")) / size).cast("int").alias("rows"))
     )
     where = nodes.join(open_, "family")
     place = lambda n: F.pmod(F.xxhash64("cls", F.lit(n)), F.col(n)).cast("int").alias(n[:-1])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
     right = where.select("cls", "family", "part", F.lit(1).alias("side"), place("columns"), every("rows"))
     left = where.where("part <> top").select("cls", "family", "part", F.lit(0).alias("side"), every("columns"), place("rows")).select(*right.columns)
-    roles = left.union(right)
+    similar = does_reach(sim)
 
     def block(rows: pa.Table) -> pa.Table:
-        sides = [rows.filter(pc.equal(rows.column("side"), s)) for s in (0, 1)]
-        (cls, part, n, sketch), (other, other_part, other_n, others) = (
-            (*(t.column(c).to_numpy() for c in ("cls", "part")), *_unpacked(t.column("data").to_pylist())) for t in sides
-        )
+        names, united = np.unique(rows.column("part").to_numpy(), return_inverse=True)
+        sides = [pc.equal(rows.column("side"), s) for s in (0, 1)]
+        (own, n, sketch), (other, other_n, others) = ((united[np.asarray(s)], *_unpacked(rows.column("sketch").filter(s).to_pylist())) for s in sides)
+        cls, other_cls = (rows.column("cls").filter(s).to_pylist() for s in sides)
+        data, other_data = (rows.column("data").filter(s) if exact else None for s in sides)
         a, b = [], []
         for i in range(len(cls)):
             least = np.minimum(n[i], other_n)
-            able = np.flatnonzero((other_part != part[i]) & (np.abs(n[i] - other_n) <= sim.tolerance(least)))
-            if len(able):
-                apart = np.abs(others[able] - sketch[i]).sum(axis=1, dtype=np.int64)
-                near = other[able[apart <= sim.tolerance(least[able])]]
-                a.append(np.minimum(near, cls[i]))
-                b.append(np.maximum(near, cls[i]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    held = roles.join(_packed(docs, classes, roles, _sketch, sim.width), "cls")
-    return written(held.groupBy("family", "column", "row").applyInArrow(block, "a long, b long").distinct(), "partenum-open")
+            able = np.flatnonzero((other != own[i]) & (np.abs(n[i] - other_n) <= sim.tolerance(least)))
+            if not len(able):
+                continue
+            apart = np.abs(others[able] - sketch[i]).sum(axis=1, dtype=np.int64)
+            for j in able[apart <= sim.tolerance(least[able])].tolist():
+                if other[j] != own[i] and (not exact or similar(data[i].as_py(), other_data[j].as_py())):
+                    a.append(cls[i])
+                    b.append(other_cls[j])
+                    gone = other[j]
+                    other[other == gone] = own[i]
+                    own[own == gone] = own[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    once = sets.groupBy("cls").agg(*(F.first(c).alias(c) for c in (("sketch", "data") if exact else ("sketch",))))
+    held = left.union(right).join(once, "cls")
+    return written(held.groupBy("family", "column", "row").applyInArrow(block, "a long, b long"), "partenum-united")
+
+
+def similar_pairs(sets: DataFrame, stars: DataFrame, sim: Similarity) -> DataFrame:
+    """``a``, ``b``: similar pairs that connect all sets that similar ones connect.
+
+    Of the candidate stars (a, b, n) each set is compared with the centre with which it has most
+    signatures in common. What stays apart in a family of stars is held together by sketches,
+    and the families that these leave are compared in full, but for sets that are united.
+    """
+    first = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
+    links = _compared(sets, _compared(sets, first, "sketch", may_reach(sim)), "data", does_reach(sim))
+    family = lambda edges: components(edges).withColumnRenamed("node", "cls").withColumnRenamed("component", "family")
+    open_ = _within_families(sets, family(stars), links, sim, False)
+    if open_.isEmpty():
+        return links
+    return links.union(_within_families(sets, family(links.union(open_)), links, sim, True))
 
 
 def similar_documents(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
@@ -477,10 +485,7 @@ def _in_components(docs: DataFrame, sim: Similarity) -> DataFrame:
     rows = written(shingle_classes(docs, sim), "shingles")
     classes = written(rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
     stars = candidate_stars(docs, sim)
-    links = verified(docs, classes, stars, sim)
-    more = missing_pairs(docs, classes, stars, links, sim)
-    if not more.isEmpty():
-        links = links.union(verified(docs, classes, more, sim))
+    links = similar_pairs(star_sets(docs, classes, stars, sim.width), stars, sim)
     named = classes.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "component").select("cls", "component", "component_id")

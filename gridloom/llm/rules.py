@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns_of, written
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -198,13 +198,14 @@ def grow_forest(rows: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
 
 
 def fit_forest(stats: DataFrame, trees: int = 128, sample: int = 256, fit_rows: int = 20_000, seed: int = 7) -> Forest:
-    """Fit on at most about ``fit_rows`` rows of ``stats`` that pass the base rules, chosen by a
-    hash of their id: the sample is the same on every run and doesn't grow with the table."""
+    """Fit on about ``fit_rows`` rows of ``stats`` that pass the base rules, twice as many at most,
+    chosen by a hash of their id: the sample is the same on every run and doesn't grow with the table."""
     good = stats.where(~base_failed())
     n = good.count()
     keep = int(min(1.0, fit_rows / max(n, 1)) * 1_000_000)
-    some = good.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < keep).limit(2 * fit_rows)
-    rows = some.select(*features()).toPandas().to_numpy(float).reshape(-1, len(FEATURES))
+    some = good.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < keep)
+    # rows that repeat an id have one hash and could be many
+    rows = some.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), *COUNTS).limit(2 * fit_rows).select(*features()).toPandas().to_numpy(float).reshape(-1, len(FEATURES))
     rows = rows[np.lexsort(rows.T)]  # whatever order the rows came in
     return grow_forest(rows, trees, sample, seed)
 
@@ -218,7 +219,7 @@ def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(forest.score(x))], names=[*kept, "score"])
 
     kept = stats.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in stats.dtypes) + ", score double"
+    schema = columns_of(stats) + "score double"
     return stats.select("*", *features()).mapInArrow(score, schema)
 
 

@@ -3,35 +3,43 @@
 The arrays hold sampled suffixes: those that start at an anchor, the position of the least
 fingerprint within some window of ``length`` bytes. Two equal windows have the same anchor at
 the same place, so a passage of ``length`` bytes that occurs twice is found at an anchor that
-both occurrences have. An array is ordered by the fingerprint of its suffixes' first bytes.
+both occurrences have. An array is in the order of the names of its suffixes' first bytes, a
+64-bit fingerprint, so that suffixes that begin alike lie together.
 
 A new batch of documents gets an array of its own. It is merge-scanned against itself and every
 existing level for suffixes that begin alike; then levels of equal size are merged, so that a
-corpus of n batches has at most log2(n) + 1 levels. What the scans found is verified on the
-text around the anchors: every window there is compared by a 64-bit hash of all its bytes.
+corpus of n batches has at most log2(n) + 1 levels. The family is a folder that outlives a run.
+What the scans found is verified on the text around the anchors: every window there is compared
+by a 64-bit hash of all its bytes, with the others of its anchor's name. At 30 GB that are about
+10^10 windows with up to some thousands each, so one false match has odds of about 10^-6.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns_of, fresh_path, written
 
 #: Bytes that are hashed at once; longer texts are cut so that each window lies in one piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _POSITION = np.uint64((1 << 22) - 1)
 #: Documents whose windows at one anchor are compared in a task; more are dealt to several.
-GROUP = 2000
-#: Segments in a task of the verification, and rows that may be broadcast (about 60 bytes each).
-TASK_SEGMENTS, SMALL = 10_000, 200_000
+GROUP = 1000
+#: Most windows in a segment, bytes of segments that are compared at once, texts that a worker remembers.
+SEGMENT, COMPARED, TEXTS_KNOWN = 1 << 14, 1 << 20, 200_000
+#: A key with more than this share of all suffixes is hot: so there are at most as many hot keys as 1 / HOT.
+HOT = 0.001
+#: Spans that may be broadcast (about 60 bytes each).
+SMALL = 200_000
 BATCHES = 4
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -142,7 +150,7 @@ def suffix_entries(docs: DataFrame, length: int) -> DataFrame:
                 batch = whole.slice(k, 1000)
                 keys = batch.column("h").to_pylist()
                 texts = [b"" if h in seen else t for h, t in zip(keys, _bytes(batch.column("text")), strict=True)]
-                if len(seen) > 1_000_000:
+                if len(seen) > TEXTS_KNOWN:
                     seen.clear()
                 seen.update(keys)
                 for data, sizes, numbers, starts in _pieces(texts, length):
@@ -155,74 +163,97 @@ def suffix_entries(docs: DataFrame, length: int) -> DataFrame:
     return rows.withColumn("batch", F.pmod(F.xxhash64("h"), F.lit(BATCHES)).cast("int"))
 
 
-@dataclass
 class SuffixFamily:
-    """Levels of suffix arrays, each a written table in the order of its keys; a level of size
-    2^i holds 2^i batches."""
-
-    levels: list[tuple[int, DataFrame]] = field(default_factory=list)
+    """Levels of suffix arrays in a folder, each a table in the order of its keys; a level of size
+    2^i holds 2^i batches. A folder that holds a family already is taken up where it was left."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or fresh_path(spark, "suffix-family")
+        self.version = 0
+        self.levels: list[tuple[int, str]] = []
+        rows = self._known() if path else []
+        if rows:
+            self.version = max(r["version"] for r in rows)
+            self.levels = [(r["size"], r["place"]) for r in sorted(rows, key=lambda r: -r["size"]) if r["version"] == self.version]
+
+    def _known(self) -> list[Row]:
+        try:
+            return self.spark.read.parquet(f"{self.path}/levels").collect()  # a few rows a batch
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
 
     def add(self, entries: DataFrame) -> DataFrame:
-        """Take in a batch (key, h, at, n); returns the ``key`` of suffixes that begin like
-        another one of the batch or of a level."""
-        array = self._array(entries)
-        found = array.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        keys = array.select("key").distinct()
-        for _, level in self.levels:
-            found = found.union(keys.join(level.select("key"), "key", "left_semi"))
-        found = written(found.distinct(), "suffix-hits")
-        size = 1
+        """Take in a batch (key, h, at, n): ``key`` and ``n`` (how often) of its suffixes that begin
+        like another one of the batch or of a level."""
+        self.version += 1
+        place = f"array-{self.version}"
+        array = self._write(entries.distinct(), place)
+        # counts by key are formed before the shuffle, so that a common key is no more than others
+        own = array.groupBy("key").agg(F.count("*").alias("n"))
+        if self.levels:
+            before = self.entries().groupBy("key").agg(F.count("*").alias("m"))
+            own = own.join(before, "key", "left").select("key", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+        found = written(own.where("n > 1"), "suffix-hits")
+        size, merged = 1, []
         while self.levels and self.levels[-1][0] == size:
-            array = self._array(self.levels.pop()[1].union(array))
+            merged.append(self._level(self.levels.pop()[1]))
             size *= 2
-        self.levels.append((size, array))
+        if merged:
+            for level in merged:
+                array = array.union(level)
+            place = f"merged-{self.version}"
+            self._write(array, place)
+        self.levels.append((size, place))
+        rows = self.spark.createDataFrame([(self.version, n, at) for n, at in self.levels], "version long, size long, place string")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/levels")
         return found
 
     def entries(self) -> DataFrame:
-        out = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            out = out.union(level)
+        out = self._level(self.levels[0][1])
+        for _, place in self.levels[1:]:
+            out = out.union(self._level(place))
         return out
 
-    @staticmethod
-    def _array(entries: DataFrame) -> DataFrame:
-        return written(entries.repartition("key").distinct().sortWithinPartitions("key", "h", "at"), "suffix-array")
+    def _level(self, place: str) -> DataFrame:
+        return self.spark.read.schema("key long, h binary, at long, n long").parquet(f"{self.path}/{place}")
+
+    def _write(self, entries: DataFrame, place: str) -> DataFrame:
+        """In ranges of key, text and position, so that a key that many suffixes have is in several."""
+        entries.repartitionByRange("key", "h", "at").sortWithinPartitions("key", "h", "at").write.parquet(f"{self.path}/{place}")
+        return self._level(place)
 
 
 def _segments(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """The text that the windows of ``anchors`` (h, key, at, n, parts) cover; windows that follow
     each other under one key are one segment."""
     lists = anchors.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "n", "key", "parts"))).alias("anchors"))
-    joined = docs.where(F.octet_length("text") >= length).select(text_key().alias("h"), "text").join(lists.hint("shuffle_hash"), "h")
+    # one row a text, so that a text with many copies is not many rows of one task
+    texts = docs.where(F.octet_length("text") >= length).groupBy(text_key().alias("h")).agg(F.first("text").alias("text"))
+    joined = texts.join(lists.hint("shuffle_hash"), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                rows, size = [], 0
-                for h, text, found in zip(batch.column("h").to_pylist(), _bytes(batch.column("text")), batch.column("anchors").to_pylist(), strict=True):
-                    if h in seen:
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(h)
-                    own: list[dict] = []
-                    for a in found:
-                        if own and own[-1]["key"] == a["key"] and own[-1]["at"] + own[-1]["n"] == a["at"] and own[-1]["n"] < PIECE // 4:
-                            own[-1]["n"] += a["n"]
-                        else:
-                            own.append(a)
-                    part = xxhash.xxh3_64_intdigest(h)
-                    for a in own:
-                        data = text[a["at"] : a["at"] + a["n"] + length - 1]
-                        rows.append(a | {"h": h, "data": data, "part": part % a["parts"]})
-                        size += len(data)
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-                if rows:
+        for batch in batches:
+            rows, size = [], 0
+            for h, text, found in zip(batch.column("h"), batch.column("text"), batch.column("anchors"), strict=True):
+                h, text = h.as_py(), text.as_py().encode()
+                own: list[dict] = []
+                for a in found.as_py():
+                    if own and own[-1]["key"] == a["key"] and own[-1]["at"] + own[-1]["n"] == a["at"] and own[-1]["n"] + a["n"] <= SEGMENT:
+                        own[-1]["n"] += a["n"]
+                    else:
+                        own.append(a)
+                part = xxhash.xxh3_64_intdigest(h)
+                for a in own:
+                    data = text[a["at"] : a["at"] + a["n"] + length - 1]
+                    rows.append(a | {"h": h, "data": data, "part": part % a["parts"]})
+                    size += len(data)
+                if size > COMPARED:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("h", pa.binary()), ("at", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
     return joined.mapInArrow(run, "key long, part int, parts int, h binary, at long, n long, data binary")
@@ -254,25 +285,49 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
     """``h``, ``spans`` (array of start, stop in bytes, disjoint and ascending): what strings of
     ``length`` bytes that also start elsewhere cover in each distinct text. Copies of a whole
     text count as one occurrence here."""
+    spark = docs.sparkSession
     entries = written(suffix_entries(docs, length), "suffix-entries")
-    family, hits = SuffixFamily(), None
+    family, hits = SuffixFamily(spark), None
     for b in range(batches):
         found = family.add(entries.where(F.col("batch") == b).drop("batch"))
         hits = found if hits is None else hits.union(found)
-    shared = family.entries().join(hits.distinct(), "key", "left_semi")
-    sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    anchors = written(shared.join(sizes, "key").select("h", "key", "at", "n", "parts"), "suffix-shared")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), anchors.count() // TASK_SEGMENTS + 1)
+    # the last count of a key is that of all its suffixes
+    hits = written(hits.groupBy("key").agg(F.max("n").alias("n")).withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int")), "suffix-keys")
+    total = hits.agg(F.sum("n")).first()[0] or 0
+    hot, rest = F.col("n") > HOT * total, F.col("n") <= HOT * total
+    marked = family.entries().join(F.broadcast(hits.where(hot).select("key", "parts")), "key", "left")
+    common = marked.where("parts is not null")
+    shared = marked.where("parts is null").drop("parts").join(hits.where(rest).select("key", "parts"), "key")
+    anchors = written(common.unionByName(shared).select("h", "key", "at", "n", "parts"), "suffix-shared")
 
     def verify(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches_), schema=segment)
-        if not table.num_rows:
-            return
+        """Of rows in the order of key and part, as many groups at once as ``COMPARED`` bytes."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches_:
+            if not batch.num_rows:
+                continue
+            key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+            sizes = np.add.reduceat(pc.binary_length(batch.column("data")).to_numpy(), starts)
+            if held and (held[-1].column("key")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (key[0], part[0]) and size > COMPARED:
+                yield from compared(held)
+                held, size = [], 0
+            begin = 0
+            for at, n in zip(starts.tolist(), sizes, strict=True):
+                if at and size > COMPARED:
+                    yield from compared([*held, batch.slice(begin, at - begin)])
+                    held, size, begin = [], 0, at
+                size += int(n)
+            held.append(batch.slice(begin))
+        if held:
+            yield from compared(held)
+
+    def compared(batches_: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches_, schema=segment)
         hs, at, n, parts = table.column("h").to_pylist(), *(table.column(c).to_numpy() for c in ("at", "n", "parts"))
-        once = sorted({(h, a): i for i, (h, a) in enumerate(zip(hs, at.tolist(), strict=True))}.values())  # a text may have come twice
-        at, n, parts = at[once], n[once], parts[once]
-        hs = pa.array([hs[i] for i in once], pa.binary())
-        data = [x.as_py() for x in table.column("data").take(pa.array(once))]
+        data = table.column("data").to_pylist()
+        hs = pa.array(hs, pa.binary())
         owner, value, twice = repeated_windows(data, n, length)
         place = at[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         hit = np.flatnonzero(twice)
@@ -291,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
 
     segment = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("h", pa.binary()), ("at", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
     out = pa.schema([("h", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.int64())])
-    found = written(_segments(docs, anchors, length).repartition(tasks, "key", "part").mapInArrow(verify, "h binary, start long, stop long, value long"), "suffix-found")
+    found = written(_segments(docs, anchors, length).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(verify, "h binary, start long, stop long, value long"), "suffix-found")
     # windows of a group that was dealt to several tasks, each equal ones of a task once
     dealt = found.where("value is not null")
     again = dealt.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
@@ -314,13 +369,19 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with ``_spans``; every byte of a text that has a copy is in one."""
+    """``_row`` (a row of ``docs``) and ``_spans``; every byte of a text that has a copy is in one."""
     spans = repeated_spans(docs, length)
     copied = docs.where(F.octet_length("text") >= length).groupBy(text_key().alias("h"), F.octet_length("text").cast("long").alias("size")).agg(F.count("*").alias("copies")).where("copies > 1")
-    whole = copied.select("h", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))).alias("whole"))
-    both = written(spans.join(whole, "h", "full").select(F.col("h").alias("_h"), F.coalesce("whole", "spans").alias("_spans")), "suffix-removed")
+    whole = copied.select("h", "copies", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))).alias("whole"))
+    both = written(spans.join(whole, "h", "full").select(F.col("h").alias("_h"), F.coalesce("whole", "spans").alias("_spans"), "copies"), "suffix-removed")
+    rows = docs.select(F.struct("*").alias("_row"), text_key().alias("_h"))
     few = both.agg(F.sum(F.size("_spans"))).first()[0] or 0
-    return docs.withColumn("_key", text_key()).join(F.broadcast(both) if few <= SMALL else both, F.col("_key") == F.col("_h"), "left").drop("_h", "_key")
+    if few <= SMALL:
+        return rows.join(F.broadcast(both), "_h", "left").select("_row", "_spans")
+    # texts with so many copies are few, and their copies stay where they are
+    common = F.coalesce("copies", F.lit(0)) > HOT * docs.count()
+    marked = rows.join(F.broadcast(both.where(common).withColumnRenamed("_spans", "_own")), "_h", "left")
+    return marked.where("copies is not null").select("_row", F.col("_own").alias("_spans")).union(marked.where("copies is null").select("_row", "_h").join(both.where(~common), "_h", "left").select("_row", "_spans"))
 
 
 def _outward(text: bytes, start: int, stop: int) -> tuple[int, int]:
@@ -346,13 +407,15 @@ def without_repeats(docs: DataFrame, length: int = 400, characters: bool = False
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     joined = _with_spans(docs, length)
     names = docs.columns
+    text_at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 kept, removed, counts, sizes = [], [], [], []
-                for text, spans in zip(_bytes(batch.column("text")), batch.column("_spans").to_pylist(), strict=True):
+                row = batch.column("_row").flatten()
+                for text, spans in zip(_bytes(row[text_at]), batch.column("_spans").to_pylist(), strict=True):
                     left, at = [], 0
                     for s in spans or ():
                         start, stop = _outward(text, s["start"], s["stop"]) if characters else (s["start"], s["stop"])
@@ -363,9 +426,9 @@ def without_repeats(docs: DataFrame, length: int = 400, characters: bool = False
                     sizes.append(len(text))
                     removed.append(len(text) - len(kept[-1]))
                     counts.append(len(spans or ()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*row, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "kept binary, n_bytes long, n_removed long, n_spans long"
+    schema = columns_of(docs) + "kept binary, n_bytes long, n_removed long, n_spans long"
     return joined.mapInArrow(cut, schema)
 
 

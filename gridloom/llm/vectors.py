@@ -8,6 +8,8 @@ known confidence. Pairs whose upper bound reaches the threshold are computed exa
 Which pairs are looked at: vectors of one label meet in cells, the leading signs under further
 rotations. The number of signs follows the size of the label and the number of rotations is
 such that a pair at the threshold shares no cell with a probability of at most ``MISSED``.
+Codes and factors go through the cells; vectors only follow for those that have a partner there
+whom the bound on two codes can't rule out.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def cell_bits(n: int, dim: int) -> int:
-    return max(0, min(MOST_BITS, dim, math.ceil(math.log2(max(n, 1) / CELL))))
+def cell_bits(n: int, dim: int, held: int = CELL) -> int:
+    return max(0, min(MOST_BITS, dim, math.ceil(math.log2(max(n, 1) / held))))
 
 
 def cell_tables(bits: int, threshold: float) -> int:
@@ -63,6 +65,28 @@ def estimates(unit: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> tuple
     return turned @ signs.T / (math.sqrt(dim) * factors), error
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each such that no square under- or overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
+def open_members(signs: np.ndarray, factors: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows have a partner, one of ``left`` and one of ``right``, whose code leaves the
+    threshold open: the inner product of two codes misses the cosine by the errors of both."""
+    dim = signs.shape[1]
+    error = ERRORS * np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 / max(dim - 1, 1)) if dim > 1 else np.full(len(factors), np.inf)
+    found = np.zeros(len(signs), bool)
+    for at in range(0, len(left), 128):
+        some = left[at : at + 128]
+        ratio = factors[right][None, :] / factors[some][:, None]
+        about = signs[some] @ signs[right].T / dim * np.maximum(ratio, 1 / ratio)
+        near = about + error[some][:, None] + error[right][None, :] >= threshold
+        near &= some[:, None] != right[None, :]
+        found[some[near.any(axis=1)]] = True
+        found[right[near.any(axis=0)]] = True
+    return found
+
+
 def near_pairs(x: np.ndarray, y: np.ndarray, codes: np.ndarray, factors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i of x and j of y with a cosine, in double precision, of at least ``threshold``."""
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
@@ -96,26 +120,32 @@ def _cls() -> F.Column:
     return F.xxhash64(F.col("label").cast("string"), F.col("embedding"))
 
 
-def _in_cells(classes: DataFrame, threshold: float) -> DataFrame:
+def _cells(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The cell of each vector under each of so many rotations."""
+    dim = unit.shape[1]
+    return np.stack([((unit @ rotation(dim, t + 1)[:bits].T >= 0) << np.arange(bits)).sum(axis=1) for t in range(tables)], axis=1).astype(np.int32)
+
+
+def _in_cells(classes: DataFrame, threshold: float, held: int) -> DataFrame:
     """A row per class and rotation, with its cell, code and factor."""
     sizes = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-    sized = classes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).select("cls", F.col("label").cast("string").alias("label"), "dim", "n", "copies", F.col("embedding").cast("array<double>").alias("embedding"))
+    sized = classes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).select("cls", F.col("label").cast("string").alias("label"), "dim", "n", F.col("embedding").cast("array<double>").alias("embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, ns = batch.column("dim").to_numpy(), batch.column("n").to_numpy()
             for dim, n in sorted(set(zip(dims.tolist(), ns.tolist(), strict=True))):
                 for part in _slices(batch.filter(pa.array((dims == dim) & (ns == n))), 500):
-                    x = part.column("embedding").flatten().to_numpy().reshape(-1, dim)
+                    x = scaled(part.column("embedding").flatten().to_numpy().reshape(-1, dim))
                     unit = x / np.linalg.norm(x, axis=1)[:, None]
                     codes, factors = binary_codes(unit)
-                    bits = cell_bits(n, dim)
-                    cells = np.stack([((unit @ rotation(dim, t + 1)[:bits].T >= 0) << np.arange(bits)).sum(axis=1) for t in range(cell_tables(bits, threshold))], axis=1).astype(np.int32)
-                    known = [part.column("cls"), part.column("label"), part.column("dim"), part.column("copies"), *(pa.array([r.tobytes() for r in a], pa.binary()) for a in (np.ascontiguousarray(x), codes)), pa.array(factors), pa.array([r.tobytes() for r in cells], pa.binary())]
+                    bits = cell_bits(n, dim, held)
+                    cells = _cells(unit, bits, cell_tables(bits, threshold))
+                    known = [part.column("cls"), part.column("label"), part.column("dim"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(factors)]
                     for t in range(cells.shape[1]):
-                        yield pa.RecordBatch.from_arrays([*known, pa.array(np.full(len(x), t, np.int32)), pa.array(cells[:, t])], names=["cls", "label", "dim", "copies", "vector", "code", "factor", "cells", "table", "cell"])
+                        yield pa.RecordBatch.from_arrays([*known, pa.array(np.full(len(x), bits, np.int32)), pa.array(np.full(len(x), t, np.int32)), pa.array(cells[:, t])], names=["cls", "label", "dim", "code", "factor", "bits", "table", "cell"])
 
-    return sized.mapInArrow(run, "cls long, label string, dim int, copies long, vector binary, code binary, factor double, cells binary, table int, cell int")
+    return sized.mapInArrow(run, "cls long, label string, dim int, code binary, factor double, bits int, table int, cell int")
 
 
 def _slices(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
@@ -137,16 +167,16 @@ def _groups(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         least = after
 
 
-def linked_vectors(classes: DataFrame, threshold: float) -> DataFrame:
+def linked_vectors(classes: DataFrame, threshold: float, held: int = CELL, side: int = BLOCK) -> DataFrame:
     """``cls``, ``links`` (vectors of other classes linked in a block) and ``root`` (a class that
     these links reach), over all blocks.
 
-    A cell of more than ``BLOCK`` vectors is cut into parts and each two parts are a task's
-    block. A pair counts in the first rotation that puts it into one cell.
+    Cells should hold ``held`` vectors. One of more than ``side`` is cut into parts and each two
+    parts are a task's block. A pair counts in the first rotation that puts it into one cell.
     """
-    rows = written(_in_cells(classes, threshold), "vector-cells")
+    rows = written(_in_cells(classes, threshold, held), "vector-cells")
     cell = ["label", "dim", "table", "cell"]
-    large = rows.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    large = rows.groupBy(*cell).agg(F.ceil(F.count("*") / side).cast("int").alias("parts")).where("parts > 1")
     blocks = (
         rows.join(large, cell, "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -155,34 +185,52 @@ def linked_vectors(classes: DataFrame, threshold: float) -> DataFrame:
         .withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
         .drop("parts", "other")
     )
+    names = [*cell, "first", "second", "own", "bits", "cls"]
 
-    def compare(block: pa.Table) -> pa.Table:
-        t, dim = block.column("table")[0].as_py(), block.column("dim")[0].as_py()
+    def sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
         own, first = block.column("own").to_numpy(), block.column("first")[0].as_py()
         same = first == block.column("second")[0].as_py()
         left = np.flatnonzero(own == first)
-        right = left if same else np.flatnonzero(own != first)
-        x, codes = _rows(block.column("vector"), dim, np.float64), _rows(block.column("code"), -(-dim // 8), np.uint8)
-        factors, copies, cls = (block.column(c).to_numpy() for c in ("factor", "copies", "cls"))
-        cells = _rows(block.column("cells"), -1, np.int32)
+        return left, left if same else np.flatnonzero(own != first), same
+
+    def ruled(block: pa.Table) -> pa.Table:
+        dim = block.column("dim")[0].as_py()
+        left, right, _ = sides(block)
+        signs = np.unpackbits(_rows(block.column("code"), -(-dim // 8), np.uint8), axis=1, count=dim).astype(np.float32) * 2 - 1
+        hit = open_members(signs, block.column("factor").to_numpy(), left, right, threshold)
+        return block.select(names).filter(pa.array(hit))
+
+    kinds = dict(blocks.dtypes)
+    open_ = written(blocks.groupBy(*cell, "first", "second").applyInArrow(ruled, ", ".join(f"{c} {kinds[c]}" for c in names)), "vector-open")
+    vectors = classes.select("cls", "copies", F.col("embedding").cast("array<double>").alias("vector"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        t, dim, bits = (block.column(c)[0].as_py() for c in ("table", "dim", "bits"))
+        left, right, same = sides(block)
+        x = scaled(np.concatenate([c.flatten().to_numpy() for c in block.column("vector").chunks]).reshape(-1, dim))
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        codes, factors = binary_codes(unit)
+        copies, cls = (block.column(c).to_numpy() for c in ("copies", "cls"))
+        cells = _cells(unit, bits, t) if t else np.zeros((len(x), 0), np.int32)
         found = []
         for at in range(0, len(left), 128):
             i, j = near_pairs(x[left[at : at + 128]], x[right], codes[right], factors[right], threshold)
             i, j = left[at + i], right[j]
             new = (i < j) if same else np.ones(len(i), bool)
-            new &= ~(cells[i, :t] == cells[j, :t]).any(axis=1)
+            new &= ~(cells[i] == cells[j]).any(axis=1)
             found.append((i[new], j[new]))
         i, j = (np.concatenate(a) for a in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-        links = np.zeros(len(own), np.int64)
+        links = np.zeros(len(x), np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
         hit = np.flatnonzero(links)
-        return pa.table({"cls": cls[hit], "links": links[hit], "root": cls[_groups(len(own), i, j)[hit]]})
+        return pa.table({"cls": cls[hit], "links": links[hit], "root": cls[_groups(len(x), i, j)[hit]]})
 
+    blocks = open_.join(vectors, "cls")
     return written(blocks.groupBy(*cell, "first", "second").applyInArrow(compare, "cls long, links long, root long"), "vector-links")
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
+def near_vectors(embeddings: DataFrame, threshold: float = 0.98, held: int = CELL, side: int = BLOCK) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``embeddings`` (vec_id,
     embedding, label): vectors of one label link when their cosine is at least ``threshold``.
 
@@ -194,7 +242,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     a pair at it is missed with a probability of about ``MISSED``.
     """
     classes = written(vector_classes(embeddings), "vector-classes")
-    linked = linked_vectors(classes, threshold)
+    linked = linked_vectors(classes, threshold, held, side)
     links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     named = (
         classes.select("cls", "copies", "vec_id")

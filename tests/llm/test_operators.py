@@ -204,6 +204,35 @@ def test_vectors(spark):
         assert got[vec] == (len(links[vec]), min(reach), vec == min(reach))
 
 
+def test_vectors_in_cells(spark):
+    """Several signs, rotations and blocks: every planted link is found, none below the threshold."""
+    chance = np.random.default_rng(4)
+    dim, rows = 64, []
+    for group in range(60):
+        centre = chance.standard_normal(dim)
+        for k in range(12):
+            rows.append(centre + chance.standard_normal(dim) * chance.choice([0.05, 0.12, 0.16]))
+    rows += list(chance.standard_normal((400, dim)))
+    rows += [np.full(dim, 1e-200), np.full(dim, 2e-200), np.full(dim, 1e200)]
+    x = np.array(rows)
+    assert vectors.cell_bits(len(x), dim, 16) > 3 and vectors.cell_tables(vectors.cell_bits(len(x), dim, 16), 0.98) > 5
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table, held=16, side=32).collect()}
+    unit = x / np.abs(x).max(axis=1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = {i: set(np.flatnonzero(near[i]).tolist()) for i in range(len(x))}
+    assert sum(map(len, links.values())) > 1000
+    for i in links:
+        reach, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - reach:
+                reach.add(j)
+                todo.append(j)
+        assert got[i] == (len(links[i]), min(reach))
+
+
 def brute_spans(texts, length):
     at = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []

@@ -25,7 +25,7 @@ from .common import columns_of
 
 #: Pieces whose ids a worker remembers; then it forgets those that it has not met since it had
 #: half as many.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 #: Bits of a byte's position in its word; words of up to 2^14 bytes go through the recursive query.
 #: It writes a word's rows again for each merge, so its time grows with the square of the length:
 #: 4.8 s for a random word of 10,000 bytes, and minutes from 100,000. Longer words are contracted
@@ -33,7 +33,7 @@ REMEMBERED = 250_000
 PLACE_BITS = 20
 LONG_WORD = 1 << 14
 #: Bytes of distinct words that go into one recursive query, and ids that one query decodes.
-QUERY_BYTES, QUERY_IDS = 250_000, 250_000
+QUERY_BYTES, QUERY_IDS = 350_000, 250_000
 
 #: A row is a token at ``place`` (word * 2^20 + position of its first byte). Rows lie in the order
 #: of ``place``, so the next row of the same word is the neighbour; ``error`` guards that order.
@@ -281,7 +281,7 @@ def _coder(tokens: list[bytes], pattern: str) -> DuckBpe:
 
 
 #: Bytes of text that a task encodes at once, and ids that it decodes at once.
-_BATCH_BYTES, _BATCH_IDS = 2_000_000, 500_000
+_BATCH_BYTES, _BATCH_IDS = 3_000_000, 500_000
 
 
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -397,17 +397,16 @@ def _unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rows[:, :8].copy().view(np.int64).ravel(), rows[:, 8:].astype(np.int16)
 
 
-def _within_families(sets: DataFrame, families: DataFrame, links: DataFrame, sim: Similarity, exact: bool) -> DataFrame:
-    """``a``, ``b``: pairs that unite the parts in which ``links`` leave the sets of each family (cls,
-    family): those that sketches can't rule out, or with ``exact`` those that are similar.
+def _within_families(sets: DataFrame, families: DataFrame, linked: DataFrame, sim: Similarity, exact: bool) -> DataFrame:
+    """``a``, ``b``: pairs that unite the parts that ``linked`` (cls, part) makes of the sets of each
+    family (cls, family); others are parts of their own. Pairs: those that sketches can't rule out, or with ``exact`` those that are similar.
 
     Sets outside the largest part of their family are held against the rest, block by block; a
     block is one task's, whatever the size of the family. Within a block a pair is formed only
     if its sets are not united yet.
     """
     size = BLOCK // 4 if exact else BLOCK
-    nodes = families.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
-    nodes = written(nodes, "partenum-nodes")
+    nodes = written(families.join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls")), "partenum-nodes")
     parts = nodes.groupBy("family", "part").agg(F.count("*").alias("n"))
     open_ = (
         parts.groupBy("family")
@@ -458,11 +457,12 @@ def similar_pairs(sets: DataFrame, stars: DataFrame, sim: Similarity) -> DataFra
     """
     first = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
     links = _compared(sets, _compared(sets, first, "sketch", may_reach(sim)), "data", does_reach(sim))
-    family = lambda edges: components(edges).withColumnRenamed("node", "cls").withColumnRenamed("component", "family")
-    open_ = _within_families(sets, family(stars), links, sim, False)
+    named = lambda edges, name: components(edges).select(F.col("node").alias("cls"), F.col("component").alias(name))
+    linked = named(links, "part")
+    open_ = _within_families(sets, named(stars, "family"), linked, sim, False)
     if open_.isEmpty():
         return links
-    return links.union(_within_families(sets, family(links.union(open_)), links, sim, True))
+    return links.union(_within_families(sets, named(links.union(open_), "family"), linked, sim, True))
 
 
 def similar_documents(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, frugal
 
 #: Pieces whose ids a worker remembers; then it forgets those that it has not met since it had
 #: half as many.
@@ -81,12 +82,17 @@ def read_ranks(path: str) -> list[bytes]:
 class DuckBpe:
     """An encoder and decoder with the merge table in an own DuckDB connection."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, remembered: int = REMEMBERED, query_bytes: int = QUERY_BYTES):
+        self.remembered, self.query_bytes = remembered, query_bytes
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.byte_rank = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(self.rank[t[:k]], self.rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
-        left, right, merged = (np.array(x, np.int32) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 3
+        pairs = array("i")
+        for i, t in enumerate(tokens):
+            for k in range(1, len(t)):
+                if t[:k] in self.rank and t[k:] in self.rank:
+                    pairs.extend((self.rank[t[:k]], self.rank[t[k:]], i))
+        left, right, merged = np.frombuffer(pairs, np.int32).reshape(-1, 3).T.copy()
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "100MB"})
         merges = pa.table({"l": left, "r": right, "merged": merged})
@@ -110,7 +116,7 @@ class DuckBpe:
             else:
                 rows.append(i)
                 size += len(w)
-                if size >= QUERY_BYTES:
+                if size >= self.query_bytes:
                     self._query(words, rows, out)
                     rows, size = [], 0
         if rows:
@@ -182,7 +188,7 @@ class DuckBpe:
         keys, ends = piece_keys(texts)
         coded = keys.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         missing = [k for k in distinct if k not in known]
@@ -271,12 +277,12 @@ def pieces(text: str) -> list[str]:
 _MADE: dict[tuple, DuckBpe] = {}
 
 
-def _coder(tokens: list[bytes], pattern: str) -> DuckBpe:
+def _coder(tokens: list[bytes], pattern: str, remembered: int = REMEMBERED, query_bytes: int = QUERY_BYTES) -> DuckBpe:
     """One for each Python worker and vocabulary."""
-    key = (len(tokens), hash(tuple(tokens)), pattern)
+    key = (len(tokens), hash(tuple(tokens)), pattern, remembered, query_bytes)
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = DuckBpe(tokens, pattern)
+        _MADE[key] = DuckBpe(tokens, pattern, remembered, query_bytes)
     return _MADE[key]
 
 
@@ -295,15 +301,16 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, decode: bool) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, pattern: str, decode: bool, frugally: bool = False) -> DataFrame:
     docs = docs.drop("ids", "n_tokens", *(["decoded"] if decode else []))
     columns = docs.columns
+    share = 3 if frugally else 1
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, pattern)
+        coder = _coder(shared.value, pattern, REMEMBERED // share, QUERY_BYTES // share)
         for batch in batches:
-            for a, b in _groups(pc.binary_length(batch.column("text")).fill_null(0).to_pylist(), _BATCH_BYTES):
+            for a, b in _groups(pc.binary_length(batch.column("text")).fill_null(0).to_pylist(), _BATCH_BYTES // share):
                 part = batch.slice(a, b - a)
                 ids = coder.encode_batch(part.column("text"))
                 added = [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
@@ -312,7 +319,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, decode: bool) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *added], names=[*columns, "ids", "n_tokens", *(["decoded"] if decode else [])])
 
     schema = columns_of(docs) + "ids binary, n_tokens long" + ", decoded binary" * decode
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -326,9 +333,11 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return _encoded(docs, path, pattern, False)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``bpe_encode`` with ``decoded``, the bytes that the ids stand for, by one process a task."""
-    return _encoded(docs, path, pattern, True)
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, frugally: bool = False) -> DataFrame:
+    """``bpe_encode`` with ``decoded``, the bytes that the ids stand for, by one process a task;
+    ``frugally`` with batches, queries and a memory of pieces a third as large, for a job that
+    other stages ran in before."""
+    return _encoded(docs, path, pattern, True, frugally)
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -347,7 +356,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out, pa.binary())], names=[*columns, "decoded"])
 
     schema = columns_of(encoded) + "decoded binary"
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(frugal(run), schema)
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 from .graph import components
 
 #: A band ends at this many times its start.
@@ -193,7 +193,7 @@ def shingle_classes(docs: DataFrame, sim: Similarity) -> DataFrame:
             n, cls = zip(*sets, strict=True) if sets else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n_shingles", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, cls long")
 
 
 def signature_rows(docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -229,7 +229,7 @@ def signature_rows(docs: DataFrame, sim: Similarity) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, cls long, slot int")
+    return docs.where("doc_id is not null").select("text").mapInArrow(frugal(run), "sig long, cls long, slot int")
 
 
 _FOUND = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("slot", pa.int32())])
@@ -293,7 +293,7 @@ def candidate_stars(docs: DataFrame, sim: Similarity) -> DataFrame:
     it shares another with each set that is similar to it.
     """
     sorted_rows = signature_rows(docs, sim).repartition("sig").sortWithinPartitions("sig", "cls")
-    found = written(sorted_rows.mapInArrow(_shared, "sig long, a long, b long, slot int"), "partenum")
+    found = written(sorted_rows.mapInArrow(frugal(_shared), "sig long, a long, b long, slot int"), "partenum")
     hot = found.where("sig is not null").select("sig", F.col("a").alias("cls"), "slot").distinct()
     needy = hot.groupBy("cls", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("slot").bitwiseAND(F.lit((1 << 20) - 1))).drop("n")
     needed = written(hot.join(needy, ["cls", "slot"]).select("sig", "cls"), "partenum-hot")
@@ -332,7 +332,7 @@ def star_sets(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int)
             yield batch_of(out)
         _KNOWN.clear()
 
-    found = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(run, "cls long, sketch binary, data binary")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(frugal(run), "cls long, sketch binary, data binary")
     return written(found, "partenum-sets")
 
 
@@ -360,7 +360,7 @@ def _compared(sets: DataFrame, pairs: DataFrame, column: str, similar: Callable[
     sent = members.union(centres).join(sets.select("cls", F.col(column).alias("data")), "cls").select(*names)
     dealt = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "kind")
     # a repeated row gave its set again
-    return written(dealt.mapInArrow(compare, "a long, b long").distinct(), "partenum-links")
+    return written(dealt.mapInArrow(frugal(compare), "a long, b long").distinct(), "partenum-links")
 
 
 def may_reach(sim: Similarity) -> Callable[[bytes, bytes], bool]:
@@ -515,7 +515,7 @@ def one_of_each(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["_row", "cls"])
 
     rows = docs.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"))
-    rows = written(rows.mapInArrow(run, f"_row {dict(rows.dtypes)['_row']}, cls long"), "repeated-rows")
+    rows = written(rows.mapInArrow(frugal(run), f"_row {dict(rows.dtypes)['_row']}, cls long"), "repeated-rows")
     least = found.where("doc_id = component_id and cls is not null").select("doc_id", "cls", "component").distinct()
     first = rows.withColumn("doc_id", F.col("_row.doc_id")).join(least, ["doc_id", "cls"]).groupBy("component").agg(F.min_by("_row", F.col("_row.text")).alias("_row"))
     for part in (rows.where("cls is null"), first):

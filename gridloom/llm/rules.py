@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, written
+from .common import columns_of, frugal, written
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -110,7 +110,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     A null text counts as an empty one: all counts are 0. Rows may repeat.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_count_batches, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "text").mapInArrow(frugal(_count_batches), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> F.Column:
@@ -220,7 +220,7 @@ def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
 
     kept = stats.columns
     schema = columns_of(stats) + "score double"
-    return stats.select("*", *features()).mapInArrow(score, schema)
+    return stats.select("*", *features()).mapInArrow(frugal(score), schema)
 
 
 #: Steps into which scores are counted for the threshold.
@@ -276,5 +276,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, loss: float = 0.001) -> D
     _, forest, threshold = _judge(docs, labels, loss)
     rows = docs.select(F.struct("*").alias("_row"))
     kind = dict(rows.dtypes)["_row"]
-    counted = rows.mapInArrow(_count_batches, f"_row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = rows.mapInArrow(frugal(_count_batches), f"_row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
     return with_scores(counted, forest).where(~base_failed() & (F.col("score") < threshold)).select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, fresh_path, written
+from .common import columns_of, fresh_path, frugal, written
 
 #: Bytes that are hashed at once; longer texts are cut so that each window lies in one piece.
 PIECE = 1 << 18
@@ -159,7 +159,7 @@ def suffix_entries(docs: DataFrame, length: int) -> DataFrame:
                         who = pa.array(keys, pa.binary()).take(pa.array(np.array(numbers)[text]))
                         yield pa.RecordBatch.from_arrays([pa.array(key), who, pa.array(at + np.array(starts)[text]), pa.array(n)], names=["key", "h", "at", "n"])
 
-    rows = docs.where(F.octet_length("text") >= length).select(text_key().alias("h"), "text").mapInArrow(run, "key long, h binary, at long, n long")
+    rows = docs.where(F.octet_length("text") >= length).select(text_key().alias("h"), "text").mapInArrow(frugal(run), "key long, h binary, at long, n long")
     return rows.withColumn("batch", F.pmod(F.xxhash64("h"), F.lit(BATCHES)).cast("int"))
 
 
@@ -256,7 +256,7 @@ def _segments(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("h", pa.binary()), ("at", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-    return joined.mapInArrow(run, "key long, part int, parts int, h binary, at long, n long, data binary")
+    return joined.mapInArrow(frugal(run), "key long, part int, parts int, h binary, at long, n long, data binary")
 
 
 def repeated_windows(data: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
 
     segment = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("h", pa.binary()), ("at", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
     out = pa.schema([("h", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.int64())])
-    found = written(_segments(docs, anchors, length).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(verify, "h binary, start long, stop long, value long"), "suffix-found")
+    found = written(_segments(docs, anchors, length).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(frugal(verify), "h binary, start long, stop long, value long"), "suffix-found")
     # windows of a group that was dealt to several tasks, each equal ones of a task once
     dealt = found.where("value is not null")
     again = dealt.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
@@ -365,7 +365,7 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["h", "spans"])
 
     lists = spans.groupBy("h").agg(F.collect_list(F.struct("start", "stop")).alias("all")).select("h", F.col("all.start").alias("start"), F.col("all.stop").alias("stop"))
-    return written(lists.mapInArrow(merge, "h binary, spans array<struct<start:bigint,stop:bigint>>"), "suffix-spans")
+    return written(lists.mapInArrow(frugal(merge), "h binary, spans array<struct<start:bigint,stop:bigint>>"), "suffix-spans")
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -429,7 +429,7 @@ def without_repeats(docs: DataFrame, length: int = 400, characters: bool = False
                 yield pa.RecordBatch.from_arrays([*row, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = columns_of(docs) + "kept binary, n_bytes long, n_removed long, n_spans long"
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(frugal(cut), schema)
 
 
 def documents_without_repeats(docs: DataFrame, length: int) -> DataFrame:

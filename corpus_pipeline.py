@@ -42,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, ``ids`` (packed), ``n_tokens`` and digests; fails if the ids
     don't decode to the text."""
-    decoded = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), *vocabulary())
+    decoded = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), *vocabulary(), frugally=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select(
         "doc_id",

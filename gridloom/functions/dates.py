@@ -37,8 +37,8 @@ def _day(n: Column) -> Column:
 
 
 def _whole(v: Value) -> Column:
-    n = finite(v)
-    return (F.signum(n) * F.floor(F.abs(n))).cast("int")
+    """Towards zero; null beyond 32 bits."""
+    return finite(v).try_cast("int")
 
 
 def serial_of(y: Column, m: Column, d: Column) -> Column:
@@ -51,9 +51,7 @@ def serial_of(y: Column, m: Column, d: Column) -> Column:
 def date(year, month, day):
     y, m, d = _whole(year), _whole(month), _whole(day)
     bad = y.isNull() | m.isNull() | d.isNull() | (y < 0) | (y > 9999)
-    parts = F.struct(F.when(~bad, y).alias("y"), m.alias("m"), d.alias("d"))
-    serial = let(parts, lambda p: serial_of(p["y"], p["m"], p["d"]))
-    return result("number", serial, (serial.isNull(), VALUE))
+    return result("number", serial_of(F.when(~bad, y), m, d), (bad, VALUE))
 
 
 def _part(name, f, args="serial_number"):

@@ -22,10 +22,10 @@ def key_of(value: Value) -> Column:
 
 
 def _firsts(table: DataFrame, key: Column, returns: list[str], position: str | None, last: bool) -> DataFrame:
-    """One row per key: the first (or last) by position; without a position keys must be unique."""
-    keyed = table.select(key.alias("_key"), *returns, *([F.col(position).alias("_at")] if position else [])).where(F.col("_key").isNotNull())
-    if position is None:
-        return keyed
+    """One row per key: the first (or last) by position, without one by the returned values in
+    their order, as a table's rows have none of their own."""
+    at = F.col(position) if position else F.struct(*returns)
+    keyed = table.select(key.alias("_key"), *returns, at.alias("_at")).where(F.col("_key").isNotNull())
     pick = F.max_by if last else F.min_by
     return keyed.groupBy("_key").agg(pick(F.struct(*returns), "_at").alias("_row")).select("_key", "_row.*")
 

@@ -310,9 +310,11 @@ def dates(spark, d):
     s = number("s")
     built = {
         "serial": s, "year": call("YEAR", s), "month": call("MONTH", s), "day": call("DAY", s), "weekday": call("WEEKDAY", s), "weekday2": call("WEEKDAY", s, 2), "weeknum": call("WEEKNUM", s), "isoweek": call("ISOWEEKNUM", s),
-        "edate": call("EDATE", s, 1), "eomonth": call("EOMONTH", s, 0), "date": call("DATE", call("YEAR", s), call("MONTH", s), 1), "days": call("DAYS", s, 36526), "days360": call("DAYS360", 36526, s), "yearfrac": call("YEARFRAC", 36526, s, 3), "months": call("DATEDIF", 30000, s, "M"),
+        "edate": call("EDATE", s, 1), "eomonth": call("EOMONTH", s, 0), "date": call("DATE", number("y"), number("m"), 1), "days": call("DAYS", s, 36526), "days360": call("DAYS360", 36526, s), "yearfrac": call("YEARFRAC", 36526, s, 3), "months": call("DATEDIF", 30000, s, "M"),
     }
-    return _per_row(table(spark, d, "orders").select("o_orderkey", serial("o_orderdate").c.alias("s")), ["o_orderkey"], built, 6)
+    days = table(spark, d, "orders").select("o_orderkey", serial("o_orderdate").c.alias("s"))
+    # parts that others build on are columns of a step before
+    return _per_row(days.select("*", call("YEAR", s).column().alias("y"), call("MONTH", s).column().alias("m")), ["o_orderkey"], built, 6)
 
 
 @query

@@ -5,11 +5,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
+from gridloom.operators import lookup
 from gridloom.plans.oracle import ORACLE_SQL
 from gridloom.plans.queries import QUERIES
+from gridloom.values import number
 
 D = "/root/testdata/sf0.001"
-NAMES = ["sumifs_by_segment", "conditional_aggregates", "plain_aggregates", "vlookup_exact", "lookup_approximate", "match_next", "xlookup_wildcard", "index_match", "sumifs_per_row", "rank_table", "trimmed_mean", "frequency_bins", "operators_arithmetic", "text_numbers", "conditions", "grid_recalculation", "grid_edits", "format_top", "arrays"]
+NAMES = ["sumifs_by_segment", "conditional_aggregates", "plain_aggregates", "vlookup_exact", "lookup_approximate", "match_next", "xlookup_wildcard", "index_match", "sumifs_per_row", "rank_table", "trimmed_mean", "frequency_bins", "operators_arithmetic", "text_numbers", "dates", "conditions", "grid_recalculation", "grid_edits", "format_top", "arrays"]
 
 
 def shown(value):
@@ -38,3 +40,11 @@ def test_query(spark, name):
     assert columns == sorted(want.columns)
     rows = [sorted(repr([shown(v) for v in r]) for r in x[columns].itertuples(index=False, name=None)) for x in (got, want)]
     assert rows[0] == rows[1]
+
+
+def test_exact_takes_the_first_of_equal_keys(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k long")
+    right = spark.createDataFrame([(1, "b", 2), (1, "a", 5), (3, "c", 1)], "k long, v string, at long")
+    get = lambda **more: sorted((r.k, r.found_v) for r in lookup.exact(left, number("k"), right, number("k"), ["v"], **more).collect())
+    assert get() == [(1, "a"), (2, None)]
+    assert get(position="at") == [(1, "b"), (2, None)] and get(position="at", last=True) == [(1, "a"), (2, None)]

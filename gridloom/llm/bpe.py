@@ -310,6 +310,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, decode: bool, frugally: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern, REMEMBERED // share, QUERY_BYTES // share)
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.column("row").flatten(), names=columns)
             for a, b in _groups(pc.binary_length(batch.column("text")).fill_null(0).to_pylist(), _BATCH_BYTES // share):
                 part = batch.slice(a, b - a)
                 ids = coder.encode_batch(part.column("text"))
@@ -319,7 +320,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, decode: bool, frugally: b
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *added], names=[*columns, "ids", "n_tokens", *(["decoded"] if decode else [])])
 
     schema = columns_of(docs) + "ids binary, n_tokens long" + ", decoded binary" * decode
-    return docs.mapInArrow(frugal(run), schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(frugal(run), schema)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -350,13 +351,14 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.column("row").flatten(), names=columns)
             for a, b in _groups([(n or 0) // 4 for n in pc.binary_length(batch.column("ids")).to_pylist()], _BATCH_IDS):
                 part = batch.slice(a, b - a)
                 out = coder.decode_batch([i or b"" for i in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out, pa.binary())], names=[*columns, "decoded"])
 
     schema = columns_of(encoded) + "decoded binary"
-    return encoded.mapInArrow(frugal(run), schema)
+    return encoded.select(F.struct("*").alias("row")).mapInArrow(frugal(run), schema)
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:

@@ -55,9 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def columns_of(df: DataFrame) -> str:
     """The columns of ``df`` as the start of a schema, whatever their names."""
-    return "".join("`{}` {}, ".format(c.replace("`", "``"), t) for c, t in df.dtypes)
+    return "".join(f"{quoted(c)} {t}, " for c, t in df.dtypes)
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -116,13 +116,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken.
+
+    Rows that repeat both id and text are taken together, null sources are one source and null
+    texts, of size 0, are taken like others. Extra columns stay, whatever their names; an empty
+    table gives an empty result.
+    """
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash().alias("hash")), "mix-sizes")
-    cuts = mix_thresholds(sized, source_targets(sized, weights, max_repeats)).select(F.col("source").alias("_s"), F.col("copies").alias("_copies"), F.col("cut").alias("_cut"))
-    more = (F.col("_hash") < F.col("_cut")) & (F.col("_copies") < max_repeats)
+    cuts = mix_thresholds(sized, source_targets(sized, weights, max_repeats)).select(F.col("source").alias("s"), "copies", "cut")
+    more = (F.col("hash") < F.col("cut")) & (F.col("copies") < max_repeats)
     return (
-        docs.withColumn("_hash", document_hash())
-        .join(cuts, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_one", F.explode(F.array_repeat(F.lit(1), (F.col("_copies") + more.cast("long")).cast("int"))))
-        .select(*docs.columns)
+        docs.select(F.struct("*").alias("row"), F.col("source").alias("own"), document_hash().alias("hash"))
+        .join(cuts, F.col("own").eqNullSafe(F.col("s")))
+        .withColumn("one", F.explode(F.array_repeat(F.lit(1), (F.col("copies") + more.cast("long")).cast("int"))))
+        .select("row.*")
     )

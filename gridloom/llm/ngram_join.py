@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import frugal, written
 from .graph import components
@@ -514,8 +515,8 @@ def one_of_each(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
             sets = [shingle_set(t.as_py() or b"", sim.width) for t in rows.field("text").cast(pa.large_string()).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([rows, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["_row", "cls"])
 
-    rows = docs.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"))
-    rows = written(rows.mapInArrow(frugal(run), f"_row {dict(rows.dtypes)['_row']}, cls long"), "repeated-rows")
+    rows = docs.join(repeated, "doc_id", "left_semi").select(F.struct("*").alias("_row"))
+    rows = written(rows.mapInArrow(frugal(run), StructType([*rows.schema, StructField("cls", LongType())])), "repeated-rows")
     least = found.where("doc_id = component_id and cls is not null").select("doc_id", "cls", "component").distinct()
     first = rows.withColumn("doc_id", F.col("_row.doc_id")).join(least, ["doc_id", "cls"]).groupBy("component").agg(F.min_by("_row", F.col("_row.text")).alias("_row"))
     for part in (rows.where("cls is null"), first):

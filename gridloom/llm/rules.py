@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import columns_of, frugal, written
+from .common import frugal, written
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -219,7 +220,7 @@ def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(forest.score(x))], names=[*kept, "score"])
 
     kept = stats.columns
-    schema = columns_of(stats) + "score double"
+    schema = StructType([*stats.schema, StructField("score", DoubleType())])
     return stats.select("*", *features()).mapInArrow(frugal(score), schema)
 
 
@@ -275,6 +276,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, loss: float = 0.001) -> D
     rows, which costs less than a shuffle of the texts to join the verdicts."""
     _, forest, threshold = _judge(docs, labels, loss)
     rows = docs.select(F.struct("*").alias("_row"))
-    kind = dict(rows.dtypes)["_row"]
-    counted = rows.mapInArrow(frugal(_count_batches), f"_row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = rows.mapInArrow(frugal(_count_batches), StructType([*rows.schema, *(StructField(c, LongType()) for c in COUNTS)]))
     return with_scores(counted, forest).where(~base_failed() & (F.col("score") < threshold)).select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, fresh_path, frugal, written
+from .common import columns_of, fresh_path, frugal, quoted, written
 
 #: Bytes that are hashed at once; longer texts are cut so that each window lies in one piece.
 PIECE = 1 << 18
@@ -438,4 +438,4 @@ def documents_without_repeats(docs: DataFrame, length: int) -> DataFrame:
     left = without_repeats(docs, length, characters=True)
     text = F.when(F.col("n_spans") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     worded = F.col("kept").cast("string").rlike(r"[^\x20\x09-\x0D]")
-    return left.where((F.col("n_spans") == 0) | worded).withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    return left.where((F.col("n_spans") == 0) | worded).withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*map(quoted, docs.columns))

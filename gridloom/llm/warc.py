@@ -192,6 +192,10 @@ class _Archive:
         return {"archive": self.name, "records": self.records, "bytes": self.size}
 
 
+#: A digest of more than this share of the repeated payloads is common; there are at most 1 / HOT.
+HOT = 0.001
+
+
 def with_digests(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``payload`` (html in UTF-8, null as empty), ``sha1`` (hexadecimal)."""
     return pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload")).withColumn("sha1", F.sha1("payload"))
@@ -200,12 +204,18 @@ def with_digests(pages: DataFrame) -> DataFrame:
 def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Add ``first``: of rows with equal payloads of at least ``least_bytes``, the largest page_id.
 
-    Sums by digest are made before rows move; only digests of several pages join back, and the
-    join deals a digest's rows over several tasks where they are many.
+    Sums by digest are made before rows move. Digests of more than ``HOT`` of all rows, which
+    are few, are broadcast, so that a common page's rows stay where they are; only the others
+    are joined by a shuffle.
     """
     keyed = with_digests(pages)
-    several = keyed.where(F.length("payload") >= least_bytes).groupBy(F.col("sha1").alias("_sha1")).agg(F.max("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return keyed.join(several, F.col("sha1") == F.col("_sha1"), "left").drop("_sha1")
+    counts = keyed.where(F.length("payload") >= least_bytes).groupBy(F.col("sha1").alias("_sha1")).agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    several = written(counts.where("n > 1"), "warc-several")
+    total = several.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") > HOT * total
+    marked = keyed.join(F.broadcast(several.where(common)), F.col("sha1") == F.col("_sha1"), "left")
+    rest = marked.where("n is null").drop("_sha1", "first", "n").join(several.where(~common), F.col("sha1") == F.col("_sha1"), "left")
+    return marked.where("n is not null").unionByName(rest).drop("_sha1", "n")
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:

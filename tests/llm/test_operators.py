@@ -37,7 +37,7 @@ def test_components(spark):
 
 def test_chat(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<\\s> <\\/s>"), (1, 1, "assistant", "<\\s> <\\/s>"), (2, None, None, None), (None, 0, "user", "x")]
-    out = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("x", "y")).collect()}
+    out = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [(t.role, t.text) for t in out[1].parsed] == [(r[2], r[3]) for r in rows[:3]]
     assert [(t.role, t.text) for t in out[2].parsed] == [("", "")]
     assert None in out
@@ -52,6 +52,82 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_of_all_pages(spark):
+    pages = spark.read.parquet(f"{D}/pages.parquet")
+    groups = collections.defaultdict(list)
+    rows = {r.page_id: (r.html or "").encode() for r in pages.collect()}
+    for page, payload in rows.items():
+        groups[payload].append(page)
+    for r in warc.archived(pages).collect():
+        last = max(groups[rows[r.page_id]])
+        assert (r.payload_bytes, r.payload_digest) == (len(rows[r.page_id]), warc.sha1_base32(rows[r.page_id]))
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == last else ("revisit", last))
+
+
+def test_warc_damaged():
+    """Each damage is named, not read over."""
+    import io
+
+    import zstandard
+
+    good = warc.make_record(7, "http://a", b"<p>text</p>", warc.sha1_base32(b"<p>text</p>"), True, None)
+    dictionary = warc.train_dictionary([good])
+    press = zstandard.ZstdCompressor(dict_data=dictionary)
+    archive = warc.dictionary_frame(dictionary) + press.compress(good)
+    assert [warc.parse_record(x)["page_id"] for x in warc.read_frames(io.BytesIO(archive).read)] == [7]
+    for broken, error in [(archive[:-3], "cut off"), (archive[:20], "cut off"), (b"", "no leading frame"), (press.compress(good), "magic number")]:
+        with pytest.raises(ValueError, match=error):
+            list(warc.read_frames(io.BytesIO(broken).read))
+    for old, new, error in [(b"<p>text", b"<p>tex7", "disagree"), (b"<p>text", b"<p>tex", "Content-Length"), (b"WARC/1.1", b"WARC/9.9", "not a WARC"), (b"WARC-Date:", b"WARC-Other:", "missing"), (b"HTTP/1.1", b"GOPHER/1", "no HTTP")]:
+        with pytest.raises(ValueError, match=error):
+            warc.parse_record(good.replace(old, new))
+
+
+def test_cross_parsing():
+    """Phrases of blocks against a search for each longest match."""
+    reference = b"the cat sat on the mat and the dog sat on the log "
+    parser = langid.CrossParser(reference)
+    texts = [b"the cat and the dog zat on the mat" * 40, b"", b"zzz", b"sat on the"]
+    got = langid.cross_entropies(texts, [parser])[:, 0]
+    for text, bits in zip(texts, got, strict=True):
+        phrases = 0
+        for at in range(0, len(text), langid.BLOCK):
+            phrase, phrases = b"", phrases + 1
+            for byte in text[at : at + langid.BLOCK]:
+                c = bytes([byte])
+                if phrase + c in reference:
+                    phrase += c
+                else:  # a byte that the reference lacks begins a phrase that goes on after it
+                    phrase, phrases = c if c in reference else b"", phrases + 1
+        assert bits == pytest.approx(phrases * parser.bits / max(len(text), 1))
+
+
+def test_clashing_columns(spark):
+    """Names that operators use within, and one with a backtick, stay as they are."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_hash", "_key", "_n", "_s", "_one", "h", "cls", "a`b", "hash", "row"]
+    rows = [(i, ("some words that come again " * 30) + str(i), "en", "s", 3, *["x"] * 10) for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in names[5:]))
+    for out in (mixing.mixed_documents(table), suffixes.documents_without_repeats(table, 50), ngram_join.one_of_each(table), rules.good_documents(table, spark.createDataFrame([], "doc_id long, quality int"))):
+        assert out.columns == names
+        assert all(set(r[5:]) == {"x"} for r in out.collect())
+    coded = bpe.bpe_encode(table, *vocabulary()).collect()
+    assert len(coded) == 4 and all(r["a`b"] == "x" for r in coded)
+
+
+def test_suffix_family_outlives_a_run(spark, tmp_path):
+    place = f"file://{tmp_path}/family"
+    rows = lambda keys, text: spark.createDataFrame([(k, text, i, 1) for i, k in enumerate(keys)], "key long, h binary, at long, n long")
+    found = lambda df: sorted((r.key, r.n) for r in df.collect())
+    family = suffixes.SuffixFamily(spark, place)
+    assert found(family.add(rows([1, 2, 2], b"a"))) == [(2, 2)]
+    assert found(family.add(rows([1, 3], b"b"))) == [(1, 2)] and [n for n, _ in family.levels] == [2]
+    again = suffixes.SuffixFamily(spark, place)
+    assert again.levels == family.levels
+    assert found(again.add(rows([2, 3, 4], b"c"))) == [(2, 3), (3, 2)] and [n for n, _ in again.levels] == [2, 1]
+    again.add(rows([5], b"d"))
+    assert [n for n, _ in again.levels] == [4] and again.entries().count() == 9
+
+
 def test_rules(spark, docs, empty):
     labels = spark.read.parquet(f"{D}/labels.parquet")
     out = rules.quality_rules(docs, labels).toPandas()

@@ -28,6 +28,7 @@ class Function:
 
 CATALOG: dict[str, Function] = {}
 _CUSTOM: dict[str, Callable[..., Value]] = {}
+_CUSTOM_OVER: dict[str, Callable[..., Value]] = {}
 
 
 def _entry(name: str, category: str, syntax: str, mode: str) -> Function:
@@ -54,23 +55,29 @@ def aggregate(*names: str, category: str, args: str, mode: str = "F"):
     return put
 
 
-def register_function(name: str, builder: Callable[..., Value]) -> None:
-    """A function of one's own; it shadows a built-in one of the same name."""
-    _CUSTOM[name.upper()] = builder
+def register_function(name: str, builder: Callable[..., Value] | None = None, over: Callable[..., Value] | None = None) -> None:
+    """A function of one's own, over the arguments of a row and, as ``over``, over the rows of a table;
+    it shadows a built-in one of the same name."""
+    for known, f in ((_CUSTOM, builder), (_CUSTOM_OVER, over)):
+        if f is not None:
+            known[name.upper()] = f
 
 
-def call(name: str, *args) -> Value:
-    """The row value of a function. Unknown names give ``#NAME?``."""
+def call(name: str, *args, **shape) -> Value:
+    """The row value of a function. Unknown names give ``#NAME?``. ``columns=`` says how wide the
+    row-major array of VLOOKUP, HLOOKUP or INDEX is."""
     name = name.upper()
     builder = _CUSTOM.get(name) or (CATALOG[name].row if name in CATALOG else None)
     if builder is None:
         return error(NAME)
-    return builder(*map(wrap, args))
+    return builder(*map(wrap, args), **shape)
 
 
 def over(name: str, *args) -> Value:
     """The value of an aggregate function over the rows of a table or group."""
     name = name.upper()
+    if name in _CUSTOM_OVER:
+        return _CUSTOM_OVER[name](*map(wrap, args))
     if name not in CATALOG or CATALOG[name].aggregate is None:
         return error(NAME)
     built = CATALOG[name].aggregate

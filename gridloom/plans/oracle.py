@@ -193,4 +193,33 @@ FROM t""",
     "chart_figures": """
 WITH t AS (SELECT c_mktsegment, c_nationkey, sum(c_acctbal) AS value FROM customer GROUP BY ALL)
 SELECT c_mktsegment, c_nationkey, round(abs(value) / sum(abs(value)) OVER w, 6) AS share, round(least(min(value) OVER w, 0), 6) AS low, round(greatest(max(value) OVER w, 0), 6) AS high FROM t WINDOW w AS (PARTITION BY c_mktsegment)""",
+    "further_rounding": """
+SELECT c_custkey, round(x * x, 4) AS power, ceil(x / 5) * 5 + 0.0 AS ceiling, CASE WHEN x < 0 THEN floor(x / 5) ELSE ceil(x / 5) END * 5 + 0.0 AS ceiling_math, floor(abs(x) / 5) * 5 AS floor, floor(x / 5) * 5 + 0.0 AS floor_precise,
+       round(x / 1000 + 0.5 * pow(x / 1000, 3) + 0.25 * pow(x / 1000, 5), 4) + 0.0 AS seriessum, round(pi() * x, 4) + 0.0 AS circle, round(x * 6, 4) + 0.0 AS product, round((x + 10) / 2, 4) + 0.0 AS average
+FROM (SELECT c_custkey, c_acctbal AS x FROM customer)""",
+    "random_numbers": 'SELECT p_partkey, true AS rand, true AS "between", true AS now, true AS today FROM part',
+    "constants": """
+SELECT n_nationkey, true AS "true", false AS "false", CAST(n_regionkey AS DOUBLE) AS ifna, CAST(n_regionkey AS DOUBLE) AS kept, 1.0::DOUBLE AS "row", 1.0::DOUBLE AS "rows", 1.0::DOUBLE AS "column", 1.0::DOUBLE AS "columns", 2.0::DOUBLE AS areas,
+       1.0::DOUBLE AS sheet, 1.0::DOUBLE AS sheets, '' AS cell, '16.0' AS info, n_name AS t, '' AS t_of_number, false AS isref, false AS isformula, n_name = 'CHINA' AS isblank, true AS islogical, true AS isnontext, false AS text_isnontext,
+       '#N/A' AS na, '#N/A' AS formulatext, '#VALUE!' AS row_of
+FROM nation""",
+    "text_codes": """
+SELECT p_partkey, p_name || '-' || p_size AS concatenate, CAST(p_size AS VARCHAR) AS text, chr(CAST(p_size % 26 + 65 AS INTEGER)) AS char, p_name AS clean, CAST(ascii(p_name) AS DOUBLE) AS unicode, chr(CAST(p_size + 944 AS INTEGER)) AS unichar
+FROM part""",
+    "text_dates": f"""
+SELECT o_orderkey, CAST({_SERIAL} AS DOUBLE) AS datevalue, CAST({_SERIAL} AS DOUBLE) AS slashes,
+       round((((o_orderkey % 12 + 1) % 12 + CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 0 END) * 3600 + o_orderkey % 60 * 60) / 86400, 8) AS timevalue,
+       CAST({_SERIAL} + date_diff('day', {_DAY}, list_filter(generate_series({_DAY} + INTERVAL 1 DAY, {_DAY} + INTERVAL 20 DAY, INTERVAL 1 DAY), lambda d: isodow(d) < 7)[10]::DATE) AS DOUBLE) AS workday
+FROM orders""",
+    "row_lookups": """
+SELECT c_custkey, round(c_acctbal * k, 4) AS hlookup, round(c_acctbal * k, 4) AS vlookup, round(c_acctbal * k, 4) AS "index", CAST(k % 3 + 1 AS DOUBLE) AS xmatch, 2.0::DOUBLE AS smaller, 3.0::DOUBLE AS larger,
+       'a, ' || c_mktsegment AS transposed, CASE k WHEN 1 THEN 'a, c, b' WHEN 2 THEN 'c, a, b' ELSE 'c, b, a' END AS sortby
+FROM (SELECT *, c_nationkey % 3 + 1 AS k FROM customer)""",
+    "further_statistics": """
+SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS stdev, round(stddev_pop(l_quantity), 6) AS stdevp, round(var_samp(l_quantity), 5) AS var, round(var_pop(l_quantity), 5) AS varp,
+       round(quantile_cont(l_extendedprice, 0.3), 4) AS p30, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, round(sum(l_quantity), 4) AS total
+FROM lineitem GROUP BY 1""",
+    "forecasts": """
+SELECT l_orderkey, l_linenumber, round((3 * q + 3 * t + 3) / 3 + 3 * (2 * t + 3) / 2, 4) AS linear, q AS middle, round(q + 2 * 1.959963985, 4) AS upper
+FROM (SELECT *, l_quantity AS q, l_tax * 100 AS t FROM lineitem)""",
 }

@@ -439,3 +439,86 @@ def chart_figures(spark, d):
     customer = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").alias("value"))
     out = formats.shares(customer, ["c_mktsegment"]).join(formats.extents(customer, ["c_mktsegment"]), "c_mktsegment")
     return out.select("c_mktsegment", "c_nationkey", *[rounded(F.col(c), 6).alias(c) for c in ("share", "low", "high")])
+
+
+@query
+def further_rounding(spark, d):
+    x, size = number("c_acctbal"), call("ABS", number("c_acctbal"))
+    built = {
+        "power": call("POWER", x, 2), "ceiling": call("CEILING", x, 5), "ceiling_math": call("CEILING.MATH", x, 5, 1), "floor": call("FLOOR", size, 5), "floor_precise": call("FLOOR.PRECISE", x, -5),
+        "seriessum": call("SERIESSUM", number(F.col("c_acctbal") / 1000), 1, 2, [1, 0.5, 0.25]), "circle": multiply(call("PI"), x), "product": call("PRODUCT", x, 2, 3), "average": call("AGGREGATE", 1, 6, x, 10),
+    }
+    return _per_row(table(spark, d, "customer"), ["c_custkey"], built, 4)
+
+
+@query
+def random_numbers(spark, d):
+    """Volatile functions by the ranges that their values have."""
+    drawn, die = call("RAND").column(), call("RANDBETWEEN", 1, number("p_size")).column()
+    now, today = call("NOW").column(), call("TODAY").column()
+    ranges = {"rand": (drawn >= 0) & (drawn < 1), "between": (die >= 1) & (die <= F.col("p_size")) & (die == F.floor(die)), "now": (now - today >= 0) & (now - today < 1), "today": today == to_serial(F.current_date())}
+    return table(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in ranges.items()])
+
+
+@query
+def constants(spark, d):
+    """What doesn't depend on a table's rows, or only on what kind of value they hold."""
+    n, s = number("n_regionkey"), text("n_name")
+    missing = call("NA")
+    built = {
+        "true": call("TRUE"), "false": call("FALSE"), "ifna": call("IFNA", missing, n), "kept": call("IFNA", n, -1), "row": call("ROW"), "rows": call("ROWS", n), "column": call("COLUMN"), "columns": call("COLUMNS", n),
+        "areas": call("AREAS", n, s), "sheet": call("SHEET"), "sheets": call("SHEETS"), "cell": call("CELL", "address", n), "info": call("INFO", "release"), "t": call("T", s), "t_of_number": call("T", n),
+        "isref": call("ISREF", n), "isformula": call("ISFORMULA", n), "isblank": call("ISBLANK", text(F.nullif("n_name", F.lit("CHINA")))), "islogical": call("ISLOGICAL", compare(n, ">", 1)), "isnontext": call("ISNONTEXT", n), "text_isnontext": call("ISNONTEXT", s),
+    }
+    errors = {"na": missing, "formulatext": call("FORMULATEXT", n), "row_of": call("ROW", n)}
+    return _per_row(table(spark, d, "nation"), ["n_nationkey"], built, 0).join(table(spark, d, "nation").select("n_nationkey", *[v.error().alias(k) for k, v in errors.items()]), "n_nationkey")
+
+
+@query
+def text_codes(spark, d):
+    s, n = text("p_name"), number("p_size")
+    built = {
+        "concatenate": call("CONCATENATE", s, "-", n), "text": call("TEXT", n, "0"), "char": call("CHAR", number(F.col("p_size") % 26 + 65)), "clean": call("CLEAN", text(F.concat(F.lit("\t"), "p_name", F.lit("\n")))),
+        "unicode": call("UNICODE", s), "unichar": call("UNICHAR", number(F.col("p_size") + 944)),
+    }
+    return _per_row(table(spark, d, "part"), ["p_partkey"], built, 0)
+
+
+@query
+def text_dates(spark, d):
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    clock = F.concat(k % 12 + 1, F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.when(k % 2 == 0, " PM").otherwise(" AM"))
+    built = {"datevalue": call("DATEVALUE", text(F.date_format(day, "yyyy-MM-dd"))), "slashes": call("DATEVALUE", text(F.date_format(day, "M/d/yyyy"))), "timevalue": call("TIMEVALUE", text(clock)), "workday": call("WORKDAY.INTL", serial("o_orderdate"), 10, 11)}
+    return _per_row(table(spark, d, "orders"), ["o_orderkey"], built, 8)
+
+
+@query
+def row_lookups(spark, d):
+    """Lookups in a small array of each row; it has one, two or three columns."""
+    x, k = F.col("c_acctbal"), number(F.col("c_nationkey") % 3 + 1)
+    one, two, three = (F.lit(float(i)) for i in (1, 2, 3))
+    wide, tall = array(F.array(one, two, three, x, x * 2, x * 3)), array(F.array(one, x, two, x * 2, three, x * 3))
+    built = {
+        "hlookup": call("HLOOKUP", k, wide, 2, False, columns=3), "vlookup": call("VLOOKUP", k, tall, 2, False, columns=2), "index": call("INDEX", wide, 2, k, columns=3),
+        "xmatch": call("XMATCH", k, [3, 1, 2]), "smaller": call("XMATCH", 2.5, array(F.array(one, two, three)), -1), "larger": call("XMATCH", 2.5, array(F.array(one, two, three)), 1),
+        "transposed": call("ARRAYTOTEXT", call("TRANSPOSE", array(F.array(F.lit("a"), F.col("c_mktsegment"))))), "sortby": call("ARRAYTOTEXT", call("SORTBY", array(F.array(*map(F.lit, "abc"))), array(F.array(k.c, F.lit(2.5), F.lit(1.0))))),
+    }
+    return _per_row(table(spark, d, "customer"), ["c_custkey"], built, 4)
+
+
+@query
+def further_statistics(spark, d):
+    y, x = number("l_extendedprice"), number("l_quantity")
+    names = {"STDEV": 6, "STDEVP": 6, "VAR": 5, "VARP": 5}
+    figures = [rounded(over(n, x), k).alias(n.lower()) for n, k in names.items()]
+    figures += [rounded(over("PERCENTILE.INC", y, 0.3), 4).alias("p30"), rounded(over("QUARTILE.INC", y, 3), 4).alias("q3"), rounded(over("AGGREGATE", 9, 6, x), 4).alias("total")]
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*figures)
+
+
+@query
+def forecasts(spark, d):
+    """A line through three points of each row, and quantiles of a normal distribution around one."""
+    q, t = F.col("l_quantity"), F.col("l_tax") * 100
+    known = array(F.array(q, q + t, q + 2 * t + 3))
+    built = {"linear": call("FORECAST.LINEAR", 5, known, [1, 2, 3]), "middle": call("NORM.INV", 0.5, number("l_quantity"), 2), "upper": call("NORM.INV", 0.975, number("l_quantity"), 2)}
+    return _per_row(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], built, 4)

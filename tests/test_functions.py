@@ -2,9 +2,12 @@
 
 import pytest
 
-from gridloom.functions import CATALOG, call
+from pyspark.sql import functions as F
+
+from gridloom.functions import CATALOG, call, over
 from gridloom.functions.maths import compare, divide, join_text, multiply, negate, power
-from gridloom.values import DIV0, NA, NUM, VALUE
+from gridloom.functions.registry import _CUSTOM, _CUSTOM_OVER, register_function
+from gridloom.values import DIV0, NA, NUM, VALUE, Value, num, number
 
 CASES = [
     ("SUM", (1, 2, "x"), 3), ("AVERAGE", (1, 2, 6), 3), ("COUNT", (1, "", "x", True), 3), ("PRODUCT", (2, 3, 4), 24), ("ROUND", (-2.5, 0), -2), ("ROUND", ("x", 0), VALUE),
@@ -47,3 +50,12 @@ def test_operators(spark):
     assert shown(spark, join_text(1, "a")) == "1a"
     assert shown(spark, compare("a", "=", "A")) is False
     assert shown(spark, multiply(divide(1, 0), 2)) == DIV0
+
+
+def test_own_function(spark):
+    register_function("twice", lambda v: multiply(v, 2), over=lambda v: Value("number", F.sum(num(v)) * 2))
+    try:
+        assert shown(spark, call("TWICE", 21)) == 42
+        assert spark.range(4).agg(over("Twice", number("id")).column().alias("v")).first().v == 12
+    finally:
+        del _CUSTOM["TWICE"], _CUSTOM_OVER["TWICE"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..values import Value, num, text_of
+from ..values import Value, num, text_of, truthy
+from .ranking import value_counts
 
 
 def cell_is(v: Value, operator: str, a, b=None) -> Column:
@@ -60,44 +62,111 @@ def against_average(df: DataFrame, v: Value, out: str, *, above: bool = True, eq
     return with_mean.withColumn(out, F.coalesce(test, F.lit(False))).drop("_mean")
 
 
-def stop_value(kind: str, given: float | None, low: Column, high: Column, values: Column | None = None) -> Column:
-    """A threshold: num, min, max, percent of the span, or percentile (nearest rank) of ``values``."""
-    if kind == "percentile":
-        s = F.array_sort(values)
-        return F.try_element_at(s, (F.ceil((F.size(s) - 1) * given / 100) + 1).cast("int"))
-    return {"min": low, "max": high, "num": F.lit(given), "percent": low + (high - low) * ((given or 0) / 100)}[kind]
+def stop_value(kind: str, given: float | Column | None, low: Column, high: Column) -> Column:
+    """A threshold: num, min, max, percent of the span, or a formula's column; percentiles need all
+    values (``_nearest_rank``)."""
+    if kind == "percent":
+        return low + (high - low) * (float(given or 0) / 100)
+    return {"min": low, "max": high}[kind] if kind in ("min", "max") else F.lit(given).cast("double")
+
+
+def _nearest_rank(df: DataFrame, v: Value, percent: float, out: str, by: list[str]) -> DataFrame:
+    """Of each group, or of the table, the value at place ceil((n - 1) * percent / 100) from 0: a row
+    each, made from counts of distinct values."""
+    if by:
+        group = Window.partitionBy(*by)
+        counts = df.select(*by, num(v).alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select("*", before.alias("below"), F.sum("n").over(group).alias("total"))
+    else:
+        counts = value_counts(df, v)
+        counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # one row
+    place = F.ceil((F.col("total") - 1) * min(max(float(percent), 0.0), 100.0) / 100)
+    return counts.where((F.col("below") <= place) & (place < F.col("below") + F.col("n"))).groupBy(*by).agg(F.max("v").alias(out))
+
+
+def _with_stops(df: DataFrame, v: Value, stops: list[tuple], by: list[str]) -> DataFrame:
+    """``_stop0``, ``_stop1``, ...: values of stops, which are pairs of a kind and what is given with it."""
+    out = _figures(df, by, F.min(num(v)).alias("_low"), F.max(num(v)).alias("_high"))
+    for i, (kind, given, *_) in enumerate(stops):
+        if kind == "percentile":
+            found = _nearest_rank(df, v, given or 0, f"_stop{i}", by)
+            out = out.join(found, by, "left") if by else out.crossJoin(F.broadcast(found))  # one row
+        else:
+            out = out.withColumn(f"_stop{i}", stop_value(kind, given, F.col("_low"), F.col("_high")))
+    return out
+
+
+def _without_stops(df: DataFrame, stops: list[tuple]) -> DataFrame:
+    return df.drop("_low", "_high", *(f"_stop{i}" for i in range(len(stops))))
 
 
 def _byte(c: Column) -> Column:
     return F.lpad(F.hex(F.floor(c + 0.5).cast("long")), 2, "0")
 
 
-def color_scale(df: DataFrame, v: Value, out: str, colors: list[str], by: list[str] | None = None) -> DataFrame:
-    """RRGGBB between two or three colours from the least to the largest value of the group."""
-    spread = _figures(df, by or [], F.min(num(v)).alias("_low"), F.max(num(v)).alias("_high"))
-    share = F.when(F.col("_high") > F.col("_low"), (num(v) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+def _share(x: Column, low: str, high: str) -> Column:
+    """Where x lies between two stops, from 0 to 1; 1 where they are equal."""
+    span = F.col(high) - F.col(low)
+    return F.when(span == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col(low)) / F.when(span != 0, span))))
+
+
+def color_scale(df: DataFrame, v: Value, out: str, colors: list[str], by: list[str] | None = None, stops: list[tuple] | None = None) -> DataFrame:
+    """RRGGBB between two or three colours at as many stops, by default spread evenly from the least
+    to the largest value of the group. Equal outer stops give the last colour."""
     last = len(colors) - 1
+    stops = stops or [("min", None), *(("percent", 100 * i / last) for i in range(1, last)), ("max", None)]
+    placed = _with_stops(df, v, stops, by or [])
     part = lambda color, i: int(color[2 * i : 2 * i + 2], 16)
-    shade = lambda i: reduce(
-        lambda later, k: F.when(share * last <= k + 1, part(colors[k], i) + (share * last - k) * (part(colors[k + 1], i) - part(colors[k], i))).otherwise(later),
-        range(last - 1, -1, -1),
-        F.lit(float(part(colors[-1], i))),
-    )
-    return spread.withColumn(out, F.when(num(v).isNotNull(), F.concat(*[_byte(shade(i)) for i in range(3)]))).drop("_low", "_high")
-
-
-def data_bar(df: DataFrame, v: Value, out: str, by: list[str] | None = None) -> DataFrame:
-    """Length of the bar from 0 to 100."""
-    spread = _figures(df, by or [], F.min(num(v)).alias("_low"), F.max(num(v)).alias("_high"))
-    share = (num(v) - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")) * 100
-    return spread.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(share, F.lit(100.0))))).drop("_low", "_high")
-
-
-def icon_set(df: DataFrame, v: Value, out: str, percents: list[float], by: list[str] | None = None) -> DataFrame:
-    """Number, from 0, of the last threshold that the value reaches."""
-    spread = _figures(df, by or [], F.min(num(v)).alias("_low"), F.max(num(v)).alias("_high"))
-    cuts = F.array(*[F.col("_low") + (F.col("_high") - F.col("_low")) * (p / 100) for p in percents])
-    return spread.withColumn(out, F.when(num(v).isNotNull(), F.greatest(F.size(F.filter(cuts, lambda c: c <= num(v))) - 1, F.lit(0)))).drop("_low", "_high")
+    between = lambda k, i: part(colors[k], i) + _share(num(v), f"_stop{k}", f"_stop{k + 1}") * (part(colors[k + 1], i) - part(colors[k], i))
+    shade = lambda i: reduce(lambda later, k: F.when(num(v) <= F.col(f"_stop{k + 1}"), between(k, i)).otherwise(later), range(last - 2, -1, -1), between(last - 1, i))
+    flat = F.col("_stop0") == F.col(f"_stop{last}")
+    color = F.when(flat, colors[-1]).otherwise(F.concat(*[_byte(shade(i)) for i in range(3)]))
+    return _without_stops(placed.withColumn(out, F.when(num(v).isNotNull(), color)), stops)
+
+
+def data_bar(df: DataFrame, v: Value, out: str, by: list[str] | None = None, stops: list[tuple] | None = None) -> DataFrame:
+    """Length of the bar from 0 to 100 between two stops, by default the least and the largest value."""
+    stops = stops or [("min", None), ("max", None)]
+    placed = _with_stops(df, v, stops, by or [])
+    return _without_stops(placed.withColumn(out, F.coalesce(_share(num(v), "_stop0", f"_stop{len(stops) - 1}") * 100, F.lit(100.0))), stops)
+
+
+def icon_set(df: DataFrame, v: Value, out: str, percents: list[float] | None = None, by: list[str] | None = None, stops: list[tuple] | None = None) -> DataFrame:
+    """Number, from 0, of the last threshold that the value reaches; one with a third part ``False`` must
+    be exceeded. ``percents`` of the span are short for stops."""
+    stops = stops or [("percent", p) for p in percents or ()]
+    placed = _with_stops(df, v, stops, by or [])
+    reached = [(num(v) > F.col(f"_stop{i}")) if more == [False] else (num(v) >= F.col(f"_stop{i}")) for i, (_, _, *more) in enumerate(stops)]
+    icon = F.greatest(F.lit(0), *[F.when(test, i).otherwise(0) for i, test in enumerate(reached)])
+    return _without_stops(placed.withColumn(out, F.when(num(v).isNotNull(), icon)), stops)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A style where a test holds: any of the tests here, or an expression by ``expression``."""
+
+    style: str
+    test: Column
+    priority: float = float("inf")
+    stop_if_true: bool = False
+
+
+def expression(v: Value) -> Column:
+    """The test of an expression rule: its value is neither false, 0, blank nor the text FALSE."""
+    return truthy(v)
+
+
+def applied(df: DataFrame, rules: list[Rule], out: str) -> DataFrame:
+    """Array of the styles whose rules hold for a row, by priority and then as given, up to the first
+    that holds and stops."""
+    going, styles = F.lit(True), []
+    for rule in sorted(rules, key=lambda r: r.priority):
+        holds = F.coalesce(rule.test, F.lit(False))
+        styles.append(F.when(going & holds, rule.style))
+        if rule.stop_if_true:
+            going = going & ~holds
+    return df.withColumn(out, F.filter(F.array(*styles).cast("array<string>"), lambda s: s.isNotNull()))
 
 
 def tinted(color: Column, tint: Column) -> Column:

@@ -222,4 +222,15 @@ FROM lineitem GROUP BY 1""",
     "forecasts": """
 SELECT l_orderkey, l_linenumber, round((3 * q + 3 * t + 3) / 3 + 3 * (2 * t + 3) / 2, 4) AS linear, q AS middle, round(q + 2 * 1.959963985, 4) AS upper
 FROM (SELECT *, l_quantity AS q, l_tax * 100 AS t FROM lineitem)""",
+    "format_stops": """
+WITH g AS (SELECT c_mktsegment, min(c_acctbal) AS a, max(c_acctbal) AS b, list_sort(list(c_acctbal)) AS l FROM customer GROUP BY 1),
+     w AS (SELECT min(c_acctbal) AS wa, max(c_acctbal) AS wb, list_sort(list(c_acctbal)) AS wl FROM customer),
+     p AS (SELECT wa + (wb - wa) * 0.9 AS far, wl[CAST(ceil((len(wl) - 1) * 0.33) AS INTEGER) + 1] AS third, wl[CAST(ceil((len(wl) - 1) * 0.67) AS INTEGER) + 1] AS two FROM w),
+     m AS (SELECT c_custkey, c_acctbal AS v, a, b, l[CAST(ceil((len(l) - 1) * 0.5) AS INTEGER) + 1] AS mid FROM customer JOIN g USING (c_mktsegment)),
+     t AS (SELECT *, v <= mid AS lower, CASE WHEN v <= mid THEN (v - a) / (mid - a) ELSE (v - mid) / (b - mid) END AS s FROM m)
+SELECT c_custkey, printf('%02X%02X%02X', CAST(floor(CASE WHEN lower THEN 248 + s * 7 ELSE 255 - s * 156 END + 0.5) AS INTEGER), CAST(floor(CASE WHEN lower THEN 105 + s * 130 ELSE 235 - s * 45 END + 0.5) AS INTEGER),
+         CAST(floor(CASE WHEN lower THEN 107 + s * 25 ELSE 132 - s * 9 END + 0.5) AS INTEGER)) AS color,
+       round(greatest(0, least(1, v / far)) * 100, 6) AS bar, CASE WHEN v > two THEN 2 WHEN v >= third THEN 1 ELSE 0 END AS icon,
+       CASE WHEN v > 5000 THEN 'bold' WHEN v < 0 THEN 'red' WHEN v > 4000 THEN 'blue,plain' WHEN v > 3000 THEN 'plain' ELSE '' END AS styles
+FROM t, p""",
 }

@@ -522,3 +522,14 @@ def forecasts(spark, d):
     known = array(F.array(q, q + t, q + 2 * t + 3))
     built = {"linear": call("FORECAST.LINEAR", 5, known, [1, 2, 3]), "middle": call("NORM.INV", 0.5, number("l_quantity"), 2), "upper": call("NORM.INV", 0.975, number("l_quantity"), 2)}
     return _per_row(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], built, 4)
+
+
+@query
+def format_stops(spark, d):
+    """Scales whose stops are percentiles, numbers and percents, and rules by priority."""
+    customer, v = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), number("c_acctbal")
+    out = formats.color_scale(customer, v, "color", ["F8696B", "FFEB84", "63BE7B"], ["c_mktsegment"], [("min", None), ("percentile", 50), ("max", None)])
+    out = formats.data_bar(out, v, "bar", stops=[("num", 0), ("percent", 90)])
+    out = formats.icon_set(out, v, "icon", stops=[("percent", 0), ("percentile", 33), ("percentile", 67, False)])
+    rules = [formats.Rule("red", formats.cell_is(v, "lessThan", 0.0), 2), formats.Rule("bold", formats.expression(compare(v, ">", 5000)), 1, True), formats.Rule("blue", formats.cell_is(v, "greaterThan", 4000.0), 3), formats.Rule("plain", formats.cell_is(v, "greaterThan", 3000.0))]
+    return formats.applied(out, rules, "styles").select("c_custkey", "color", rounded(F.col("bar"), 6).alias("bar"), F.col("icon").cast("int").alias("icon"), F.array_join("styles", ",").alias("styles"))

@@ -3,15 +3,16 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from gridloom.operators import lookup
+from gridloom.operators import formats, lookup
 from gridloom.plans.oracle import ORACLE_SQL
 from gridloom.plans.queries import QUERIES
 from gridloom.values import number
 
 D = "/root/testdata/sf0.001"
-NAMES = ["sumifs_by_segment", "conditional_aggregates", "plain_aggregates", "vlookup_exact", "lookup_approximate", "match_next", "xlookup_wildcard", "index_match", "sumifs_per_row", "rank_table", "trimmed_mean", "frequency_bins", "operators_arithmetic", "text_numbers", "dates", "conditions", "grid_recalculation", "grid_edits", "format_top", "arrays", "further_rounding", "random_numbers", "constants", "text_codes", "text_dates", "row_lookups", "further_statistics", "forecasts"]
+NAMES = ["sumifs_by_segment", "conditional_aggregates", "plain_aggregates", "vlookup_exact", "lookup_approximate", "match_next", "xlookup_wildcard", "index_match", "sumifs_per_row", "rank_table", "trimmed_mean", "frequency_bins", "operators_arithmetic", "text_numbers", "dates", "conditions", "grid_recalculation", "grid_edits", "format_top", "arrays", "further_rounding", "random_numbers", "constants", "text_codes", "text_dates", "row_lookups", "further_statistics", "forecasts", "format_scales", "format_stops"]
 
 
 def shown(value):
@@ -48,3 +49,15 @@ def test_exact_takes_the_first_of_equal_keys(spark):
     get = lambda **more: sorted((r.k, r.found_v) for r in lookup.exact(left, number("k"), right, number("k"), ["v"], **more).collect())
     assert get() == [(1, "a"), (2, None)]
     assert get(position="at") == [(1, "b"), (2, None)] and get(position="at", last=True) == [(1, "a"), (2, None)]
+
+
+def test_scales_of_few_values(spark):
+    """Equal outer stops, a formula's stop, rows without a number and an empty table."""
+    rows = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, None)], "k long, v double")
+    v = number("v")
+    get = lambda df, c: {r.k: r[c] for r in df.collect()}
+    assert get(formats.color_scale(rows.where("v is not null"), v, "c", ["000000", "0000FF"]), "c") == {1: "0000FF", 2: "0000FF"}
+    assert get(formats.data_bar(rows.where("k < 3"), v, "c"), "c") == {1: 100.0, 2: 100.0}
+    assert get(formats.icon_set(rows.where("k < 3"), v, "c", stops=[("num", 0), ("formula", F.col("k") + 3.5)]), "c") == {1: 1, 2: 0}
+    assert formats.color_scale(rows.where("false"), v, "c", ["000000", "0000FF"], stops=[("percentile", 10), ("max", None)]).count() == 0
+    assert get(formats.applied(rows, [], "c"), "c") == {1: [], 2: [], 3: []}

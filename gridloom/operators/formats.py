@@ -33,10 +33,17 @@ def text_is(v: Value, rule: str, part: str) -> Column:
     return {"containsText": s.contains(part), "notContainsText": ~s.contains(part), "beginsWith": s.startswith(part), "endsWith": s.endswith(part)}[rule]
 
 
+def _onto(df: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of each row's group, a null group included; null where ``found`` lacks it."""
+    own = {c: f"_by{i}" for i, c in enumerate(by)}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in own.items()])
+    return df.join(found.withColumnsRenamed(own), same, "left").drop(*own.values())
+
+
 def _figures(df: DataFrame, by: list[str], *figures: Column) -> DataFrame:
     """Figures of each group of targets, joined back by the group."""
     if by:
-        return df.join(df.groupBy(*by).agg(*figures), by)
+        return _onto(df, df.groupBy(*by).agg(*figures), by)
     return df.crossJoin(F.broadcast(df.agg(*figures)))  # one row
 
 
@@ -50,7 +57,7 @@ def top(df: DataFrame, v: Value, out: str, k: int, *, percent: bool = False, bot
     ahead = F.coalesce(F.sum("_c").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_c").over(Window.partitionBy(*(by or [F.lit(1)])))
     edge = counts.withColumn("_ahead", ahead).withColumn("_n", total).where(F.col("_ahead") < count).groupBy(*by).agg((F.max("_v") if bottom else F.min("_v")).alias("_edge"))
-    joined = df.join(edge, by, "left") if by else df.crossJoin(F.broadcast(edge))
+    joined = _onto(df, edge, by) if by else df.crossJoin(F.broadcast(edge))
     inside = num(v) <= F.col("_edge") if bottom else num(v) >= F.col("_edge")
     return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_edge")
 
@@ -91,7 +98,7 @@ def _with_stops(df: DataFrame, v: Value, stops: list[tuple], by: list[str]) -> D
     for i, (kind, given, *_) in enumerate(stops):
         if kind == "percentile":
             found = _nearest_rank(df, v, given or 0, f"_stop{i}", by)
-            out = out.join(found, by, "left") if by else out.crossJoin(F.broadcast(found))  # one row
+            out = _onto(out, found, by) if by else out.crossJoin(F.broadcast(found))  # one row
         else:
             out = out.withColumn(f"_stop{i}", stop_value(kind, given, F.col("_low"), F.col("_high")))
     return out

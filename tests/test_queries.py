@@ -52,7 +52,7 @@ def test_exact_takes_the_first_of_equal_keys(spark):
 
 
 def test_scales_of_few_values(spark):
-    """Equal outer stops, a formula's stop, rows without a number and an empty table."""
+    """Equal outer stops, a formula's stop, no rules and an empty table."""
     rows = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, None)], "k long, v double")
     v = number("v")
     get = lambda df, c: {r.k: r[c] for r in df.collect()}
@@ -61,3 +61,12 @@ def test_scales_of_few_values(spark):
     assert get(formats.icon_set(rows.where("k < 3"), v, "c", stops=[("num", 0), ("formula", F.col("k") + 3.5)]), "c") == {1: 1, 2: 0}
     assert formats.color_scale(rows.where("false"), v, "c", ["000000", "0000FF"], stops=[("percentile", 10), ("max", None)]).count() == 0
     assert get(formats.applied(rows, [], "c"), "c") == {1: [], 2: [], 3: []}
+
+
+def test_formats_of_a_null_group(spark):
+    rows = spark.createDataFrame([(1, None, 1.0), (2, None, 3.0), (3, "a", 7.0), (4, "a", 2.0)], "k long, g string, v double")
+    v = number("v")
+    get = lambda df: {r.k: r.c for r in df.collect()}
+    assert get(formats.top(rows, v, "c", 1, by=["g"])) == {1: False, 2: True, 3: True, 4: False}
+    assert get(formats.against_average(rows, v, "c", by=["g"])) == {1: False, 2: True, 3: True, 4: False}
+    assert get(formats.icon_set(rows, v, "c", by=["g"], stops=[("min", None), ("percentile", 100)])) == {1: 0, 2: 1, 3: 1, 4: 0}

@@ -53,5 +53,30 @@ SELECT s.doc_id, s.size, r.source_size, r.target,
 FROM sized s
 JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
 LEFT JOIN (SELECT *, 1 AS source_size FROM cuts) c ON s.source IS NOT DISTINCT FROM c.source
+""",
+    "op13_fill_in_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digest
+  FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, ('0x' || digest[1:8])::BIGINT % (len(units) + 1) AS one, ('0x' || digest[9:16])::BIGINT % (len(units) + 1) AS two,
+         ('0x' || digest[17:24])::BIGINT AS third, ('0x' || digest[25:32])::BIGINT AS fourth
+  FROM cut
+), formed AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR third % 100 >= 100 THEN 'plain'
+                 WHEN fourth % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed
 """,
 }

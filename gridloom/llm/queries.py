@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lengths, mixing, ngram_join, rules, suffixes, vectors, warc
+from . import bpe, chat, langid, lengths, middles, mixing, ngram_join, rules, secrets, suffixes, vectors, warc, whitening
 from .common import table
 
 
@@ -68,6 +68,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middles.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(middles.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,5 +95,8 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_embedding_near_dup,
         op10_suffix_array_dedup,
+        op11_secret_scan,
+        op12_embedding_whitening,
+        op13_fill_in_middle,
     )
 }

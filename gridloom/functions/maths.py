@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..affine import Affine, combined
 from ..values import DIV0, NUM, VALUE, Value, finite, first_error, let, num, num0, result, text_of, wrap
 from .registry import CATALOG, aggregate, row
 
@@ -43,8 +44,10 @@ def steps(start, stop) -> Column:
 # operators
 
 
-def _arithmetic(f, zero: str | None = None):
+def _arithmetic(f, sign: str, zero: str | None = None):
     def operator(a, b) -> Value:
+        if isinstance(a, Affine) or isinstance(b, Affine):
+            return combined(sign, a, b)
         a, b = wrap(a), wrap(b)
         x, y = num(a), num(b)
         cases = first_error(a, b)
@@ -55,14 +58,16 @@ def _arithmetic(f, zero: str | None = None):
     return operator
 
 
-add = _arithmetic(lambda x, y: x + y)
-subtract = _arithmetic(lambda x, y: x - y)
-multiply = _arithmetic(lambda x, y: x * y)
-divide = _arithmetic(lambda x, y: x / y, DIV0)
-power = _arithmetic(F.pow)
+add = _arithmetic(lambda x, y: x + y, "+")
+subtract = _arithmetic(lambda x, y: x - y, "-")
+multiply = _arithmetic(lambda x, y: x * y, "*")
+divide = _arithmetic(lambda x, y: x / y, "/", DIV0)
+power = _arithmetic(F.pow, "^")
 
 
 def negate(a) -> Value:
+    if isinstance(a, Affine):
+        return combined("*", a, -1.0)
     a = wrap(a)
     return result("number", -num(a), *first_error(a))
 

@@ -7,15 +7,19 @@ ranges, and a builder of the value. All targets of a template are computed by on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..affine import Affine, NotAffine
 from ..storage import Grown, written
 from ..values import CELL_TYPE, CYCLE, Value, as_cell, cell
+from .scans import Sliding, as_map, followed, sliding_totals
+from .tiles import LAST, in_ranges
 
 CELLS = f"sheet string, row int, col int, v {CELL_TYPE}"
 _EMPTY = "struct('empty' as t, cast(null as double) as n, cast(null as string) as s, cast(null as boolean) as b, cast(null as string) as e)"
@@ -35,6 +39,11 @@ def infer(text: Column) -> Column:
     )
 
 
+def number_cell(value: Column) -> Column:
+    """The cell of a number; null is a blank one."""
+    return as_cell(Value("number", value.cast("double"), blank=True))
+
+
 def with_edits(cells: DataFrame, edits: DataFrame) -> DataFrame:
     """``cells`` after ``edits`` (sheet, row, col, v, version): the last version of a cell counts, and an
     empty one removes it."""
@@ -56,13 +65,34 @@ def blanks(count: int | None, filled: Column) -> Column:
     return F.lit(0) if count is None else F.lit(count) - filled
 
 
+def anchored(places: DataFrame, merges: DataFrame) -> DataFrame:
+    """``places`` (sheet, row, col and others) with ``anchor_row`` and ``anchor_col``: the first cell of
+    the merged range (sheet, r1, c1, r2, c2) that covers the place, or the place itself. Merged
+    ranges don't overlap; where they do, the least anchor counts."""
+    found = in_ranges(places.select("sheet", "row", "col").distinct(), merges.select("sheet", "r1", "c1", "r2", "c2"))
+    least = found.groupBy(*[F.col(f"cell.{c}").alias(c) for c in ("sheet", "row", "col")]).agg(F.min(F.struct("range.r1", "range.c1")).alias("_a"))
+    own = [F.col("_row").getField(c).alias(c) for c in places.columns]
+    keyed = places.select(F.struct("*").alias("_row"), "sheet", "row", "col").join(least, ["sheet", "row", "col"], "left")
+    return keyed.select(*own, F.coalesce("_a.r1", "row").alias("anchor_row"), F.coalesce("_a.c1", "col").alias("anchor_col"))
+
+
+def shown_at(places: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """``places`` (sheet, row, col) with ``v``, what a reference to them reads: covered cells of merged
+    ranges show their anchor's value; null where that is blank. No row is made for other cells."""
+    values = cells.select("sheet", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), "v")
+    return anchored(places.select("sheet", "row", "col"), merges).join(values, ["sheet", "anchor_row", "anchor_col"], "left").select("sheet", "row", "col", "v")
+
+
 def unmerged(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """``cells`` with covered cells of merged ranges (sheet, r1, c1, r2, c2) showing their anchor's value."""
-    covered = merges.withColumn("row", F.explode(F.sequence("r1", "r2"))).withColumn("col", F.explode(F.sequence("c1", "c2")))
+    """``cells`` with covered cells of merged ranges (sheet, r1, c1, r2, c2) showing their anchor's value.
+    The result has a row for every cell that a filled anchor covers; ``shown_at`` answers for given
+    places only."""
+    ranges = merges.select("sheet", "r1", "c1", "r2", "c2").distinct()
+    rest = in_ranges(cells.select("sheet", "row", "col", "v"), ranges, how="left_anti")
     anchors = cells.select("sheet", F.col("row").alias("r1"), F.col("col").alias("c1"), "v")
-    shown = covered.join(anchors, ["sheet", "r1", "c1"]).select("sheet", "row", "col", "v")
-    rest = cells.join(covered.select("sheet", "row", "col"), ["sheet", "row", "col"], "left_anti")
-    return rest.select("sheet", "row", "col", "v").unionByName(shown)
+    filled = ranges.join(anchors, ["sheet", "r1", "c1"])
+    shown = filled.withColumn("row", F.explode(F.sequence("r1", "r2"))).withColumn("col", F.explode(F.sequence("c1", "c2")))
+    return rest.select("sheet", "row", "col", "v").unionByName(shown.select("sheet", "row", "col", "v"))
 
 
 def as_table(cells: DataFrame, sheet: str, columns: dict[int, tuple[str, str]], first_row: int = 2) -> DataFrame:
@@ -113,7 +143,7 @@ class Template:
     sheet: str
     rows: tuple[int, int]
     cols: tuple[int, int]
-    inputs: dict[str, Cell | Range]
+    inputs: dict[str, Cell | Range | Sliding]
     build: Callable[..., Value]
     name: str = field(default="")
 
@@ -132,8 +162,12 @@ def edges(spark: SparkSession, templates: list[Template]) -> DataFrame:
                 r = F.lit(ref.row) if ref.fixed else F.col("row") + ref.row
                 c = F.lit(ref.col) if ref.fixed else F.col("col") + ref.col
                 box = (r, c, r, c)
+            elif isinstance(ref, Sliding):
+                ends = [F.lit(x) if isinstance(x, int) else x for x in ref.rows_of(F.col("row"))]
+                cols = [F.lit(c) if ref.fixed_cols else F.col("col") + c for c in ref.cols]
+                box = (F.greatest(F.least(*ends), F.lit(1)), cols[0], F.greatest(*ends), cols[1])
             else:
-                box = (F.lit(ref.r1 or 1), F.lit(ref.c1), F.lit(ref.r2 or 1 << 20), F.lit(ref.c2))
+                box = (F.lit(ref.r1 or 1), F.lit(ref.c1), F.lit(ref.r2 or LAST), F.lit(ref.c2))
             one = targets(spark, t).select("*", F.lit(ref.sheet or t.sheet).alias("src_sheet"), *[x.cast("int").alias(n) for x, n in zip(box, ("r1", "c1", "r2", "c2"), strict=True)])
             out = one if out is None else out.unionByName(one)
     return out
@@ -145,7 +179,9 @@ def _reads(one: Template, other: Template) -> bool:
         if (ref.sheet or one.sheet) != other.sheet:
             continue
         if isinstance(ref, Range):
-            rows, cols = (ref.r1 or 1, ref.r2 or 1 << 20), (ref.c1, ref.c2)
+            rows, cols = (ref.r1 or 1, ref.r2 or math.inf), (ref.c1, ref.c2)
+        elif isinstance(ref, Sliding):
+            rows, cols = ref.span(one.rows), ref.cols if ref.fixed_cols else (one.cols[0] + ref.cols[0], one.cols[1] + ref.cols[1])
         elif ref.fixed:
             rows, cols = (ref.row, ref.row), (ref.col, ref.col)
         else:
@@ -178,14 +214,17 @@ def levels(templates: list[Template]) -> list[tuple[list[Template], bool]]:
     return out
 
 
-def _with_inputs(cells: DataFrame, t: Template, out: DataFrame, inputs: dict[str, Cell | Range]) -> DataFrame:
+def _with_inputs(cells: DataFrame, t: Template, out: DataFrame, inputs: dict[str, Cell | Range | Sliding]) -> DataFrame:
     """Target cells ``out`` beside the values of ``inputs``: one equi-join for each cell, one aggregate
-    of a single row for each range."""
+    of a single row for each fixed range, one scan for each that moves."""
     for name, ref in inputs.items():
         source = cells.where(F.col("sheet") == (ref.sheet or t.sheet))
         if isinstance(ref, Range):
             total = area(cells, ref.sheet or t.sheet, ref.r1, ref.c1, ref.r2, ref.c2).agg(as_cell(ref.total(cell("v"))).alias(f"_{name}"))
             out = out.crossJoin(F.broadcast(total))  # one row
+        elif isinstance(ref, Sliding):
+            totals = sliding_totals(cells, ref, t.sheet, out.select("row", "col"), t.rows, t.cols)
+            out = out.join(totals.withColumnRenamed("v", f"_{name}"), ["row", "col"], "left")
         elif ref.fixed:
             one = source.where((F.col("row") == ref.row) & (F.col("col") == ref.col)).agg(F.first("v").alias(f"_{name}"))
             out = out.crossJoin(F.broadcast(one))  # one row
@@ -221,6 +260,30 @@ def _own_cells(t: Template) -> dict[str, Cell]:
     return own if all(s < 0 for s in steps) or all(s > 0 for s in steps) else {}
 
 
+def _composed(cells: DataFrame, t: Template, own: dict[str, Cell]) -> DataFrame:
+    """A template whose value is affine in the one cell above (or below) that it reads, by composed maps
+    (``scans.followed``); raises ``NotAffine`` for any other."""
+    if len(own) != 1:
+        raise NotAffine("several cells")
+    ((name, ref),) = own.items()
+    back, down = abs(ref.row), ref.row < 0
+    others = {n: r for n, r in t.inputs.items() if n != name}
+    values = {n: cell(F.coalesce(F.col(f"_{n}"), F.expr(_EMPTY))) for n in others} | {name: Affine(F.lit(1.0), F.lit(0.0))}
+    made = as_map(t.build(**values))
+    at = (F.col("row") - t.rows[0]) if down else (t.rows[1] - F.col("row"))
+    chain = lambda place: F.struct("col", F.pmod(place, F.lit(back)).alias("k")).alias("_chain")
+    inputs = _with_inputs(cells, t, targets(cells.sparkSession, t), others)
+    maps = inputs.select(chain(at), F.floor(at / back).alias("_at"), made.alias("_map"))
+    # chains start from the cells before the first targets, blank or not
+    before = replace(t, rows=(t.rows[0] - back, t.rows[0] - 1) if down else (t.rows[1] + 1, t.rows[1] + back))
+    known = cells.where(F.col("sheet") == t.sheet).select("row", "col", "v")
+    starts = targets(cells.sparkSession, before).join(known, ["row", "col"], "left").select(chain(at + back), F.coalesce("v", F.expr(_EMPTY).cast(CELL_TYPE)).alias("v"))
+    done = followed(maps, starts, -(-(t.rows[1] - t.rows[0] + 1) // back))
+    place = F.col("_at") * back + F.col("_chain.k")
+    row = (place + t.rows[0]) if down else (F.lit(t.rows[1]) - place)
+    return done.select(F.lit(t.sheet).alias("sheet"), row.cast("int").alias("row"), "_chain.col", F.col("v").cast(CELL_TYPE).alias("v"))
+
+
 def _filled(cells: DataFrame, t: Template, own: dict[str, Cell]) -> DataFrame:
     """A template whose cells read those above (or below) them: its other inputs are joined at once,
     and each column is folded over ``FILL_ROWS`` rows a job, which start from the values before them."""
@@ -247,10 +310,16 @@ def _filled(cells: DataFrame, t: Template, own: dict[str, Cell]) -> DataFrame:
     return made.where(at >= 0)
 
 
-def _of(t: Template, ref: Cell | Range, places: DataFrame) -> tuple[DataFrame, bool]:
-    """Targets that read some of ``places`` by ``ref``: row and col, or any row where all targets read
-    the same cells."""
+_SEEN = "struct('n' as t, 1.0D as n, cast(null as string) as s, cast(null as boolean) as b, cast(null as string) as e)"
+
+
+def _of(t: Template, ref: Cell | Range | Sliding, places: DataFrame, own: DataFrame) -> tuple[DataFrame, bool]:
+    """Those of the targets ``own`` that read some of ``places`` by ``ref``: row and col, or any row where
+    all targets read the same cells."""
     there = places.where(F.col("sheet") == (ref.sheet or t.sheet))
+    if isinstance(ref, Sliding):
+        counted = sliding_totals(there.withColumn("v", F.expr(_SEEN)), replace(ref, total="COUNTA"), t.sheet, own, t.rows, t.cols, clipped=True)
+        return counted.where("v.n > 0").select("row", "col"), True
     if isinstance(ref, Range):
         return area(there, ref.sheet or t.sheet, ref.r1, ref.c1, ref.r2, ref.c2).limit(1), False
     if ref.fixed:
@@ -263,6 +332,9 @@ def _read_by(t: Template, own: DataFrame, places: DataFrame) -> DataFrame:
     out = places.limit(0)
     for ref in t.inputs.values():
         there = places.where(F.col("sheet") == (ref.sheet or t.sheet))
+        if isinstance(ref, Sliding):
+            out = out.unionByName(_read_by_sliding(t, ref, own, there))
+            continue
         if isinstance(ref, Cell) and not ref.fixed:
             read = there.join(own.select((F.col("row") + ref.row).alias("row"), (F.col("col") + ref.col).alias("col")), ["row", "col"], "left_semi").select(*_PLACE)
         else:
@@ -272,6 +344,34 @@ def _read_by(t: Template, own: DataFrame, places: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _read_by_sliding(t: Template, ref: Sliding, own: DataFrame, there: DataFrame) -> DataFrame:
+    """Those of the places ``there`` that lie in a moving range of some of the targets ``own``: the same
+    count, seen from the place."""
+    low, high = ref.cols
+    across = {"cols": t.cols, "fixed_cols": True} if ref.fixed_cols else {"cols": (-high, -low)}
+    there = there.where(F.col("col").between(low, high)) if ref.fixed_cols else there
+    if ref.start is None and ref.end is None:
+        views = [(there, Sliding("COUNTA", first=-max(ref.first, ref.last), last=-min(ref.first, ref.last), **across))]
+    else:
+        fixed, move = (ref.start, ref.last) if ref.start is not None else (ref.end, ref.first)
+        # a place below the fixed row is read by targets from it on, one above by those up to it
+        views = [(there.where(F.col("row") >= fixed), Sliding("COUNTA", first=-move, end=t.rows[1], **across)), (there.where(F.col("row") <= fixed), Sliding("COUNTA", start=t.rows[0], last=-move, **across))]
+    seen = own.withColumn("v", F.expr(_SEEN))
+    rows = ref.span(t.rows)
+    cols = (low, high) if ref.fixed_cols else (t.cols[0] + low, t.cols[1] + high)
+    inside = F.col("row").between(*rows) & F.col("col").between(*cols)
+    found = []
+    for places, view in views:
+        near = places.where(inside)
+        if view.end is not None:
+            near = near.where(F.col("row") + view.first <= view.end)
+        if view.start is not None:
+            near = near.where(F.col("row") + view.last >= view.start)
+        counted = sliding_totals(seen, replace(view, sheet=t.sheet), t.sheet, near.select("row", "col"), rows, cols, clipped=True).where("v.n > 0").select("row", "col")
+        found.append(near.join(counted, ["row", "col"], "left_semi").select(*_PLACE))
+    return _union(found)
+
+
 def _cell_by_cell(cells: DataFrame, group: list[Template], cached: DataFrame | None) -> DataFrame:
     """Templates that read each other or themselves: wave by wave the cells that wait for no other,
     written in between. Where all wait, those on cycles (or between two) get their value first."""
@@ -291,7 +391,7 @@ def _cell_by_cell(cells: DataFrame, group: list[Template], cached: DataFrame | N
         now, ready = cells.select(*_PLACE, "v").unionByName(done), []
         for t, own in zip(group, left, strict=True):
             for ref in t.inputs.values():
-                busy, by_place = _of(t, ref, still)
+                busy, by_place = _of(t, ref, still, own.select("row", "col"))
                 own = own.join(busy, ["row", "col"] if by_place else F.lit(True), "left_anti")
             ready.append(computed(now, t, own.select(*_PLACE)))
         done = waves.add(_union(ready))
@@ -325,7 +425,11 @@ def recalculated(cells: DataFrame, templates: list[Template], cached: DataFrame
                 base = base.join(targets(spark, t), _PLACE, "left_anti")
             base = written(base.select(*_PLACE, "v"), "base")
             own = _own_cells(group[0]) if len(group) == 1 else {}
-            cells = base.unionByName(_filled(base, group[0], own) if own else _cell_by_cell(base, group, cached))
+            try:
+                made = _composed(base, group[0], own) if own else _cell_by_cell(base, group, cached)
+            except TypeError:  # not affine
+                made = _filled(base, group[0], own)
+            cells = base.unionByName(made)
             continue
         made = [computed(cells, t) for t in group]
         for new in made:
@@ -380,11 +484,9 @@ def reached(edge_table: DataFrame, changed: DataFrame) -> DataFrame:
     edge_table = written(edge_table, "edges")
     jumps = _jumps(edge_table)
     seen = front = written(changed.select(*_PLACE).distinct(), "reached")
-    block = lambda c: F.floor(F.col(c) / 1024)
-    boxes = edge_table.withColumn("_block", F.explode(F.sequence(block("r1"), block("r2"))))
+    boxes = edge_table.select(F.col("src_sheet").alias("sheet"), "r1", "c1", "r2", "c2", F.struct(*_PLACE).alias("reader"))
     while not front.isEmpty():
-        point = front.select(F.col("sheet").alias("src_sheet"), F.col("row").alias("pr"), F.col("col").alias("pc"))
-        hit = boxes.join(point.withColumn("_block", block("pr")), ["src_sheet", "_block"]).where("pr between r1 and r2 and pc between c1 and c2")
+        hit = in_ranges(front, boxes).select("range.reader.*")
         front = written(hit.select(*_PLACE).distinct().join(seen, _PLACE, "left_anti"), "front")
         if front.isEmpty():
             break

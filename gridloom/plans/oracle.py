@@ -179,6 +179,28 @@ FROM t""",
     "grid_recalculation": """
 SELECT CAST(o_orderkey + 1 AS INTEGER) AS row, 2 AS col, round(o_totalprice / (SELECT sum(o_totalprice) FROM orders), 10) AS n FROM orders
 UNION ALL SELECT 1, 3, 1.0""",
+    "running_ranges": """
+WITH o AS (SELECT CAST(o_orderkey + 1 AS INTEGER) AS row, o_totalprice AS p FROM orders)
+SELECT row, 2 AS col, round(sum(p) OVER (ORDER BY row), 4) AS n FROM o
+UNION ALL SELECT row, 3, n FROM (SELECT row, round(avg(p) OVER (ORDER BY row ROWS 2 PRECEDING), 4) AS n FROM o) WHERE row >= 3
+UNION ALL SELECT row, 4, n FROM (SELECT row, min(p) OVER (ORDER BY row ROWS 99 PRECEDING) AS n FROM o) WHERE row >= 100
+UNION ALL SELECT row, 5, max(p) OVER (ORDER BY row ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) FROM o""",
+    "running_balance": """
+SELECT CAST(a.o_orderkey + 1 AS INTEGER) AS row, round(sum(b.o_totalprice * pow(0.7, a.o_orderkey - b.o_orderkey)), 6) AS n
+FROM orders a JOIN orders b ON b.o_orderkey BETWEEN a.o_orderkey - 150 AND a.o_orderkey GROUP BY 1""",
+    "merged_areas": """
+WITH c AS (SELECT l_orderkey + 1 AS row, l_linenumber AS col, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+     m AS (SELECT o_orderkey + 1 AS r1, o_orderkey + 1 + o_orderkey % 7 * 10 AS r2 FROM orders WHERE o_orderkey % 100 = 7),
+     p AS (SELECT row, col, coalesce(r1, row) AS ar, CASE WHEN r1 IS NULL THEN col ELSE 1 END AS ac FROM c LEFT JOIN m ON row BETWEEN r1 AND r2 AND col BETWEEN 1 AND 3)
+SELECT CAST(p.row AS INTEGER) AS row, CAST(p.col AS INTEGER) AS col, a.q AS n FROM p LEFT JOIN c a ON a.row = p.ar AND a.col = p.ac""",
+    "workbook_round_trip": """
+SELECT 'Nations' AS sheet, CAST(n_nationkey + 1 AS INTEGER) AS row, 1 AS col, CAST(NULL AS DOUBLE) AS n, n_name AS s FROM nation
+UNION ALL SELECT 'Nations', CAST(n_nationkey + 1 AS INTEGER), 2, n_regionkey, NULL FROM nation
+UNION ALL SELECT 'Customers', CAST(c_custkey + 1 AS INTEGER), 1, NULL, c_name FROM customer
+UNION ALL SELECT 'Customers', CAST(c_custkey + 1 AS INTEGER), 2, c_acctbal, NULL FROM customer
+UNION ALL SELECT 'Customers', CAST(c_custkey + 1 AS INTEGER), 3, NULL, c_mktsegment FROM customer""",
+    "shared_string_numbers": """
+SELECT text, row_number() OVER (ORDER BY first, text) - 1 AS idx FROM (SELECT p_name AS text, min(p_partkey) AS first FROM part WHERE p_name IS NOT NULL GROUP BY 1)""",
     "grid_edits": """
 WITH a AS (SELECT n_nationkey + 1 AS row, CASE WHEN n_nationkey < 3 THEN (n_nationkey + 1) * 10 ELSE n_regionkey END::DOUBLE AS n FROM nation)
 SELECT row, 1 AS col, n FROM a UNION ALL SELECT row, 3, n * 2 FROM a""",

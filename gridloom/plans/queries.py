@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import call, over
 from ..functions.dates import to_serial
 from ..functions.maths import add, compare, divide, join_text, multiply, negate, power, subtotal, subtract
 from ..functions.statistics import average_if, average_ifs, count_if, count_ifs, max_ifs, min_ifs, sum_if, sum_ifs
 from ..operators import formats, grid, lookup, ranking
+from ..sources import workbooks
 from ..values import Value, array, number, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,6 +413,58 @@ def grid_recalculation(spark, d):
     return out.where("col > 1").select("row", "col", F.round(F.col("v.n"), 10).alias("n"))
 
 
+def _order_cells(spark, d) -> tuple[DataFrame, int]:
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return grid.from_table(orders, "Orders", F.col("o_orderkey") + 1, ["o_totalprice"]), orders.agg(F.max("o_orderkey")).first()[0] + 1
+
+
+@query
+def running_ranges(spark, d):
+    """Prices filled down with SUM(A$1:A5), AVERAGE(A3:A5), MIN over 100 rows and MAX over the next 50."""
+    cells, top = _order_cells(spark, d)
+    moving = [grid.Sliding("SUM", (-1, -1), last=0, start=1), grid.Sliding("AVERAGE", (-2, -2), first=-2, last=0), grid.Sliding("MIN", (-3, -3), first=-99, last=0), grid.Sliding("MAX", (-4, -4), first=0, last=49)]
+    filled = [grid.Template("Orders", (1 - min(0, m.first or 0), top), (i, i), {"x": m}, lambda x: x) for i, m in enumerate(moving, 2)]
+    return grid.recalculated(cells, filled).where("col > 1").select("row", "col", F.round("v.n", 4).alias("n"))
+
+
+@query
+def running_balance(spark, d):
+    """A balance that reads the one above: =B1*(1-D$1)+A2."""
+    cells, top = _order_cells(spark, d)
+    rate = spark.range(1).select(F.lit("Orders").alias("sheet"), F.lit(1).alias("row"), F.lit(4).alias("col"), grid.infer(F.lit("0.3")).alias("v"))
+    up, price, share = grid.Cell(-1, 0), grid.Cell(0, -1), grid.Cell(1, 4, fixed=True)
+    balance = grid.Template("Orders", (1, top), (2, 2), {"up": up, "price": price, "share": share}, lambda up, price, share: add(multiply(up, subtract(1, share)), price))
+    return grid.recalculated(cells.unionByName(rate), [balance]).where("col = 2").select("row", F.round("v.n", 6).alias("n"))
+
+
+@query
+def merged_areas(spark, d):
+    """What references to order lines read where blocks of lines, of mixed sizes, are merged."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    cells = one.select(F.lit("L").alias("sheet"), (F.col("l_orderkey") + 1).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), grid.number_cell(F.col("q")).alias("v"))
+    orders = table(spark, d, "orders").where("o_orderkey % 100 = 7").select("o_orderkey")
+    first = (F.col("o_orderkey") + 1).cast("int")
+    merges = orders.select(F.lit("L").alias("sheet"), first.alias("r1"), F.lit(1).alias("c1"), (first + F.pmod(F.col("o_orderkey"), F.lit(7)) * 10).cast("int").alias("r2"), F.lit(3).alias("c2"))
+    return grid.shown_at(cells, cells, merges).select("row", "col", F.col("v.n").alias("n"))
+
+
+@query
+def workbook_round_trip(spark, d):
+    """Nations and customers written as the sheets of a workbook, and read back by a task a sheet."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    cells = grid.from_table(nation, "Nations", F.col("n_nationkey") + 1, ["n_name", "n_regionkey"]).unionByName(grid.from_table(customer, "Customers", F.col("c_custkey") + 1, ["c_name", "c_acctbal", "c_mktsegment"]))
+    path = f"{storage.shared_dir(spark)}/workbook-{uuid.uuid4().hex}.xlsx"
+    workbooks.write_workbook(cells, path, ["Nations", "Customers"])
+    return spark.read.format("xlsx").load(path).select("sheet", "row", "col", F.col("v.n").alias("n"), F.col("v.s").alias("s"))
+
+
+@query
+def shared_string_numbers(spark, d):
+    """Names of parts numbered as they are first seen, in the order of the key."""
+    return workbooks.shared_string_table(table(spark, d, "part"), "p_name", ["p_partkey"])
+
+
 @query
 def grid_edits(spark, d):
     cells = grid.from_table(table(spark, d, "nation"), "Nations", F.col("n_nationkey") + 1, ["n_regionkey", "n_name"])

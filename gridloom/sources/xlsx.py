@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from ..values import CELL_TYPE
 
 # Fixed names of the package format.
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PACKAGE_LINK = "http://schemas.openxmlformats.org/package/2006/relationships"
+_MAIN, _LINK, _RELATION = f"{{{MAIN}}}", f"{{{LINK}}}", f"{{{PACKAGE_LINK}}}Relationship"
 
 _BATCH = 5000
 
@@ -71,7 +72,7 @@ def _workbook_part(archive: zipfile.ZipFile) -> str:
     return found[0] if found else "xl/workbook.xml"
 
 
-def _sheets(archive: zipfile.ZipFile) -> list[tuple[int, str, str, str | None]]:
+def listed_sheets(archive: zipfile.ZipFile) -> list[tuple[int, str, str, str | None]]:
     """Position, name, state and part of each sheet."""
     book = _workbook_part(archive)
     links = _relations(archive, book)
@@ -98,30 +99,44 @@ def sheet_list(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``position`` (from 1), ``sheet``, ``state``, ``part`` of each sheet."""
 
     def read(path, archive):
-        for position, *rest in _sheets(archive):
+        for position, *rest in listed_sheets(archive):
             yield path, position, *rest
 
     return _scan(_files(spark, path), read, "path string, position int, sheet string, state string, part string", [("path", pa.string()), ("position", pa.int32()), ("sheet", pa.string()), ("state", pa.string()), ("part", pa.string())])
 
 
+_ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
+
+
 def _plain_text(item: ElementTree.Element) -> str:
-    """The text of a string item, its runs put together; phonetic runs don't count."""
-    return "".join(t.text or "" for x in item if x.tag in (_MAIN + "t", _MAIN + "r") for t in x.iter(_MAIN + "t"))
+    """The text of a string item, its runs put together; phonetic runs don't count. _xHHHH_ stands for a
+    character that XML can't hold."""
+    return _shown("".join(t.text or "" for x in item if x.tag in (_MAIN + "t", _MAIN + "r") for t in x.iter(_MAIN + "t")))
+
+
+def _shown(text: str | None) -> str | None:
+    return text and _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text)
+
+
+def read_strings(archive: zipfile.ZipFile) -> Iterator[str]:
+    """Shared strings in their order; none where the workbook names no part for them, or a missing one."""
+    parts = [target for kind, target in _relations(archive, _workbook_part(archive)).values() if kind == "sharedStrings"]
+    for part in parts[:1]:
+        if part not in archive.namelist():
+            return
+        with archive.open(part) as data:
+            for _, item in ElementTree.iterparse(data):
+                if item.tag == _MAIN + "si":
+                    yield _plain_text(item)
+                    item.clear()
 
 
 def shared_strings(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``idx`` (from 0), ``text``."""
 
     def read(path, archive):
-        parts = [target for kind, target in _relations(archive, _workbook_part(archive)).values() if kind == "sharedStrings"]
-        for part in parts[:1]:
-            idx = 0
-            with archive.open(part) as data:
-                for _, item in ElementTree.iterparse(data):
-                    if item.tag == _MAIN + "si":
-                        yield path, idx, _plain_text(item)
-                        idx += 1
-                        item.clear()
+        for idx, text in enumerate(read_strings(archive)):
+            yield path, idx, text
 
     return _scan(_files(spark, path), read, "path string, idx long, text string", [("path", pa.string()), ("idx", pa.int64()), ("text", pa.string())])
 
@@ -143,28 +158,36 @@ def _sheet_rows(spark: SparkSession, path: str) -> DataFrame:
             for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 content = content.as_py()
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for _, sheet, _, part in _sheets(archive):
+                    for _, sheet, _, part in listed_sheets(archive):
                         if part in archive.namelist():
                             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (file.as_py(), sheet, part)] + [pa.array([content], pa.binary())], names=["path", "sheet", "part", "content"])
 
     return _files(spark, path).mapInArrow(run, "path string, sheet string, part string, content binary").repartition("path", "sheet")
 
 
+def scan_cells(archive: zipfile.ZipFile, part: str) -> Iterator[tuple]:
+    """Row, column, kind, stored text, formula, its share and range, and style of each cell of a sheet."""
+    row = col = 0
+    with archive.open(part) as data:
+        for event, x in ElementTree.iterparse(data, events=("start", "end")):
+            if event == "start" and x.tag == _MAIN + "row":
+                row, col = int(x.get("r", row + 1)), 0
+            elif event == "end" and x.tag == _MAIN + "c":
+                row, col = _place(x.get("r")) if x.get("r") else (row, col + 1)
+                f, inline = x.find(_MAIN + "f"), x.find(_MAIN + "is")
+                text = _plain_text(inline) if inline is not None else x.findtext(_MAIN + "v")
+                if x.get("t") == "str":
+                    text = _shown(text)
+                share = (None, None) if f is None else (f.get("si"), f.get("ref"))
+                yield row, col, x.get("t", "n"), text, None if f is None else _shown(f.text), *share, int(x.get("s", 0))
+            elif event == "end" and x.tag == _MAIN + "row":
+                x.clear()
+
+
 def _raw_cells(spark: SparkSession, path: str) -> DataFrame:
     def read(path, sheet, part, archive):
-        row = col = 0
-        with archive.open(part) as data:
-            for event, x in ElementTree.iterparse(data, events=("start", "end")):
-                if event == "start" and x.tag == _MAIN + "row":
-                    row, col = int(x.get("r", row + 1)), 0
-                elif event == "end" and x.tag == _MAIN + "c":
-                    row, col = _place(x.get("r")) if x.get("r") else (row, col + 1)
-                    f, inline = x.find(_MAIN + "f"), x.find(_MAIN + "is")
-                    text = _plain_text(inline) if inline is not None else x.findtext(_MAIN + "v")
-                    share = (None, None) if f is None else (f.get("si"), f.get("ref"))
-                    yield path, sheet, row, col, x.get("t", "n"), text, None if f is None else f.text, *share, int(x.get("s", 0))
-                elif event == "end" and x.tag == _MAIN + "row":
-                    x.clear()
+        for found in scan_cells(archive, part):
+            yield path, sheet, *found
 
     kinds = [("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("t", pa.string()), ("raw", pa.string()), ("formula", pa.string()), ("shared", pa.string()), ("shared_ref", pa.string()), ("style", pa.int32())]
     schema = "path string, sheet string, row int, col int, t string, raw string, formula string, shared string, shared_ref string, style int"

@@ -153,6 +153,12 @@ def targets(spark: SparkSession, t: Template) -> DataFrame:
     return rows.withColumn("col", F.explode(F.sequence(F.lit(t.cols[0]), F.lit(t.cols[1])))).select(F.lit(t.sheet).alias("sheet"), "row", "col")
 
 
+def outside(cells: DataFrame, t: Template) -> DataFrame:
+    """The cells that are no targets of a template."""
+    inside = (F.col("sheet") == t.sheet) & F.col("row").between(*t.rows) & F.col("col").between(*t.cols)
+    return cells.where(~F.coalesce(inside, F.lit(False)))
+
+
 def edges(spark: SparkSession, templates: list[Template]) -> DataFrame:
     """What each target reads, at range granularity: sheet, row, col, and the source's sheet, r1, c1, r2, c2."""
     out = None
@@ -380,7 +386,7 @@ def _cell_by_cell(cells: DataFrame, group: list[Template], cached: DataFrame | N
     for i, t in enumerate(group):
         own = targets(spark, t)
         for later in group[i + 1 :]:
-            own = own.join(targets(spark, later), _PLACE, "left_anti")
+            own = outside(own, later)
         mine.append(own)
     waves = Grown(cells.select(*_PLACE, F.col("v").cast(CELL_TYPE).alias("v")).limit(0), "waves")
     done = waves.table()
@@ -417,12 +423,11 @@ def _stuck(places: DataFrame, cached: DataFrame | None) -> DataFrame:
 def recalculated(cells: DataFrame, templates: list[Template], cached: DataFrame | None = None) -> DataFrame:
     """``cells`` with all templates computed, group by group. Cells on a cycle keep the value that the
     file had (``cached``) or become #CYCLE!; cells that read them are computed from that."""
-    spark = cells.sparkSession
     for group, loops in levels(templates):
         if loops:
             base = cells
             for t in group:
-                base = base.join(targets(spark, t), _PLACE, "left_anti")
+                base = outside(base, t)
             base = written(base.select(*_PLACE, "v"), "base")
             own = _own_cells(group[0]) if len(group) == 1 else {}
             try:
@@ -432,8 +437,8 @@ def recalculated(cells: DataFrame, templates: list[Template], cached: DataFrame
             cells = base.unionByName(made)
             continue
         made = [computed(cells, t) for t in group]
-        for new in made:
-            cells = cells.join(new.select("sheet", "row", "col"), ["sheet", "row", "col"], "left_anti").select("sheet", "row", "col", "v").unionByName(new)
+        for t, new in zip(group, made, strict=True):
+            cells = outside(cells, t).select("sheet", "row", "col", "v").unionByName(new)
     return cells
 
 

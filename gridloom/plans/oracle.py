@@ -186,7 +186,7 @@ UNION ALL SELECT row, 3, n FROM (SELECT row, round(avg(p) OVER (ORDER BY row ROW
 UNION ALL SELECT row, 4, n FROM (SELECT row, min(p) OVER (ORDER BY row ROWS 99 PRECEDING) AS n FROM o) WHERE row >= 100
 UNION ALL SELECT row, 5, max(p) OVER (ORDER BY row ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) FROM o""",
     "running_balance": """
-SELECT CAST(a.o_orderkey + 1 AS INTEGER) AS row, round(sum(b.o_totalprice * pow(0.7, a.o_orderkey - b.o_orderkey)), 6) AS n
+SELECT CAST(a.o_orderkey + 1 AS INTEGER) AS row, round(sum(b.o_totalprice * pow(0.7, a.o_orderkey - b.o_orderkey)), 2) AS n
 FROM orders a JOIN orders b ON b.o_orderkey BETWEEN a.o_orderkey - 150 AND a.o_orderkey GROUP BY 1""",
     "merged_areas": """
 WITH c AS (SELECT l_orderkey + 1 AS row, l_linenumber AS col, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),

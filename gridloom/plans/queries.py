@@ -434,7 +434,7 @@ def running_balance(spark, d):
     rate = spark.range(1).select(F.lit("Orders").alias("sheet"), F.lit(1).alias("row"), F.lit(4).alias("col"), grid.infer(F.lit("0.3")).alias("v"))
     up, price, share = grid.Cell(-1, 0), grid.Cell(0, -1), grid.Cell(1, 4, fixed=True)
     balance = grid.Template("Orders", (1, top), (2, 2), {"up": up, "price": price, "share": share}, lambda up, price, share: add(multiply(up, subtract(1, share)), price))
-    return grid.recalculated(cells.unionByName(rate), [balance]).where("col = 2").select("row", F.round("v.n", 6).alias("n"))
+    return grid.recalculated(cells.unionByName(rate), [balance]).where("col = 2").select("row", F.round("v.n", 2).alias("n"))
 
 
 @query

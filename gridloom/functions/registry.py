@@ -29,6 +29,7 @@ class Function:
 CATALOG: dict[str, Function] = {}
 _CUSTOM: dict[str, Callable[..., Value]] = {}
 _CUSTOM_OVER: dict[str, Callable[..., Value]] = {}
+_NAMES: dict[str, str] = {}
 
 
 def _entry(name: str, category: str, syntax: str, mode: str) -> Function:
@@ -63,10 +64,20 @@ def register_function(name: str, builder: Callable[..., Value] | None = None, ov
             known[name.upper()] = f
 
 
+def register_names(names: dict[str, str]) -> None:
+    """Names of functions in another language, each for the name here, as {"SUMME": "SUM"}. They are the
+    user's, so that any language will do, and may hold any letters."""
+    _NAMES.update({own.upper(): name.upper() for own, name in names.items()})
+
+
+def _known(name: str) -> str:
+    return _NAMES.get(name.upper(), name.upper())
+
+
 def call(name: str, *args, **shape) -> Value:
     """The row value of a function. Unknown names give ``#NAME?``. ``columns=`` says how wide the
     row-major array of VLOOKUP, HLOOKUP or INDEX is."""
-    name = name.upper()
+    name = _known(name)
     builder = _CUSTOM.get(name) or (CATALOG[name].row if name in CATALOG else None)
     if builder is None:
         return error(NAME)
@@ -75,7 +86,7 @@ def call(name: str, *args, **shape) -> Value:
 
 def over(name: str, *args) -> Value:
     """The value of an aggregate function over the rows of a table or group."""
-    name = name.upper()
+    name = _known(name)
     if name in _CUSTOM_OVER:
         return _CUSTOM_OVER[name](*map(wrap, args))
     if name not in CATALOG or CATALOG[name].aggregate is None:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import spare
 from ..values import Value, num, text_of, truthy
 from .ranking import value_counts
 
@@ -35,7 +36,7 @@ def text_is(v: Value, rule: str, part: str) -> Column:
 
 def _onto(df: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     """Columns of each row's group, a null group included; null where ``found`` lacks it."""
-    own = {c: f"_by{i}" for i, c in enumerate(by)}
+    own = dict(zip(by, spare(df, *[f"_by{i}" for i in range(len(by))]), strict=True))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in own.items()])
     return df.join(found.withColumnsRenamed(own), same, "left").drop(*own.values())
 
@@ -51,22 +52,30 @@ def top(df: DataFrame, v: Value, out: str, k: int, *, percent: bool = False, bot
     """Marks the k largest (or least) values of each group, or k percent of them; ties with the last are in."""
     by = by or []
     n = F.col("_n")
-    count = F.greatest(F.floor(n * k / 100), F.lit(1)) if percent else F.least(F.lit(k), n)
-    counts = df.select(*by, num(v).alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    order = F.col("_v").asc() if bottom else F.col("_v").desc()
-    ahead = F.coalesce(F.sum("_c").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_c").over(Window.partitionBy(*(by or [F.lit(1)])))
-    edge = counts.withColumn("_ahead", ahead).withColumn("_n", total).where(F.col("_ahead") < count).groupBy(*by).agg((F.max("_v") if bottom else F.min("_v")).alias("_edge"))
-    joined = _onto(df, edge, by) if by else df.crossJoin(F.broadcast(edge))
-    inside = num(v) <= F.col("_edge") if bottom else num(v) >= F.col("_edge")
-    return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_edge")
+    count = F.greatest(F.ceil(n * k / 100), F.lit(1)) if percent else F.least(F.lit(k), n)
+    if by:
+        group = Window.partitionBy(*by)
+        counts = df.select(*by, num(v).alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+        order = F.col("_v").asc() if bottom else F.col("_v").desc()
+        ahead = F.coalesce(F.sum("_c").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select("*", ahead.alias("_ahead"), F.sum("_c").over(group).alias("_n"))
+    else:
+        counts = value_counts(df, v).select(F.col("v").alias("_v"), F.col("n").alias("_c"), "below")
+        counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))  # one row
+        counts = counts.withColumn("_ahead", F.col("below") if bottom else n - F.col("below") - F.col("_c"))
+    (edge,) = spare(df, "_edge")
+    last = counts.where(F.col("_ahead") < count).groupBy(*by).agg((F.max("_v") if bottom else F.min("_v")).alias(edge))
+    joined = _onto(df, last, by) if by else df.crossJoin(F.broadcast(last))
+    inside = num(v) <= F.col(edge) if bottom else num(v) >= F.col(edge)
+    return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop(edge)
 
 
 def against_average(df: DataFrame, v: Value, out: str, *, above: bool = True, equal: bool = False, by: list[str] | None = None) -> DataFrame:
-    with_mean = _figures(df, by or [], F.avg(num(v)).alias("_mean"))
-    x, m = num(v), F.col("_mean")
+    (mean,) = spare(df, "_mean")
+    with_mean = _figures(df, by or [], F.avg(num(v)).alias(mean))
+    x, m = num(v), F.col(mean)
     test = (x >= m if equal else x > m) if above else (x <= m if equal else x < m)
-    return with_mean.withColumn(out, F.coalesce(test, F.lit(False))).drop("_mean")
+    return with_mean.withColumn(out, F.coalesce(test, F.lit(False))).drop(mean)
 
 
 def stop_value(kind: str, given: float | Column | None, low: Column, high: Column) -> Column:
@@ -92,20 +101,18 @@ def _nearest_rank(df: DataFrame, v: Value, percent: float, out: str, by: list[st
     return counts.where((F.col("below") <= place) & (place < F.col("below") + F.col("n"))).groupBy(*by).agg(F.max("v").alias(out))
 
 
-def _with_stops(df: DataFrame, v: Value, stops: list[tuple], by: list[str]) -> DataFrame:
-    """``_stop0``, ``_stop1``, ...: values of stops, which are pairs of a kind and what is given with it."""
-    out = _figures(df, by, F.min(num(v)).alias("_low"), F.max(num(v)).alias("_high"))
-    for i, (kind, given, *_) in enumerate(stops):
+def _with_stops(df: DataFrame, v: Value, stops: list[tuple], by: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with the values of stops, which are pairs of a kind and what is given with it; the names
+    of their columns, and of all that were added."""
+    low, high, *names = spare(df, "_low", "_high", *[f"_stop{i}" for i in range(len(stops))])
+    out = _figures(df, by, F.min(num(v)).alias(low), F.max(num(v)).alias(high))
+    for name, (kind, given, *_) in zip(names, stops, strict=True):
         if kind == "percentile":
-            found = _nearest_rank(df, v, given or 0, f"_stop{i}", by)
+            found = _nearest_rank(df, v, given or 0, name, by)
             out = _onto(out, found, by) if by else out.crossJoin(F.broadcast(found))  # one row
         else:
-            out = out.withColumn(f"_stop{i}", stop_value(kind, given, F.col("_low"), F.col("_high")))
-    return out
-
-
-def _without_stops(df: DataFrame, stops: list[tuple]) -> DataFrame:
-    return df.drop("_low", "_high", *(f"_stop{i}" for i in range(len(stops))))
+            out = out.withColumn(name, stop_value(kind, given, F.col(low), F.col(high)))
+    return out, names, [low, high, *names]
 
 
 def _byte(c: Column) -> Column:
@@ -123,30 +130,30 @@ def color_scale(df: DataFrame, v: Value, out: str, colors: list[str], by: list[s
     to the largest value of the group. Equal outer stops give the last colour."""
     last = len(colors) - 1
     stops = stops or [("min", None), *(("percent", 100 * i / last) for i in range(1, last)), ("max", None)]
-    placed = _with_stops(df, v, stops, by or [])
+    placed, at, added = _with_stops(df, v, stops, by or [])
     part = lambda color, i: int(color[2 * i : 2 * i + 2], 16)
-    between = lambda k, i: part(colors[k], i) + _share(num(v), f"_stop{k}", f"_stop{k + 1}") * (part(colors[k + 1], i) - part(colors[k], i))
-    shade = lambda i: reduce(lambda later, k: F.when(num(v) <= F.col(f"_stop{k + 1}"), between(k, i)).otherwise(later), range(last - 2, -1, -1), between(last - 1, i))
-    flat = F.col("_stop0") == F.col(f"_stop{last}")
+    between = lambda k, i: part(colors[k], i) + _share(num(v), at[k], at[k + 1]) * (part(colors[k + 1], i) - part(colors[k], i))
+    shade = lambda i: reduce(lambda later, k: F.when(num(v) <= F.col(at[k + 1]), between(k, i)).otherwise(later), range(last - 2, -1, -1), between(last - 1, i))
+    flat = F.col(at[0]) == F.col(at[last])
     color = F.when(flat, colors[-1]).otherwise(F.concat(*[_byte(shade(i)) for i in range(3)]))
-    return _without_stops(placed.withColumn(out, F.when(num(v).isNotNull(), color)), stops)
+    return placed.withColumn(out, F.when(num(v).isNotNull(), color)).drop(*added)
 
 
 def data_bar(df: DataFrame, v: Value, out: str, by: list[str] | None = None, stops: list[tuple] | None = None) -> DataFrame:
     """Length of the bar from 0 to 100 between two stops, by default the least and the largest value."""
     stops = stops or [("min", None), ("max", None)]
-    placed = _with_stops(df, v, stops, by or [])
-    return _without_stops(placed.withColumn(out, F.coalesce(_share(num(v), "_stop0", f"_stop{len(stops) - 1}") * 100, F.lit(100.0))), stops)
+    placed, at, added = _with_stops(df, v, stops, by or [])
+    return placed.withColumn(out, F.coalesce(_share(num(v), at[0], at[-1]) * 100, F.lit(100.0))).drop(*added)
 
 
 def icon_set(df: DataFrame, v: Value, out: str, percents: list[float] | None = None, by: list[str] | None = None, stops: list[tuple] | None = None) -> DataFrame:
     """Number, from 0, of the last threshold that the value reaches; one with a third part ``False`` must
     be exceeded. ``percents`` of the span are short for stops."""
     stops = stops or [("percent", p) for p in percents or ()]
-    placed = _with_stops(df, v, stops, by or [])
-    reached = [(num(v) > F.col(f"_stop{i}")) if more == [False] else (num(v) >= F.col(f"_stop{i}")) for i, (_, _, *more) in enumerate(stops)]
+    placed, at, added = _with_stops(df, v, stops, by or [])
+    reached = [(num(v) > F.col(name)) if more == [False] else (num(v) >= F.col(name)) for name, (_, _, *more) in zip(at, stops, strict=True)]
     icon = F.greatest(F.lit(0), *[F.when(test, i).otherwise(0) for i, test in enumerate(reached)])
-    return _without_stops(placed.withColumn(out, F.when(num(v).isNotNull(), icon)), stops)
+    return placed.withColumn(out, F.when(num(v).isNotNull(), icon)).drop(*added)
 
 
 @dataclass(frozen=True)
@@ -198,6 +205,23 @@ def extents(points: DataFrame, key: list[str]) -> DataFrame:
 
 
 def shares(points: DataFrame, key: list[str]) -> DataFrame:
-    """Each point's share of the sum of absolute values of its chart."""
-    total = points.groupBy(*key).agg(F.sum(F.abs("value")).alias("_total"))
-    return points.join(total, key).withColumn("share", F.when(F.col("_total") > 0, F.abs("value") / F.col("_total")).otherwise(0.0)).drop("_total")
+    """Each point's share of the sum of absolute values of its chart; a null key is a chart."""
+    (total,) = spare(points, "_total")
+    joined = _onto(points, points.groupBy(*key).agg(F.sum(F.abs("value")).alias(total)), key)
+    return joined.withColumn("share", F.when(F.col(total) > 0, F.abs("value") / F.col(total)).otherwise(0.0)).drop(total)
+
+
+def axis_label(value: Column) -> Column:
+    """A tick's text: thousands as K, millions as M, with one digit; whole numbers below as they are."""
+    short = lambda c, mark: F.concat(F.format_string("%.1f", c), F.lit(mark))
+    whole = F.when(value == 0, "0").otherwise(value.cast("long").cast("string"))
+    return F.when(F.abs(value) >= 1e6, short(value / 1e6, "M")).when(F.abs(value) >= 1e3, short(value / 1e3, "K")).when(value == F.floor(value), whole).otherwise(short(value, ""))
+
+
+def axis_ticks(charts: DataFrame, key: list[str], ticks: int = 5) -> DataFrame:
+    """``tick`` (from 0), ``value`` and ``label`` for charts with ``low`` and ``high`` (``extents``): evenly
+    spread, over a span of 1 where they are equal."""
+    span = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise(F.col("high") - F.col("low"))
+    each = charts.select(*key, "low", span.alias("_span"), F.explode(F.sequence(F.lit(0), F.lit(ticks))).alias("tick"))
+    value = F.col("low") + F.col("_span") * F.col("tick") / ticks
+    return each.select(*key, "tick", value.alias("value"), axis_label(value).alias("label"))

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import spare
 from ..values import NA, Value, num, number_text, text_of
 from ..functions.texts import wildcard
+from ..storage import written
 
 #: Range buckets of an approximate lookup.
 BUCKETS = 64
@@ -22,25 +24,27 @@ def key_of(value: Value) -> Column:
 
 
 def _firsts(table: DataFrame, key: Column, returns: list[str], position: str | None, last: bool) -> DataFrame:
-    """One row per key: the first (or last) by position, without one by the returned values in
-    their order, as a table's rows have none of their own."""
+    """``_key`` and ``_row``, a struct of what is returned, per key: the first (or last) by position,
+    without one by the returned values in their order, as a table's rows have none of their own."""
     at = F.col(position) if position else F.struct(*returns)
-    keyed = table.select(key.alias("_key"), *returns, at.alias("_at")).where(F.col("_key").isNotNull())
+    keyed = table.select(key.alias("_key"), F.struct(*returns).alias("_row"), at.alias("_at")).where(F.col("_key").isNotNull())
     pick = F.max_by if last else F.min_by
-    return keyed.groupBy("_key").agg(pick(F.struct(*returns), "_at").alias("_row")).select("_key", "_row.*")
+    return keyed.groupBy("_key").agg(pick("_row", "_at").alias("_row"))
 
 
 def exact(left: DataFrame, wanted: Value, table: DataFrame, key: Value, returns: list[str], *, position: str | None = None, last: bool = False, prefix: str = "found_") -> DataFrame:
     """VLOOKUP and HLOOKUP with FALSE, MATCH 0, XLOOKUP and XMATCH 0 (``last``: search mode -1)."""
+    want, at, hit = spare(left, "_want", "_key", "_hit")
     found = _firsts(table, key_of(key), returns, position, last)
-    found = found.select("_key", *[F.col(c).alias(prefix + c) for c in returns], F.lit(True).alias("_hit"))
-    return left.withColumn("_want", key_of(wanted)).join(found, F.col("_want") == F.col("_key"), "left").withColumn(f"{prefix}error", F.when(F.col("_hit").isNull(), NA)).drop("_want", "_key", "_hit")
+    found = found.select(F.col("_key").alias(at), *[F.col("_row").getField(c).alias(prefix + c) for c in returns], F.lit(True).alias(hit))
+    return left.withColumn(want, key_of(wanted)).join(found, F.col(want) == F.col(at), "left").withColumn(f"{prefix}error", F.when(F.col(hit).isNull(), NA)).drop(want, at, hit)
 
 
 def exists(left: DataFrame, wanted: Value, table: DataFrame, key: Value, *, negate: bool = False) -> DataFrame:
     """COUNTIF(range, x) > 0, or with ``negate`` ISNA(MATCH(x, range, 0)), as a semi or anti join."""
-    keys = table.select(key_of(key).alias("_key"))
-    return left.withColumn("_want", key_of(wanted)).join(keys, F.col("_want") == F.col("_key"), "left_anti" if negate else "left_semi").drop("_want")
+    want, at = spare(left, "_want", "_key")
+    keys = table.select(key_of(key).alias(at))
+    return left.withColumn(want, key_of(wanted)).join(keys, F.col(want) == F.col(at), "left_anti" if negate else "left_semi").drop(want)
 
 
 def _cuts(table: DataFrame, column: str) -> list[float]:
@@ -64,8 +68,8 @@ def nearest(left: DataFrame, wanted: Value, table: DataFrame, key: Value, return
     are first reduced to distinct numbers.
     """
     sign = 1 if below else -1
-    keys = _firsts(table, num(key), returns, position, False).select((F.col("_key") * sign).alias("_k"), F.struct(*returns).alias("_row"))
-    keys = keys.groupBy("_k").agg(F.first("_row").alias("_row"))
+    # written once: its ranges, its tops and the ranges themselves are taken from it
+    keys = written(_firsts(table, num(key), returns, position, False).select((F.col("_key") * sign).alias("_k"), "_row"), "lookup-keys")
     cuts = _cuts(keys, "_k")
     want = left.select((num(wanted) * sign).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     both = want.withColumn("_row", F.lit(None).cast(dict(keys.dtypes)["_row"])).withColumn("_asks", F.lit(True)).unionByName(keys.withColumn("_asks", F.lit(False))).withColumn("_bucket", bucket_of(F.col("_k"), cuts))
@@ -74,31 +78,48 @@ def nearest(left: DataFrame, wanted: Value, table: DataFrame, key: Value, return
     tops = keys.withColumn("_bucket", bucket_of(F.col("_k"), cuts)).groupBy("_bucket").agg(F.max_by("_row", "_k").alias("_top"))
     carried = both.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket")).join(tops, "_bucket", "left")
     carried = carried.withColumn("_carry", F.last("_top", ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("_bucket", "_carry")
-    found = seen.join(carried, "_bucket", "left").select("_k", F.coalesce("_row", "_carry").alias("_row")).select("_k", *[F.col("_row")[c].alias(prefix + c) for c in returns], F.col("_row").isNotNull().alias("_hit"))
-    return left.withColumn("_want", num(wanted) * sign).join(found, F.col("_want") == F.col("_k"), "left").withColumn(f"{prefix}error", F.when(~F.coalesce("_hit", F.lit(False)), NA)).drop("_want", "_k", "_hit")
+    asked, at, hit = spare(left, "_want", "_k", "_hit")
+    found = seen.join(carried, "_bucket", "left").select("_k", F.coalesce("_row", "_carry").alias("_row")).select(F.col("_k").alias(at), *[F.col("_row")[c].alias(prefix + c) for c in returns], F.col("_row").isNotNull().alias(hit))
+    return left.withColumn(asked, num(wanted) * sign).join(found, F.col(asked) == F.col(at), "left").withColumn(f"{prefix}error", F.when(~F.coalesce(hit, F.lit(False)), NA)).drop(asked, at, hit)
+
+
+#: Characters of a pattern's plain start by which it meets the texts that it can match.
+_STARTS = 4
 
 
 def patterns(left: DataFrame, wanted: Value, table: DataFrame, key: Value, returns: list[str], *, position: str, prefix: str = "found_") -> DataFrame:
-    """XLOOKUP with wildcards: each distinct pattern against the whole table, the first hit by
-    position. The patterns are the small side and are collected as a bounded set of groups."""
+    """XLOOKUP with wildcards: each distinct pattern against the texts, the first hit by position.
+
+    Patterns meet the texts that share their plain start (up to ``_STARTS`` characters, in lower
+    case) by an equi-join on it; only those that begin with a wildcard are held against every
+    text.
+    """
+    want, hit = spare(left, "_want", "_hit")
     asks = left.select(text_of(wanted).alias("_want")).distinct()
+    plain = F.substring(F.regexp_extract("_want", r"^[^*?]*", 0), 1, _STARTS)
+    asks = asks.select("_want", F.lower(plain).alias("_start"), F.length(plain).alias("_size"))
     rows = table.select(text_of(key).alias("_text"), F.col(position).alias("_at"), F.struct(*returns).alias("_row"))
-    hits = rows.join(asks, F.regexp_like(F.col("_text"), F.concat(F.lit("(?i)^"), wildcard(F.col("_want")), F.lit("$"))))
-    found = hits.groupBy("_want").agg(F.min_by("_row", "_at").alias("_row")).select("_want", *[F.col("_row")[c].alias(prefix + c) for c in returns], F.lit(True).alias("_hit"))
-    return left.withColumn("_want", text_of(wanted)).join(found, "_want", "left").withColumn(f"{prefix}error", F.when(F.col("_hit").isNull(), NA)).drop("_want", "_hit")
+    matches = F.regexp_like(F.col("_text"), F.concat(F.lit("(?i)^"), wildcard(F.col("_want")), F.lit("$")))
+    starts = rows.withColumn("_size", F.explode(F.sequence(F.lit(1), F.lit(_STARTS)))).withColumn("_start", F.lower(F.substring("_text", 1, F.col("_size")))).where(F.length("_text") >= F.col("_size"))
+    begun = starts.join(asks.where("_size > 0"), ["_size", "_start"]).where(matches).select("_want", "_at", "_row")
+    anywhere = rows.join(asks.where("_size = 0").select("_want"), matches).select("_want", "_at", "_row")
+    found = begun.unionByName(anywhere).groupBy("_want").agg(F.min_by("_row", "_at").alias("_row")).select(F.col("_want").alias(want), *[F.col("_row")[c].alias(prefix + c) for c in returns], F.lit(True).alias(hit))
+    return left.withColumn(want, text_of(wanted)).join(found, want, "left").withColumn(f"{prefix}error", F.when(F.col(hit).isNull(), NA)).drop(want, hit)
 
 
 def at_position(left: DataFrame, place: Column, table: DataFrame, position: str, returns: list[str], *, prefix: str = "found_") -> DataFrame:
     """INDEX as a join on the position; 0 counts as 1."""
-    rows = table.select(F.col(position).cast("long").alias("_at"), *[F.col(c).alias(prefix + c) for c in returns], F.lit(True).alias("_hit"))
-    asked = left.withColumn("_place", F.when(place == 0, 1).otherwise(place).cast("long"))
-    return asked.join(rows, F.col("_place") == F.col("_at"), "left").withColumn(f"{prefix}error", F.when(F.col("_place") < 0, "#VALUE!").when(F.col("_hit").isNull(), "#REF!")).drop("_place", "_at", "_hit")
+    asks, at, hit = spare(left, "_place", "_at", "_hit")
+    rows = table.select(F.col(position).cast("long").alias(at), *[F.col(c).alias(prefix + c) for c in returns], F.lit(True).alias(hit))
+    asked = left.withColumn(asks, F.when(place == 0, 1).otherwise(place).cast("long"))
+    return asked.join(rows, F.col(asks) == F.col(at), "left").withColumn(f"{prefix}error", F.when(F.col(asks) < 0, "#VALUE!").when(F.col(hit).isNull(), "#REF!")).drop(asks, at, hit)
 
 
 def grouped_onto(left: DataFrame, keys: list[str], table: DataFrame, table_keys: list[str], **totals: Value) -> DataFrame:
     """A column of SUMIFS, COUNTIFS or AVERAGEIFS whose criteria are cells of the same row: one
     aggregation by the keys and one join, in place of a scan for each row. ``totals`` are
     aggregate values; where a key has no row, sums and counts are 0."""
-    summed = table.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(table_keys)]).agg(*[v.column().alias(n) for n, v in totals.items()])
-    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    return left.join(summed, on, "left").drop(*[f"_k{i}" for i in range(len(keys))]).fillna(0.0, subset=list(totals))
+    names = spare(left, *[f"_k{i}" for i in range(len(keys))])
+    summed = table.groupBy(*[F.col(k).alias(n) for n, k in zip(names, table_keys, strict=True)]).agg(*[v.column().alias(n) for n, v in totals.items()])
+    on = [F.col(k) == F.col(n) for n, k in zip(names, keys, strict=True)]
+    return left.join(summed, on, "left").drop(*names).fillna(0.0, subset=list(totals))

@@ -3,9 +3,12 @@ lies in the ranges before is added, so that no task sees all rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import spare
 from ..values import NUM, Value, num, result
 from .lookup import _cuts, bucket_of
 
@@ -31,8 +34,9 @@ def rank(df: DataFrame, value: Value, out: str, *, ascending: bool = False, aver
     counts = value_counts(df, value)
     total = counts.agg(F.sum("n").alias("_total"))
     ahead = F.col("below") if ascending else F.col("_total") - F.col("below") - F.col("n")
-    place = counts.crossJoin(F.broadcast(total)).select(F.col("v").alias("_v"), (ahead + 1 + ((F.col("n") - 1) / 2 if average else 0)).cast("double").alias(out))
-    return df.withColumn("_key", num(value)).join(place, F.col("_key") == F.col("_v"), "left").drop("_key", "_v")
+    key, v = spare(df, "_key", "_v")
+    place = counts.crossJoin(F.broadcast(total)).select(F.col("v").alias(v), (ahead + 1 + ((F.col("n") - 1) / 2 if average else 0)).cast("double").alias(out))
+    return df.withColumn(key, num(value)).join(place, F.col(key) == F.col(v), "left").drop(key, v)
 
 
 def nth(df: DataFrame, value: Value, k: int, *, largest: bool = True) -> DataFrame:
@@ -90,8 +94,11 @@ def average_deviation(df: DataFrame, value: Value) -> DataFrame:
 
 
 def standardized(df: DataFrame, value: Value, out: str, by: list[str]) -> DataFrame:
-    """STANDARDIZE against mean and sample deviation of each group, by a join of the groups' figures."""
-    figures = df.groupBy(*by).agg(F.avg(num(value)).alias("_m"), F.stddev_samp(num(value)).alias("_s"))
-    joined = df.join(figures, by)
-    z = result("number", (num(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")), (F.col("_s") <= 0, NUM))
-    return joined.withColumn(out, z.column()).drop("_m", "_s")
+    """STANDARDIZE against mean and sample deviation of each group, by a join of the groups' figures. Rows
+    whose group is null are a group."""
+    mean, deviation, *keys = spare(df, "_m", "_s", *[f"_by{i}" for i in range(len(by))])
+    figures = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.avg(num(value)).alias(mean), F.stddev_samp(num(value)).alias(deviation))
+    joined = df.join(figures, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]))
+    m, s = F.col(mean), F.col(deviation)
+    z = result("number", (num(value) - m) / F.when(s > 0, s), (s <= 0, NUM))
+    return joined.withColumn(out, z.column()).drop(mean, deviation, *keys)

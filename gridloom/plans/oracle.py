@@ -168,7 +168,10 @@ SELECT l_orderkey, l_linenumber, round(exp(-0.5 * x * x) / sqrt(2 * pi()), 8) AS
        round(factorial(10)::DOUBLE / factorial(k) / factorial(10 - k) * pow(0.3, k) * pow(0.7, 10 - k), 8) AS binom, round(1 - exp(-pow(k / 3, 2)), 8) AS weibull, round(1 - exp(-0.5 * k), 8) AS expon, round(0.5 * ln((1 + l_discount) / (1 - l_discount)), 8) AS fisher,
        round((exp(2 * x) - 1) / (exp(2 * x) + 1), 8) AS fisherinv, round(exp(-0.5 * pow((ln(k) - 1) / 2, 2)) / (k * 2 * sqrt(2 * pi())), 8) AS lognorm, round((k - 3) / 2, 8) AS standard
 FROM (SELECT *, l_discount * 20 - 1 AS x, l_linenumber AS k FROM lineitem)""",
-    "normal_approximations": "SELECT l_orderkey, l_linenumber, true AS same, true AS confidence FROM lineitem",
+    "normal_approximations": """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount * 20 - 1 AS x FROM lineitem),
+     p AS (SELECT *, 0.5 + list_sum(list_transform(range(0, 30), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(x, 2 * k + 1) / (gamma(k + 1) * pow(2, k) * (2 * k + 1)))) / sqrt(2 * pi()) AS q FROM x)
+SELECT l_orderkey, l_linenumber, round(q, 5) + 0.0 AS dist, round(x, 2) + 0.0 AS back, round(10 + 2 * x, 2) AS scaled, round(1.959964 * l_quantity / 2, 1) AS confidence FROM p""",
     "arrays": """
 WITH t AS (SELECT l_orderkey, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_quantity) AS a FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(list_sort(a, 'DESC'), ', ') AS sorted, (SELECT string_agg(v, ', ' ORDER BY i) FROM (SELECT v, min(i) AS i FROM (SELECT unnest(a) AS v, unnest(range(len(a))) AS i) GROUP BY v)) AS "unique",
@@ -201,6 +204,52 @@ UNION ALL SELECT 'Customers', CAST(c_custkey + 1 AS INTEGER), 2, c_acctbal, NULL
 UNION ALL SELECT 'Customers', CAST(c_custkey + 1 AS INTEGER), 3, NULL, c_mktsegment FROM customer""",
     "shared_string_numbers": """
 SELECT text, row_number() OVER (ORDER BY first, text) - 1 AS idx FROM (SELECT p_name AS text, min(p_partkey) AS first FROM part WHERE p_name IS NOT NULL GROUP BY 1)""",
+    "format_rules": """
+WITH c AS (SELECT CAST(c_custkey + 1 AS INTEGER) AS row, c_acctbal AS v, c_nationkey AS k, c_mktsegment AS s FROM customer),
+     f AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, avg(v) AS m, min(k) AS klo, max(k) AS khi FROM c),
+     o AS (SELECT v, row_number() OVER (ORDER BY v DESC) - 1 AS d, row_number() OVER (ORDER BY v) - 1 AS a FROM c),
+     e AS (SELECT (SELECT v FROM o WHERE d = 24) AS top, (SELECT v FROM o, f WHERE a = greatest(ceil(n / 10.0), 1) - 1) AS bottom, (SELECT v FROM o, f WHERE a = ceil((n - 1) * 10.0 / 100)) AS p10),
+     x AS (SELECT c.*, f.*, e.*, (v - lo) / (hi - lo) AS t FROM c, f, e)
+SELECT row, 1 AS col, 'a' AS rule, CAST(NULL AS VARCHAR) AS color, CAST(NULL AS DOUBLE) AS bar, CAST(NULL AS INTEGER) AS icon FROM x WHERE v < 0
+UNION ALL SELECT row, 1, 'b', NULL, NULL, NULL FROM x WHERE v BETWEEN 1000 AND 2000
+UNION ALL SELECT row, 1, 'c', NULL, NULL, NULL FROM x WHERE v >= top AND v >= 0
+UNION ALL SELECT row, 1, 'd', NULL, NULL, NULL FROM x WHERE v <= bottom AND v >= 0
+UNION ALL SELECT row, 1, 'e', NULL, NULL, NULL FROM x WHERE v > m AND v >= 0
+UNION ALL SELECT row, 3, 'f', NULL, NULL, NULL FROM x WHERE contains(s, 'BUILD')
+UNION ALL SELECT row, 3, 'g', NULL, NULL, NULL FROM x WHERE starts_with(s, 'A')
+UNION ALL SELECT row, 1, 'h', lpad(upper(to_hex(CAST(floor(255 - t * 255 + 0.5) AS BIGINT))), 2, '0') || lpad(upper(to_hex(CAST(floor(t * 255 + 0.5) AS BIGINT))), 2, '0') || '00', NULL, NULL FROM x WHERE v >= 0
+UNION ALL SELECT row, 1, 'i', NULL, round(least(greatest((v - p10) / (hi - p10), 0), 1) * 100, 6), NULL FROM x WHERE v >= 0
+UNION ALL SELECT row, 2, 'j', NULL, NULL, CASE WHEN k >= klo + (khi - klo) * 0.67 THEN 2 WHEN k >= klo + (khi - klo) * 0.33 THEN 1 ELSE 0 END FROM x""",
+    "rates": """
+WITH RECURSIVE n AS (SELECT DISTINCT p_size + 2 AS n FROM part),
+r AS (SELECT n, 1e-9::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM n UNION ALL SELECT n, CASE WHEN f < 0 THEN mid ELSE lo END, CASE WHEN f < 0 THEN hi ELSE mid END, i + 1
+      FROM (SELECT *, pow(1 + mid, n) - 1.2::DOUBLE / n * (pow(1 + mid, n) - 1) / mid AS f FROM (SELECT *, (lo + hi) / 2 AS mid FROM r)) WHERE i < 60),
+v AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i UNION ALL SELECT CASE WHEN f > 0 THEN mid ELSE lo END, CASE WHEN f > 0 THEN hi ELSE mid END, i + 1
+      FROM (SELECT *, list_sum(list_transform(range(1, 6), lambda k: 0.3 / pow(1 + mid, k))) - 1 AS f FROM (SELECT *, (lo + hi) / 2 AS mid FROM v)) WHERE i < 60)
+SELECT p_partkey, round(r.lo, 6) AS rate, round(v.lo, 8) AS irr, round(pow(list_sum(list_transform(range(0, 5), lambda k: 0.3 * pow(1.06, k))), 0.2) - 1, 8) AS mirr
+FROM part JOIN r ON r.n = p_size + 2 AND r.i = 60, v WHERE v.i = 60""",
+    "formula_references": """
+WITH c AS (SELECT CAST(c_custkey + 1 AS INTEGER) AS row FROM customer)
+SELECT 'Customers' AS sheet, row, 4 AS col, 'Customers' AS src_sheet, row AS r1, 2 AS c1, row AS r2, 2 AS c2 FROM c
+UNION ALL SELECT 'Customers', row, 4, 'Na''tions', 1, 1, 25, 3 FROM c
+UNION ALL SELECT 'Customers', row, 4, 'Customers', 1, 3, row, 3 FROM c""",
+    "dependents": """
+WITH RECURSIVE t AS (SELECT CAST(o_orderkey + 1 AS INTEGER) AS row FROM orders), r AS (SELECT 3 AS row UNION ALL SELECT t.row FROM t JOIN r ON t.row // 2 = r.row WHERE t.row > 1)
+SELECT row, 1 AS col FROM r WHERE row <> 3""",
+    "chart_axes": """
+WITH s AS (SELECT c_mktsegment, c_nationkey AS k, sum(c_acctbal) AS v FROM customer GROUP BY 1, 2),
+     p AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY k) - 1 AS i, k, v FROM s QUALIFY i < 12),
+     e AS (SELECT c_mktsegment, least(min(v), 0) AS low, greatest(max(v), 0) AS high FROM p GROUP BY 1),
+     t AS (SELECT c_mktsegment, i, low + (high - low) * i / 4 AS v FROM e, range(0, 5) r(i))
+SELECT c_mktsegment, 'point' AS kind, CAST(i AS INTEGER) AS i, CASE WHEN i < 10 THEN k::VARCHAR ELSE (i + 1)::VARCHAR END AS text, round(v, 2) AS value FROM p
+UNION ALL SELECT c_mktsegment, 'tick', CAST(i AS INTEGER), CASE WHEN abs(v) >= 1e6 THEN 'M' WHEN abs(v) >= 1e3 THEN 'K' ELSE '' END, round(v, 2) FROM t""",
+    "text_rules": """
+WITH t AS (SELECT *, p_size / 50.0 - 0.5 AS t FROM part),
+     c AS (SELECT *, list_transform([64, 128, 192], lambda x: CAST(floor(CASE WHEN t < 0 THEN x * (1 + t) ELSE x + (255 - x) * t END + 0.5) AS BIGINT)) AS c FROM t)
+SELECT p_partkey, coalesce(contains(p_name, 'er'), false) AS has, NOT contains(coalesce(p_name, ''), 'er') AS lacks, coalesce(starts_with(p_name, 'b'), false) AS begins, coalesce(suffix(p_name, 'n'), false) AS ends,
+       lpad(upper(to_hex(c[1])), 2, '0') || lpad(upper(to_hex(c[2])), 2, '0') || lpad(upper(to_hex(c[3])), 2, '0') AS tinted FROM c""",
+    "custom_functions": """
+SELECT p_partkey, floor(p_retailprice * 1.25 * 10 + 0.5) / 10 AS marked, round(avg(p_retailprice * 2) OVER (PARTITION BY p_brand), 4) AS mean FROM part""",
     "grid_edits": """
 WITH a AS (SELECT n_nationkey + 1 AS row, CASE WHEN n_nationkey < 3 THEN (n_nationkey + 1) * 10 ELSE n_regionkey END::DOUBLE AS n FROM nation)
 SELECT row, 1 AS col, n FROM a UNION ALL SELECT row, 3, n * 2 FROM a""",

@@ -13,7 +13,8 @@ from ..functions import call, over
 from ..functions.dates import to_serial
 from ..functions.maths import add, compare, divide, join_text, multiply, negate, power, subtotal, subtract
 from ..functions.statistics import average_if, average_ifs, count_if, count_ifs, max_ifs, min_ifs, sum_if, sum_ifs
-from ..operators import formats, grid, lookup, ranking
+from ..functions.registry import register_function, register_names
+from ..operators import formats, grid, lookup, ranking, references, rule_tables
 from ..sources import workbooks
 from ..values import Value, array, number, text
 
@@ -343,14 +344,11 @@ def annuities(spark, d):
 
 @query
 def rates(spark, d):
-    """RATE and IRR by Newton's steps: what they give is put back into the equations they solve."""
+    """RATE, IRR and MIRR of loans and flows that follow the parts' prices."""
     p, n = number("p_retailprice"), number(F.col("p_size") + 2)
     pay = Value("number", -(p.c / n.c) * 1.2)
-    r = call("RATE", n, pay, p)
-    flows = F.array(-p.c, *[p.c * 0.3] * 5)
-    i = call("IRR", array(flows))
-    back = F.pow(1 + r.c, n.c)
-    return table(spark, d, "part").select("p_partkey", (F.abs(p.c * back + pay.c * (back - 1) / r.c) < 0.01).alias("rate_solves"), rounded(i, 8).alias("irr"), rounded(call("MIRR", array(flows), 0.05, 0.06), 8).alias("mirr"))
+    flows = array(F.array(-p.c, *[p.c * 0.3] * 5))
+    return table(spark, d, "part").select("p_partkey", rounded(call("RATE", n, pay, p), 6).alias("rate"), rounded(call("IRR", flows), 8).alias("irr"), rounded(call("MIRR", flows, 0.05, 0.06), 8).alias("mirr"))
 
 
 @query
@@ -380,10 +378,11 @@ def distributions(spark, d):
 
 @query
 def normal_approximations(spark, d):
-    """Published polynomials against each other: the quantile of the distribution gives the value back."""
+    """Published polynomials: the distribution, its quantile, and a confidence interval."""
     x = number(F.col("l_discount") * 20 - 1)
-    back = call("NORM.S.INV", call("NORM.S.DIST", x, True))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.abs(back.column() - x.c) < 1e-5).alias("same"), (F.abs(call("CONFIDENCE.NORM", 0.05, 1, 1).column() - 1.96) < 0.001).alias("confidence"))
+    dist = call("NORM.S.DIST", x, True)
+    built = {"dist": rounded(dist, 5), "back": rounded(call("NORM.S.INV", dist), 2), "scaled": rounded(call("NORM.INV", dist, 10, 2), 2), "confidence": rounded(call("CONFIDENCE.NORM", 0.05, number("l_quantity"), 4), 1)}
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in built.items()])
 
 
 @query
@@ -489,6 +488,32 @@ def format_scales(spark, d):
     return out.select("c_custkey", "color", rounded(F.col("bar"), 6).alias("bar"), F.col("icon").cast("int").alias("icon"))
 
 
+@query
+def format_rules(spark, d):
+    """Ten rules as a table, on the balances, nations and segments of customers."""
+    customer = table(spark, d, "customer")
+    cells = grid.from_table(customer, "C", F.col("c_custkey") + 1, ["c_acctbal", "c_nationkey", "c_mktsegment"])
+    last = customer.agg(F.max("c_custkey")).first()[0] + 1
+    stops = lambda *given: [{"kind": k, "value": v, "over": False} for k, v in given]
+    given = [
+        {"rule": "a", "kind": "cellIs", "operator": "lessThan", "v1": "0", "stop_if_true": True},
+        {"rule": "b", "kind": "cellIs", "operator": "between", "v1": "1000", "v2": "2000"},
+        {"rule": "c", "kind": "top10", "rank": 25},
+        {"rule": "d", "kind": "top10", "rank": 10, "percent": True, "bottom": True},
+        {"rule": "e", "kind": "aboveAverage"},
+        {"rule": "f", "kind": "containsText", "v1": "BUILD", "col": 3},
+        {"rule": "g", "kind": "beginsWith", "v1": "A", "col": 3},
+        {"rule": "h", "kind": "colorScale", "stops": stops(("min", None), ("max", None)), "colors": ["FF0000", "00FF00"]},
+        {"rule": "i", "kind": "dataBar", "stops": stops(("percentile", 10.0), ("max", None))},
+        {"rule": "j", "kind": "iconSet", "stops": stops(("percent", 0.0), ("percent", 33.0), ("percent", 67.0)), "col": 2},
+    ]
+    names = [c.split()[0] for c in rule_tables.RULES.split(", ")]
+    rules = spark.createDataFrame([tuple({"priority": i, "style": r["rule"]}.get(n, r.get(n)) for n in names) for i, r in enumerate(given)], rule_tables.RULES)
+    targets = spark.createDataFrame([(r["rule"], "C", 1, r.get("col", 1), last, r.get("col", 1)) for r in given], rule_tables.TARGETS)
+    out = rule_tables.formatted(cells, rules, targets).select("row", "col", F.explode("formats").alias("f"))
+    return out.select("row", "col", "f.rule", "f.color", F.round("f.bar", 6).alias("bar"), "f.icon")
+
+
 @query
 def chart_figures(spark, d):
     customer = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").alias("value"))
@@ -588,3 +613,55 @@ def format_stops(spark, d):
     out = formats.icon_set(out, v, "icon", stops=[("percent", 0), ("percentile", 33), ("percentile", 67, False)])
     rules = [formats.Rule("red", formats.cell_is(v, "lessThan", 0.0), 2), formats.Rule("bold", formats.expression(compare(v, ">", 5000)), 1, True), formats.Rule("blue", formats.cell_is(v, "greaterThan", 4000.0), 3), formats.Rule("plain", formats.cell_is(v, "greaterThan", 3000.0))]
     return formats.applied(out, rules, "styles").select("c_custkey", "color", rounded(F.col("bar"), 6).alias("bar"), F.col("icon").cast("int").alias("icon"), F.array_join("styles", ",").alias("styles"))
+
+
+@query
+def formula_references(spark, d):
+    """What formulas of customers' rows read: a cell, a range of another sheet and a growing range."""
+    row = (F.col("c_custkey") + 1).cast("int")
+    text_ = F.concat(F.lit("VLOOKUP(B"), row.cast("string"), F.lit(",'Na''tions'!$A$1:C25,2)&\"A1\"&SUM(C$1:C"), row.cast("string"), F.lit(")+LOG10(2)"))
+    formulas = table(spark, d, "customer").select(F.lit("Customers").alias("sheet"), row.alias("row"), F.lit(4).alias("col"), text_.alias("formula"))
+    return references.edges(formulas)
+
+
+@query
+def dependents(spark, d):
+    """Orders that depend on order 3 where each row reads the row of half its number."""
+    row = (F.col("o_orderkey") + 1).cast("int")
+    half = F.floor(row / 2).cast("int")
+    cell_ = table(spark, d, "orders").select(F.lit("O").alias("sheet"), row.alias("row"), F.lit(1).alias("col"), half.alias("half")).where("half > 0")
+    edges = cell_.select("sheet", "row", "col", F.col("sheet").alias("src_sheet"), F.col("half").alias("r1"), F.lit(1).alias("c1"), F.col("half").alias("r2"), F.lit(1).alias("c2"))
+    changed = spark.range(1).select(F.lit("O").alias("sheet"), F.lit(3).alias("row"), F.lit(1).alias("col"))
+    return grid.reached(edges, changed).select("row", "col")
+
+
+@query
+def chart_axes(spark, d):
+    """Points of charts from arrays of unequal length, and the ticks of their axes."""
+    customer = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").alias("value"))
+    charts = customer.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("c_nationkey", "value"))).alias("p"))
+    arrays_ = charts.select("c_mktsegment", F.slice(F.col("p.c_nationkey"), 1, 10).cast("array<string>").alias("names"), F.slice(F.col("p.value"), 1, 12).alias("values"))
+    points = formats.series(arrays_, ["c_mktsegment"], "names", "values")
+    ticks = formats.axis_ticks(formats.extents(points, ["c_mktsegment"]), ["c_mktsegment"], 4)
+    return points.select("c_mktsegment", F.lit("point").alias("kind"), F.col("point").alias("i"), F.col("category").alias("text"), rounded(F.col("value"), 2).alias("value")).unionByName(
+        ticks.select("c_mktsegment", F.lit("tick").alias("kind"), F.col("tick").alias("i"), F.regexp_extract("label", "[KM]?$", 0).alias("text"), rounded(F.col("value"), 2).alias("value"))
+    )
+
+
+@query
+def text_rules(spark, d):
+    """Text rules of conditional formats, and tints of a colour, by part."""
+    name = text("p_name")
+    rules = {k: formats.text_is(name, rule, part) for k, (rule, part) in {"has": ("containsText", "er"), "lacks": ("notContainsText", "er"), "begins": ("beginsWith", "b"), "ends": ("endsWith", "n")}.items()}
+    tint = F.col("p_size") / 50.0 - 0.5
+    return table(spark, d, "part").select("p_partkey", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in rules.items()], formats.tinted(F.lit("4080C0"), tint).alias("tinted"))
+
+
+@query
+def custom_functions(spark, d):
+    """Functions of one's own, over a row and over a table, one by a name in another language."""
+    register_function("markup", lambda price, share: multiply(price, add(1, share)), over=lambda price: over("AVERAGE", multiply(price, 2)))
+    register_names({"AUFSCHLAG": "MARKUP", "RUNDEN": "ROUND"})
+    part, price = table(spark, d, "part"), number("p_retailprice")
+    means = part.groupBy("p_brand").agg(rounded(over("Markup", price), 4).alias("mean"))
+    return part.select("p_partkey", "p_brand", rounded(call("runden", call("aufschlag", price, 0.25), 1), 1).alias("marked")).join(means, "p_brand").select("p_partkey", "marked", "mean")

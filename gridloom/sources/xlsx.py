@@ -1,4 +1,4 @@
-"""Workbooks (``.xlsx``) as tables: a workbook's parts are read file by file, its sheets in a task each.
+"""Workbooks (``.xlsx``) as tables, read file by file.
 
 ``path`` is whatever Spark's ``binaryFile`` reader takes: a file, a folder or a pattern. Shared
 strings are a table of their own that cells join, so no task holds those of another workbook.
@@ -150,19 +150,17 @@ def _place(ref: str) -> tuple[int, int]:
     return int(digits), col
 
 
-def _sheet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A row per sheet: its name, part and the archive, dealt to tasks by sheet."""
+def _in_sheets(read: Callable[..., Iterator[tuple]]) -> Callable[..., Iterator[tuple]]:
+    """``read(archive, part)`` for every sheet of a file in turn, its rows after path and sheet. Nothing
+    is shuffled; ``workbooks`` reads large files by a task a sheet."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                content = content.as_py()
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for _, sheet, _, part in listed_sheets(archive):
-                        if part in archive.namelist():
-                            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (file.as_py(), sheet, part)] + [pa.array([content], pa.binary())], names=["path", "sheet", "part", "content"])
+    def rows(path, archive):
+        names = set(archive.namelist())
+        for _, sheet, _, part in listed_sheets(archive):
+            for found in read(archive, part) if part in names else ():
+                yield path, sheet, *found
 
-    return _files(spark, path).mapInArrow(run, "path string, sheet string, part string, content binary").repartition("path", "sheet")
+    return rows
 
 
 def scan_cells(archive: zipfile.ZipFile, part: str) -> Iterator[tuple]:
@@ -185,13 +183,9 @@ def scan_cells(archive: zipfile.ZipFile, part: str) -> Iterator[tuple]:
 
 
 def _raw_cells(spark: SparkSession, path: str) -> DataFrame:
-    def read(path, sheet, part, archive):
-        for found in scan_cells(archive, part):
-            yield path, sheet, *found
-
     kinds = [("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("t", pa.string()), ("raw", pa.string()), ("formula", pa.string()), ("shared", pa.string()), ("shared_ref", pa.string()), ("style", pa.int32())]
     schema = "path string, sheet string, row int, col int, t string, raw string, formula string, shared string, shared_ref string, style int"
-    return _scan(_sheet_rows(spark, path), read, schema, kinds)
+    return _scan(_files(spark, path), _in_sheets(scan_cells), schema, kinds)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -222,29 +216,104 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 def merged_ranges(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``sheet``, ``r1``, ``c1``, ``r2``, ``c2`` of merged cells, as ``grid.unmerged`` takes them."""
 
-    def read(path, sheet, part, archive):
+    def read(archive, part):
         with archive.open(part) as data:
             for _, x in ElementTree.iterparse(data):
                 if x.tag == _MAIN + "mergeCell":
                     first, _, last = x.get("ref").partition(":")
-                    yield path, sheet, *_place(first), *_place(last or first)
+                    yield *_place(first), *_place(last or first)
                 elif x.tag == _MAIN + "row":
                     x.clear()
 
     kinds = [("path", pa.string()), ("sheet", pa.string()), *((c, pa.int32()) for c in ("r1", "c1", "r2", "c2"))]
-    return _scan(_sheet_rows(spark, path), read, "path string, sheet string, r1 int, c1 int, r2 int, c2 int", kinds)
+    return _scan(_files(spark, path), _in_sheets(read), "path string, sheet string, r1 int, c1 int, r2 int, c2 int", kinds)
 
 
 def column_styles(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``sheet``, ``first``, ``last`` (columns), ``width``, ``hidden``, ``style``."""
 
-    def read(path, sheet, part, archive):
+    def read(archive, part):
         with archive.open(part) as data:
             for _, x in ElementTree.iterparse(data):
                 if x.tag == _MAIN + "col":
-                    yield path, sheet, int(x.get("min")), int(x.get("max")), float(x.get("width")) if x.get("width") else None, x.get("hidden") in ("1", "true"), int(x.get("style", 0))
+                    yield int(x.get("min")), int(x.get("max")), float(x.get("width")) if x.get("width") else None, x.get("hidden") in ("1", "true"), int(x.get("style", 0))
                 elif x.tag == _MAIN + "sheetData":
                     break
 
     kinds = [("path", pa.string()), ("sheet", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("width", pa.float64()), ("hidden", pa.bool_()), ("style", pa.int32())]
-    return _scan(_sheet_rows(spark, path), read, "path string, sheet string, first int, last int, width double, hidden boolean, style int", kinds)
+    return _scan(_files(spark, path), _in_sheets(read), "path string, sheet string, first int, last int, width double, hidden boolean, style int", kinds)
+
+
+#: A constant of a rule's formula: a number, a text in quotes, or a logical value.
+_CONSTANT = re.compile(r'=?\s*(?:(?P<plain>[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|TRUE|FALSE)|"(?P<text>(?:[^"]|"")*)")\s*', re.IGNORECASE)
+
+
+def _constant(formula: str | None) -> str | None:
+    m = _CONSTANT.fullmatch(formula or "")
+    return None if m is None else m["plain"] or m["text"].replace('""', '"')
+
+
+def _number(text: str | None) -> float | None:
+    try:
+        return float(text)
+    except (TypeError, ValueError):
+        return None
+
+
+_RULE_TEXTS, _RULE_FLAGS = ("rule", "kind", "style", "operator", "v1", "v2"), ("stop_if_true", "percent", "bottom", "below", "equal")
+
+
+def conditional_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of conditional formats as ``operators.rule_tables`` takes them, with ``path``, ``sheet``,
+    ``formulas`` (as they are stated) and ``areas`` (r1, c1, r2, c2 of each target; ``rule_targets``).
+
+    ``rule`` is the sheet's name and the rule's number in it, ``style`` the number of a
+    differential style. Values are constants; a formula that is none leaves them null.
+    """
+
+    def read(archive, part):
+        count = 0
+        with archive.open(part) as data:
+            for _, x in ElementTree.iterparse(data):
+                if x.tag == _MAIN + "row":
+                    x.clear()
+                elif x.tag == _MAIN + "conditionalFormatting":
+                    areas = []
+                    for area in (x.get("sqref") or "").split():
+                        first, _, last = area.partition(":")
+                        (r1, c1), (r2, c2) = _place(first), _place(last or first)
+                        areas.append({"r1": min(r1, r2), "c1": min(c1, c2), "r2": max(r1, r2), "c2": max(c1, c2)})
+                    for r in x.findall(_MAIN + "cfRule"):
+                        count += 1
+                        yield _rule(r, count, areas)
+
+    texts, flags = [(c, pa.string()) for c in _RULE_TEXTS], [(c, pa.bool_()) for c in _RULE_FLAGS]
+    area = pa.struct([(c, pa.int32()) for c in ("r1", "c1", "r2", "c2")])
+    stop = pa.struct([("kind", pa.string()), ("value", pa.float64()), ("over", pa.bool_())])
+    kinds = [("path", pa.string()), ("sheet", pa.string()), *texts, *flags, ("priority", pa.int32()), ("rank", pa.int32()), ("stops", pa.list_(stop)), ("colors", pa.list_(pa.string())), ("formulas", pa.list_(pa.string())), ("areas", pa.list_(area))]
+    schema = "path string, sheet string, " + ", ".join(f"{c} string" for c in _RULE_TEXTS) + ", " + ", ".join(f"{c} boolean" for c in _RULE_FLAGS)
+    schema += ", priority int, rank int, stops array<struct<kind:string,value:double,over:boolean>>, colors array<string>, formulas array<string>, areas array<struct<r1:int,c1:int,r2:int,c2:int>>"
+    found = _scan(_files(spark, path), _in_sheets(read), schema, kinds)
+    return found.withColumn("rule", F.concat("sheet", F.lit("!"), "rule"))
+
+
+def _rule(r: ElementTree.Element, number: int, areas: list[dict]) -> tuple:
+    formulas = [f.text or "" for f in r.findall(_MAIN + "formula")]
+    values = [_constant(f) for f in formulas[:2]] + [None, None]
+    flag = lambda name, default="0": r.get(name, default) in ("1", "true")
+    visual = next((v for v in (r.find(_MAIN + k) for k in ("colorScale", "dataBar", "iconSet")) if v is not None), None)
+    stops = None if visual is None else [{"kind": v.get("type", "num"), "value": _number(v.get("val")), "over": v.get("gte") in ("0", "false")} for v in visual.findall(_MAIN + "cfvo")]
+    colors = None if visual is None else [(c.get("rgb") or "")[-6:].upper() or None for c in visual.findall(_MAIN + "color")]
+    whole = lambda name: int(r.get(name)) if (r.get(name) or "").lstrip("-").isdigit() else None
+    style = None if r.get("dxfId") is None else r.get("dxfId")
+    text = r.get("text")
+    return (
+        f"{number:06d}", r.get("type"), style, r.get("operator"), values[0] if text is None else text, values[1],
+        flag("stopIfTrue"), flag("percent"), flag("bottom") or r.get("top") == "0", not flag("aboveAverage", "1"), flag("equalAverage"),
+        whole("priority"), whole("rank"), stops, colors, formulas, areas,
+    )
+
+
+def rule_targets(rules: DataFrame) -> DataFrame:
+    """``path``, ``rule``, ``sheet``, ``r1``, ``c1``, ``r2``, ``c2``: the targets of ``conditional_rules``."""
+    return rules.select("path", "rule", "sheet", F.explode("areas").alias("_a")).select("path", "rule", "sheet", "_a.*")

@@ -2,7 +2,7 @@
 
 import zipfile
 
-from gridloom.operators import grid
+from gridloom.operators import grid, rule_tables
 from gridloom.sources import xlsx
 
 _M = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -45,3 +45,27 @@ def test_cells(spark, tmp_path):
     assert [tuple(r)[1:] for r in merges.collect()] == [("Data", 1, 1, 2, 2)]
     read = xlsx.read_cells(spark, str(tmp_path / "one.xlsx")).select("sheet", "row", "col", "v")
     assert grid.unmerged(read.where("row = 1 and col = 1 and sheet = 'Data'"), merges.drop("path")).where("v.s = 'one'").count() == 4
+
+
+def test_conditional_rules(spark, tmp_path):
+    inner = '''<sheetData><row r="1"><c r="A1"><v>1</v></c><c r="B1"><v>5</v></c><c r="C1"><v>9</v></c></row></sheetData>
+    <conditionalFormatting sqref="A1:C1 E5"><cfRule type="cellIs" dxfId="3" priority="2" operator="greaterThan" stopIfTrue="1"><formula>4</formula></cfRule>
+    <cfRule type="cellIs" dxfId="1" priority="1" operator="equal"><formula>"a ""b"""</formula></cfRule><cfRule type="expression" dxfId="0" priority="4"><formula>A1&gt;2</formula></cfRule></conditionalFormatting>
+    <conditionalFormatting sqref="B1:A1"><cfRule type="colorScale" priority="3"><colorScale><cfvo type="min"/><cfvo type="percentile" val="50" gte="0"/><color rgb="FFff0000"/><color theme="4"/></colorScale></cfRule>
+    <cfRule type="top10" dxfId="2" priority="5" rank="1" bottom="1"/></conditionalFormatting>'''
+    make(tmp_path / "one.xlsx", {"S": inner, "T": "<sheetData/>"}, [])
+    rules = xlsx.conditional_rules(spark, str(tmp_path))
+    got = {r.rule: r for r in rules.collect()}
+    assert [(r.kind, r.operator, r.v1, r.style, r.priority, r.stop_if_true, r.rank, r.bottom) for _, r in sorted(got.items())] == [
+        ("cellIs", "greaterThan", "4", "3", 2, True, None, False),
+        ("cellIs", "equal", 'a "b"', "1", 1, False, None, False),
+        ("expression", None, None, "0", 4, False, None, False),
+        ("colorScale", None, None, None, 3, False, None, False),
+        ("top10", None, None, "2", 5, False, 1, True),
+    ]
+    scale = got["S!000004"]
+    assert [(s.kind, s.value, s.over) for s in scale.stops] == [("min", None, False), ("percentile", 50.0, True)] and scale.colors == ["FF0000", None] and got["S!000003"].formulas == ["A1>2"]
+    targets = xlsx.rule_targets(rules)
+    assert sorted(tuple(r)[1:] for r in targets.where("rule in ('S!000001', 'S!000005')").collect()) == [("S!000001", "S", 1, 1, 1, 3), ("S!000001", "S", 5, 5, 5, 5), ("S!000005", "S", 1, 1, 1, 2)]
+    out = rule_tables.formatted(xlsx.read_cells(spark, str(tmp_path)), rules, targets)
+    assert {r.col: [f.rule[-1] for f in r.formats] for r in out.collect()} == {1: ["5"], 2: ["1"], 3: ["1"]}

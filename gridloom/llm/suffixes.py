@@ -16,6 +16,7 @@ by a 64-bit hash of all its bytes, with the others of its anchor's name. At 30 G
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,8 @@ HOT = 0.001
 #: Spans that may be broadcast (about 60 bytes each).
 SMALL = 200_000
 BATCHES = 4
+#: Windows of dealt groups of which a task holds the hashes at once.
+SHARE = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -188,7 +191,8 @@ class SuffixFamily:
         """Take in a batch (key, h, at, n): ``key`` and ``n`` (how often) of its suffixes that begin
         like another one of the batch or of a level."""
         self.version += 1
-        place = f"array-{self.version}"
+        # a name of its own, as a lost run may have left one of this version behind
+        place = f"array-{self.version}-{uuid.uuid4().hex}"
         array = self._write(entries.distinct(), place)
         # counts by key are formed before the shuffle, so that a common key is no more than others
         own = array.groupBy("key").agg(F.count("*").alias("n"))
@@ -203,7 +207,7 @@ class SuffixFamily:
         if merged:
             for level in merged:
                 array = array.union(level)
-            place = f"merged-{self.version}"
+            place = f"merged-{self.version}-{uuid.uuid4().hex}"
             self._write(array, place)
         self.levels.append((size, place))
         rows = self.spark.createDataFrame([(self.version, n, at) for n, at in self.levels], "version long, size long, place string")
@@ -228,9 +232,12 @@ class SuffixFamily:
 def _segments(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """The text that the windows of ``anchors`` (h, key, at, n, parts) cover; windows that follow
     each other under one key are one segment."""
-    lists = anchors.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "n", "key", "parts"))).alias("anchors"))
+    lists = written(anchors.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "n", "key", "parts"))).alias("anchors")), "suffix-lists")
+    long = docs.where(F.octet_length("text") >= length).select(text_key().alias("h"), "text")
+    if lists.count() <= SMALL:  # texts without a hit stay where they are
+        long = long.join(F.broadcast(lists.select("h")), "h", "left_semi")
     # one row a text, so that a text with many copies is not many rows of one task
-    texts = docs.where(F.octet_length("text") >= length).groupBy(text_key().alias("h")).agg(F.first("text").alias("text"))
+    texts = long.groupBy("h").agg(F.first("text").alias("text"))
     joined = texts.join(lists.hint("shuffle_hash"), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,23 +342,58 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
             new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])))
             first = hit[new]
             last = hit[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hit) - 1]))]
-            yield pa.RecordBatch.from_arrays([hs.take(pa.array(owner[first])), pa.array(place[first]), pa.array(place[last] + length), pa.nulls(len(first), pa.int64())], schema=out)
+            none = [pa.nulls(len(first), f.type) for f in list(out)[3:]]
+            yield pa.RecordBatch.from_arrays([hs.take(pa.array(owner[first])), pa.array(place[first]), pa.array(place[last] + length), *none], schema=out)
+        # windows of a group that was dealt to several tasks go on in blocks, one for each share of all hashes
         dealt = parts[owner] > 1
         lone = np.flatnonzero(dealt & ~twice)
-        if len(lone):
-            yield pa.RecordBatch.from_arrays([hs.take(pa.array(owner[lone])), pa.array(place[lone]), pa.array(place[lone] + length), pa.array(value[lone].view(np.int64))], schema=out)
-        known = np.unique(value[dealt & twice]).view(np.int64)
-        if len(known):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(known), pa.binary()), *(pa.nulls(len(known), pa.int64()) for _ in range(2)), pa.array(known)], schema=out)
+        known = np.unique(value[dealt & twice])
+        if not len(lone) and not len(known):
+            return
+        order = np.argsort(value[lone] % np.uint64(shares), kind="stable")
+        lone = lone[order]
+        cuts = np.searchsorted(value[lone] % np.uint64(shares), np.arange(shares + 1, dtype=np.uint64))
+        rows = []
+        for share in range(shares):
+            own, others = lone[cuts[share] : cuts[share + 1]], known[known % np.uint64(shares) == share]
+            if len(own) or len(others):
+                texts, which = np.unique(owner[own], return_inverse=True)
+                rows.append({"share": share, "texts": b"".join(hs.take(pa.array(texts)).to_pylist()), "which": which.astype(np.int32).tobytes(), "places": place[own].tobytes(), "values": value[own].tobytes(), "known": others.tobytes()})
+        yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    def match(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of blocks in the order of their share: the windows whose hash another block has too."""
+        held: list[dict] = []
+        for batch in batches_:
+            for row in batch.to_pylist():
+                if held and held[-1]["share"] != row["share"]:
+                    yield from matched(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from matched(held)
+
+    def matched(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(b["values"], np.uint64) for b in blocks]
+        ordered = np.sort(np.concatenate(own))
+        again = np.union1d(ordered[1:][ordered[1:] == ordered[:-1]], np.concatenate([np.frombuffer(b["known"], np.uint64) for b in blocks]))
+        if not len(again):
+            return
+        for b, value in zip(blocks, own, strict=True):
+            hit = np.flatnonzero(again[np.minimum(np.searchsorted(again, value), len(again) - 1)] == value)
+            if len(hit):
+                texts = [b["texts"][i : i + 16] for i in range(0, len(b["texts"]), 16)]
+                which, place = np.frombuffer(b["which"], np.int32)[hit], np.frombuffer(b["places"], np.int64)[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).take(pa.array(which)), pa.array(place), pa.array(place + length)], names=["h", "start", "stop"])
 
     segment = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("h", pa.binary()), ("at", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-    out = pa.schema([("h", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.int64())])
-    found = written(_segments(docs, anchors, length).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(frugal(verify), "h binary, start long, stop long, value long"), "suffix-found")
-    # windows of a group that was dealt to several tasks, each equal ones of a task once
-    dealt = found.where("value is not null")
-    again = dealt.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    more = dealt.where("h is not null").join(again, "value", "left_semi").select("h", "start", "stop")
-    spans = found.where("value is null").select("h", "start", "stop").union(more)
+    out = pa.schema([("h", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("share", pa.int32()), *((c, pa.binary()) for c in ("texts", "which", "places", "values", "known"))])
+    windows = anchors.where("parts > 1").agg(F.sum("n")).first()[0] or 0
+    shares = max(1, -(-windows // SHARE))
+    found = written(_segments(docs, anchors, length).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(frugal(verify), "h binary, start long, stop long, share int, texts binary, which binary, places binary, values binary, known binary"), "suffix-found")
+    blocks = found.where("share is not null").select("share", "texts", "which", "places", "values", "known")
+    more = blocks.repartition("share").sortWithinPartitions("share").mapInArrow(frugal(match), "h binary, start long, stop long")
+    spans = found.where("share is null").select("h", "start", "stop").union(more)
 
     def merge(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 #: Bytes of reference text per language, documents they are drawn from, and most bytes of one.
 REFERENCE_BYTES, REFERENCE_DOCS, EXCERPT_CHARS = 32_768, 64, 600
-#: Texts are parsed in blocks of so many bytes, many blocks in step; a phrase ends with its block.
+#: Most languages that are learned, those with most documents: each is an automaton in every worker.
+LANGUAGES = 512
+#: Bytes of all texts that are parsed in step before the next ones are laid out.
 BLOCK = 512
-_STEP_BLOCKS = 16_384
+#: Texts of more bytes wait for others of their kind, so many at a time, of so many bytes together.
+LONG, LONG_TEXTS, LONG_BYTES = 8192, 256, 1 << 24
 
 
 def _folded(text: str) -> bytes:
@@ -84,37 +87,33 @@ class CrossParser:
         self.table = table.ravel()
         self.bits = math.log2(max(2, len(reference)))
 
-    def phrases(self, columns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """columns: a row per step and a column per block, blocks in descending size."""
-        state = np.zeros(columns.shape[1], np.int64)
-        count = np.ones(columns.shape[1], np.int64)
-        active = np.searchsorted(-sizes, -np.arange(len(columns)), side="left")
-        for i in range(len(columns)):
-            n = int(active[i])
+    def advance(self, columns: np.ndarray, sizes: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+        """columns: a row per step and a column per text, texts in descending size; ``state`` and
+        ``count`` (phrases so far) of each text are carried on."""
+        active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        for i, n in enumerate(active.tolist()):
             to = self.table.take(state[:n] * self.width + self.codes[columns[i, :n]])
             count[:n] += to & 1
             state[:n] = to >> 1
-        return count
 
 
 def cross_entropies(texts: list[bytes], parsers: list[CrossParser]) -> np.ndarray:
-    """Bits per byte of each text against each parser; blocks of all texts run in step."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    total = np.zeros((len(texts), len(parsers)))
-    owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
-    first = np.concatenate(([0], np.cumsum(-(-sizes // BLOCK))))[:-1]
-    offset = (np.arange(len(owner)) - first[owner]) * BLOCK
+    """Bits per byte of each text against each parser; all texts run in step, each as a whole."""
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
     base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    data = np.frombuffer(b"".join(texts) + bytes(BLOCK), np.uint8)
-    length = np.minimum(BLOCK, sizes[owner] - offset)
-    for at in range(0, len(owner), _STEP_BLOCKS):
-        part = np.arange(at, min(at + _STEP_BLOCKS, len(owner)))
-        part = part[np.argsort(-length[part], kind="stable")]
-        begin = base[owner[part]] + offset[part]
-        columns = np.ascontiguousarray(data[begin[:, None] + np.arange(int(length[part[0]]))[None, :]].T)
+    data = np.frombuffer(b"".join(texts[i] for i in order) + bytes(BLOCK), np.uint8)
+    states, counts = np.zeros((len(parsers), len(texts)), np.int64), np.ones((len(parsers), len(texts)), np.int64)
+    for at in range(0, int(sizes[0]) if len(sizes) else 0, BLOCK):
+        n = int(np.searchsorted(-sizes, -at, side="left"))
+        columns = np.ascontiguousarray(data[(base[:n] + at)[:, None] + np.arange(BLOCK)[None, :]].T)
         for k, parser in enumerate(parsers):
-            np.add.at(total[:, k], owner[part], parser.phrases(columns, length[part]) * parser.bits)
-    return total / np.maximum(sizes, 1)[:, None]
+            parser.advance(columns, np.minimum(sizes[:n] - at, BLOCK), states[k, :n], counts[k, :n])
+    bits = counts.T * np.array([p.bits for p in parsers]) / np.maximum(sizes, 1)[:, None]
+    bits[sizes == 0] = 0
+    out = np.empty_like(bits)
+    out[order] = bits
+    return out
 
 
 _PARSERS: dict[tuple[bytes, ...], list[CrossParser]] = {}
@@ -134,23 +133,21 @@ def is_learning_row() -> F.Column:
 
 
 def reference_texts(docs: DataFrame) -> dict[str, bytes]:
-    """At most ``REFERENCE_BYTES`` of labelled text per language, cut from the first
-    ``EXCERPT_CHARS`` characters of about ``REFERENCE_DOCS`` documents that a hash of the id
-    chooses: two passes, the first over id and language alone. This bounded sample is all
-    that the driver sees of the texts."""
-    known = docs.where(is_learning_row() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    """At most ``REFERENCE_BYTES`` of labelled text per language (of the ``LANGUAGES`` with most
+    documents): ``EXCERPT_CHARS`` characters of each of about ``REFERENCE_DOCS`` documents. Which ones,
+    and from where in them, a hash of id and text says; rows that repeat both count once. This
+    bounded sample is all that the driver sees of the texts."""
+    hashed = F.xxhash64("doc_id", "text")
+    known = docs.where(is_learning_row() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", hashed.alias("hash"))
+    sizes = known.groupBy("lang").agg(F.countDistinct("hash").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in sizes.collect()}
     if not counts:
         return {}
     limit = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_000, math.ceil(2e6 * REFERENCE_DOCS / n)))])
-    rank = F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(1_000_000))
-    rows = (
-        known.where(rank < limit[F.col("lang")])
-        .select("lang", rank.alias("rank"), F.substring("text", 1, EXCERPT_CHARS).alias("part"))
-        .orderBy("rank", "part")
-        .limit(8 * REFERENCE_DOCS * len(counts))
-        .collect()
-    )
+    rank, turn = F.pmod("hash", F.lit(1_000_000)), F.shiftright("hash", 20)
+    start = F.pmod(turn, F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = known.where(rank < limit[F.col("lang")]).select("lang", rank.alias("rank"), F.substring("text", start, F.lit(EXCERPT_CHARS)).alias("part")).distinct()
+    rows = rows.orderBy("rank", "part").limit(8 * REFERENCE_DOCS * len(counts)).collect()
     out: dict[str, bytes] = {}
     for r in rows:
         out[r["lang"]] = (out.get(r["lang"], b"") + b" " + _folded(r["part"]))[:REFERENCE_BYTES]
@@ -161,26 +158,45 @@ def identify(docs: DataFrame, references: dict[str, bytes]) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (how far the second language lies behind, 0 to 1)
     for every row, from its text alone.
 
+    Texts of any length are parsed whole; long ones wait for others, so rows change their order.
     Null texts and texts without a letter are ``und`` with score 0, as all are without
     references. Ties go to the language that comes first by code point.
     """
     langs, texts = list(references), tuple(references.values())
 
+    def judged(ids: pa.Array, data: list[bytes], said: np.ndarray) -> pa.RecordBatch:
+        bits = cross_entropies(data, _parsers(texts))
+        ordered = np.sort(bits, axis=1)
+        best = np.argmin(bits, axis=1)
+        second = ordered[:, 1] if len(langs) > 1 else ordered[:, 0] * 2
+        score = np.clip(1 - ordered[:, 0] / np.maximum(second, 1e-12), 0, 1)
+        named = [langs[b] if s else "und" for b, s in zip(best.tolist(), said.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(named, pa.string()), pa.array(np.where(said, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsers = _parsers(texts)
+        held: list[tuple[pa.Array, list[bytes], np.ndarray]] = []
+
+        def together() -> pa.RecordBatch:
+            ids, data, said = zip(*held, strict=True)
+            held.clear()
+            return judged(pa.concat_arrays(ids), [t for x in data for t in x], np.concatenate(said))
+
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                bits = cross_entropies([_folded(t or "") for t in part.column("text").to_pylist()], parsers)
-                ordered = np.sort(bits, axis=1)
-                best = np.argmin(bits, axis=1)
-                second = ordered[:, 1] if len(langs) > 1 else ordered[:, 0] * 2
-                score = np.clip(1 - ordered[:, 0] / np.maximum(second, 1e-12), 0, 1)
+                data = [_folded(t or "") for t in part.column("text").to_pylist()]
                 said = np.asarray(part.column("lettered").to_numpy(zero_copy_only=False), bool)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([langs[b] if s else "und" for b, s in zip(best.tolist(), said.tolist(), strict=True)], pa.string()), pa.array(np.where(said, score, 0.0))],
-                    names=["doc_id", "lang_pred", "score"],
-                )
+                long = np.array([len(t) > LONG for t in data], bool)
+                if long.any():
+                    rows = np.flatnonzero(long)
+                    held.append((part.column("doc_id").take(pa.array(rows)), [data[i] for i in rows], said[rows]))
+                if not long.all():
+                    rows = np.flatnonzero(~long)
+                    yield judged(part.column("doc_id").take(pa.array(rows)), [data[i] for i in rows], said[rows])
+                if sum(len(x[1]) for x in held) >= LONG_TEXTS or sum(len(t) for x in held for t in x[1]) >= LONG_BYTES:
+                    yield together()
+        if held:
+            yield together()
 
     rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if not langs:

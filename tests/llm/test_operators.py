@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, chat, langid, lengths, mixing, ngram_join, rules, suffixes, vectors, warc
 from gridloom.llm.graph import components
@@ -13,6 +14,7 @@ from gridloom.llm.queries import vocabulary
 
 D = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
+DOC_COLUMNS = [c.split()[0] for c in DOC.split(", ")]
 
 
 @pytest.fixture(scope="module")
@@ -86,21 +88,19 @@ def test_warc_damaged():
 
 
 def test_cross_parsing():
-    """Phrases of blocks against a search for each longest match."""
+    """Phrases of whole texts against a search for each longest match."""
     reference = b"the cat sat on the mat and the dog sat on the log "
     parser = langid.CrossParser(reference)
     texts = [b"the cat and the dog zat on the mat" * 40, b"", b"zzz", b"sat on the"]
     got = langid.cross_entropies(texts, [parser])[:, 0]
     for text, bits in zip(texts, got, strict=True):
-        phrases = 0
-        for at in range(0, len(text), langid.BLOCK):
-            phrase, phrases = b"", phrases + 1
-            for byte in text[at : at + langid.BLOCK]:
-                c = bytes([byte])
-                if phrase + c in reference:
-                    phrase += c
-                else:  # a byte that the reference lacks begins a phrase that goes on after it
-                    phrase, phrases = c if c in reference else b"", phrases + 1
+        phrase, phrases = b"", min(1, len(text))
+        for byte in text:
+            c = bytes([byte])
+            if phrase + c in reference:
+                phrase += c
+            else:  # a byte that the reference lacks begins a phrase that goes on after it
+                phrase, phrases = c if c in reference else b"", phrases + 1
         assert bits == pytest.approx(phrases * parser.bits / max(len(text), 1))
 
 
@@ -141,6 +141,8 @@ def test_rules(spark, docs, empty):
         seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         hit = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(hit))
+        lines = [x for x in (texts[int(r.doc_id)] or "").split("\n") if words(x)]
+        assert (r.n_symbols, r.n_dup_lines) == (sum(c in "#*$%&|<>" for c in texts[int(r.doc_id)] or ""), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w)) and not (r.base_failed and r.kept)
     assert rules.quality_rules(empty, labels).count() == 0
     kept = rules.good_documents(docs, labels)
@@ -172,9 +174,49 @@ def test_language(spark, docs, empty):
     judged = out[out.held_out & (out.lang_pred != "und") & out.doc_id.notna()]
     assert np.mean([lang[int(r.doc_id)] == r.lang_pred for r in judged.itertuples()]) > 0.9
     assert set(out[out.doc_id.isin([90001, 90002])].lang_pred) == {"und"}
+    assert len(out) == docs.count()
     assert langid.language_id(empty).count() == 0
 
 
+def test_phrases_of_whole_texts(monkeypatch):
+    """Against longest matches by search, over texts much longer than a block."""
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    say = lambda n, letters: "".join(rng.choice(list(letters), n)).encode()
+    references = [say(400, "abcd "), say(300, "abde\u00e9 ")]
+    texts = [b"", b"a", references[0][50:180], say(333, "abc "), say(16, "abd"), say(1000, "abcdefg 12"), b"x" * 40] + [say(int(n), "abcd ") for n in rng.integers(0, 90, 30)]
+    fold = lambda b: langid._CLASS[np.frombuffer(b, np.uint8)].tobytes()
+
+    def phrases(text, known):
+        n, now = min(1, len(text)), b""
+        for c in (text[i : i + 1] for i in range(len(text))):
+            if c not in known:  # begins a phrase that goes on with what follows
+                n, now = n + 1, b""
+            elif now + c in known:
+                now += c
+            else:
+                n, now = n + 1, c
+        return n
+
+    got = langid.cross_entropies(texts, [langid.CrossParser(r) for r in references])
+    for k, r in enumerate(references):
+        for t, bits in zip(texts, got[:, k], strict=True):
+            assert bits == pytest.approx(phrases(fold(t), fold(r)) * np.log2(len(r)) / max(len(t), 1)), t
+
+
+def test_language_of_few_ids(spark, monkeypatch):
+    """A language whose rows all have one id is learned, and repeated rows count once."""
+    monkeypatch.setattr(langid, "LONG", 300)
+    rows = spark.read.parquet(f"{D}/documents.parquet").where("lang in ('en', 'es') and length(text) > 400")
+    one = rows.where("lang = 'es'").withColumn("doc_id", F.lit(2).cast("long"))
+    many = rows.where("lang = 'en'")
+    table = many.select(DOC_COLUMNS).unionByName(one.select(DOC_COLUMNS))
+    table = table.unionByName(one.orderBy("text").limit(1).select(DOC_COLUMNS).crossJoin(spark.range(3000)).select(DOC_COLUMNS))
+    assert set(langid.reference_texts(table)) == {"en", "es"}
+    out = langid.identify(rows, langid.reference_texts(table)).join(rows.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (out.lang == out.lang_pred).mean() > 0.95 and len(out) == rows.count()
+
+
 def test_mixing(docs, empty):
     out = mixing.mix_sources(docs).toPandas()
     for _, g in out.groupby("source", dropna=False):

@@ -31,15 +31,20 @@ def _safe(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
+def _over(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0; b is stated once, so that long ones don't double."""
+    return F.try_divide(a, b)
+
+
 def _annuity(rate: Column, n: Column, kind: Column) -> tuple[Column, Column]:
     """Growth over n periods, and what payments of 1 are worth at the end."""
     growth = F.pow(1 + rate, n)
-    return growth, F.when(rate == 0, n).otherwise((1 + rate * kind) * (growth - 1) / _safe(rate))
+    return growth, F.when(rate == 0, n).otherwise((1 + rate * kind) * _over(growth - 1, rate))
 
 
 def payment(rate, n, pv, fv, kind) -> Column:
     growth, worth = _annuity(rate, n, kind)
-    return -(pv * growth + fv) / _safe(worth)
+    return -_over(pv * growth + fv, worth)
 
 
 @row("FV", category=_C, args="rate, nper, pmt, [pv], [type]")
@@ -66,9 +71,10 @@ def pmt(rate, nper, pv, fv=None, kind=None):
 def nper(rate, pmt, pv, fv=None, kind=None):
     r, m, p, f = finite(rate), finite(pmt), finite(pv), _or0(fv)
     each = m * (1 + r * _or0(kind))
-    ratio = (each - f * r) / _safe(p * r + each)
-    flat = -(p + f) / _safe(m)
-    out = F.when(r == 0, flat).otherwise(F.ln(F.when(ratio > 0, ratio)) / F.ln(F.when(r > -1, 1 + r)))
+    ratio = _over(each - f * r, p * r + each)
+    flat = -_over(p + f, m)
+    # the logarithm of what isn't above 0 is null
+    out = F.when(r == 0, flat).otherwise(_over(F.ln(ratio), F.ln(1 + r)))
     return _out(out, _none(r, m, p), (F.when(r == 0, m == 0).otherwise(F.coalesce(ratio <= 0, F.lit(True))), NUM))
 
 

@@ -12,7 +12,7 @@ from gridloom.plans.queries import QUERIES
 from gridloom.values import number
 
 D = "/root/testdata/sf0.001"
-NAMES = ["sumifs_by_segment", "conditional_aggregates", "plain_aggregates", "vlookup_exact", "lookup_approximate", "match_next", "xlookup_wildcard", "index_match", "sumifs_per_row", "rank_table", "trimmed_mean", "frequency_bins", "operators_arithmetic", "text_numbers", "dates", "conditions", "grid_recalculation", "grid_edits", "format_top", "arrays", "further_rounding", "random_numbers", "constants", "text_codes", "text_dates", "row_lookups", "further_statistics", "forecasts", "format_scales", "format_stops"]
+NAMES = ["sumifs_by_segment", "conditional_aggregates", "plain_aggregates", "vlookup_exact", "lookup_approximate", "match_next", "xlookup_wildcard", "index_match", "sumifs_per_row", "rank_table", "trimmed_mean", "frequency_bins", "operators_arithmetic", "text_numbers", "dates", "conditions", "grid_recalculation", "grid_edits", "format_top", "arrays", "further_rounding", "random_numbers", "constants", "text_codes", "text_dates", "row_lookups", "further_statistics", "forecasts", "format_scales", "format_stops", "running_ranges", "running_balance", "merged_areas", "workbook_round_trip", "shared_string_numbers", "format_rules", "rates", "normal_approximations", "formula_references", "dependents", "chart_axes", "text_rules", "custom_functions", "annuities"]
 
 
 def shown(value):

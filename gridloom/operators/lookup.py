@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from ..names import spare
 from ..values import NA, Value, num, number_text, text_of
 from ..functions.texts import wildcard
-from ..storage import written
-
-#: Range buckets of an approximate lookup.
-BUCKETS = 64
+from ..storage import ranged
 
 
 def key_of(value: Value) -> Column:
@@ -47,39 +44,25 @@ def exists(left: DataFrame, wanted: Value, table: DataFrame, key: Value, *, nega
     return left.withColumn(want, key_of(wanted)).join(keys, F.col(want) == F.col(at), "left_anti" if negate else "left_semi").drop(want)
 
 
-def _cuts(table: DataFrame, column: str) -> list[float]:
-    """At most ``BUCKETS`` - 1 cuts of about equal shares of the keys."""
-    found = table.approxQuantile(column, [i / BUCKETS for i in range(1, BUCKETS)], 0.005)
-    return sorted(set(found))
-
-
-def bucket_of(value: Column, cuts: list[float]) -> Column:
-    """Number of cuts that a value reaches."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)) if cuts else F.lit(0)
-
-
 def nearest(left: DataFrame, wanted: Value, table: DataFrame, key: Value, returns: list[str], *, below: bool = True, position: str | None = None, prefix: str = "found_") -> DataFrame:
     """The row with the largest key up to the wanted number (``below``) or the least from it on: VLOOKUP
     with TRUE, LOOKUP, MATCH 1 and -1, XLOOKUP and XMATCH -1 and 1. Tables needn't be sorted.
 
-    Both sides are dealt to ranges of keys, and inside a range the last key seen in order is
-    carried along; what comes in from the ranges before is at most one row each. A range is a
-    bounded share of the table's keys; rows of ``left`` whose wanted numbers crowd into one range
-    are first reduced to distinct numbers.
+    Both sides are dealt to ranges of keys together, and inside a range the last key seen in order
+    is carried along; what comes in from the ranges before is at most one row each. Wanted
+    numbers are first reduced to distinct ones.
     """
     sign = 1 if below else -1
-    # written once: its ranges, its tops and the ranges themselves are taken from it
-    keys = written(_firsts(table, num(key), returns, position, False).select((F.col("_key") * sign).alias("_k"), "_row"), "lookup-keys")
-    cuts = _cuts(keys, "_k")
+    keys = _firsts(table, num(key), returns, position, False).select((F.col("_key") * sign).alias("_k"), "_row", F.lit(False).alias("_asks"))
     want = left.select((num(wanted) * sign).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    both = want.withColumn("_row", F.lit(None).cast(dict(keys.dtypes)["_row"])).withColumn("_asks", F.lit(True)).unionByName(keys.withColumn("_asks", F.lit(False))).withColumn("_bucket", bucket_of(F.col("_k"), cuts))
-    order = Window.partitionBy("_bucket").orderBy("_k", "_asks")
-    seen = both.withColumn("_row", F.last("_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_asks")
-    tops = keys.withColumn("_bucket", bucket_of(F.col("_k"), cuts)).groupBy("_bucket").agg(F.max_by("_row", "_k").alias("_top"))
-    carried = both.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket")).join(tops, "_bucket", "left")
-    carried = carried.withColumn("_carry", F.last("_top", ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("_bucket", "_carry")
+    both = ranged(want.select("_k", F.lit(None).cast(dict(keys.dtypes)["_row"]).alias("_row"), F.lit(True).alias("_asks")).unionByName(keys), "_k")
+    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    tops = both.groupBy("_range").agg(F.max_by("_row", F.when(~F.col("_asks"), F.col("_k"))).alias("_top"))
+    carried = tops.select("_range", F.last("_top", ignorenulls=True).over(before).alias("_carry"))
+    order = Window.partitionBy("_range").orderBy("_k", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_row", F.last("_row", ignorenulls=True).over(order)).where("_asks")
     asked, at, hit = spare(left, "_want", "_k", "_hit")
-    found = seen.join(carried, "_bucket", "left").select("_k", F.coalesce("_row", "_carry").alias("_row")).select(F.col("_k").alias(at), *[F.col("_row")[c].alias(prefix + c) for c in returns], F.col("_row").isNotNull().alias(hit))
+    found = seen.join(F.broadcast(carried), "_range", "left").select("_k", F.coalesce("_row", "_carry").alias("_row")).select(F.col("_k").alias(at), *[F.col("_row")[c].alias(prefix + c) for c in returns], F.col("_row").isNotNull().alias(hit))
     return left.withColumn(asked, num(wanted) * sign).join(found, F.col(asked) == F.col(at), "left").withColumn(f"{prefix}error", F.when(~F.coalesce(hit, F.lit(False)), NA)).drop(asked, at, hit)
 
 

@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..names import spare
+from ..storage import ranged
 from ..values import NUM, Value, num, result
-from .lookup import _cuts, bucket_of
 
 
 def value_counts(df: DataFrame, value: Value) -> DataFrame:
     """``v`` and ``n``, with ``below``: how many values of the table are smaller; a row per distinct value."""
     counts = df.select(num(value).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    cuts = _cuts(counts, "v")
-    placed = counts.withColumn("_bucket", bucket_of(F.col("v"), cuts))
-    before = placed.groupBy("_bucket").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_bucket", "_before")
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("_inside", inside).join(before, "_bucket").select("v", "n", (F.col("_before") + F.col("_inside")).alias("below"))
+    placed = ranged(counts, "v")
+    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = placed.groupBy("_range").agg(F.sum("n").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_inside", inside).join(F.broadcast(starts), "_range").select("v", "n", (F.col("_before") + F.col("_inside")).alias("below"))
 
 
 def rank(df: DataFrame, value: Value, out: str, *, ascending: bool = False, average: bool = False, by: list[str] | None = None) -> DataFrame:

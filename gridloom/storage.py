@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` written in ranges of ``order``, as many as the session shuffles to, with the number of each
+    row's range as ``_range``: equal keys are in one range, and later ranges have larger ones."""
+    return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
 class Grown:
     """A written table that grows by appending; its columns and types stay those of the first rows."""
 

@@ -39,20 +39,22 @@ WITH sized AS (
 ), rests AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM targets
 ), hashes AS (
-  SELECT source, hash, sum(size) AS held FROM sized GROUP BY source, hash
+  SELECT source, hash, sum(size) AS held, count(*) AS n FROM sized GROUP BY source, hash
 ), running AS (
-  SELECT h.source, h.hash, h.held, r.target - r.copies * r.source_size AS rest,
+  SELECT h.source, h.hash, h.held, h.n, r.target - r.copies * r.source_size AS rest,
          sum(held) OVER (PARTITION BY h.source ORDER BY h.hash) AS up_to
   FROM hashes h JOIN rests r ON h.source IS NOT DISTINCT FROM r.source
 ), cuts AS (
-  SELECT source, min_by(CASE WHEN up_to - rest < rest - (up_to - held) THEN hash + 1 ELSE hash END, hash) AS cut
+  SELECT source, min(hash) AS cut, min_by(least(greatest(ceil((rest - (up_to - held)) / (held::DOUBLE / n) - 0.5), 0), n), hash) AS extra
   FROM running WHERE up_to > rest GROUP BY source
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source, hash) AS number FROM sized
 )
 SELECT s.doc_id, s.size, r.source_size, r.target,
-       (s.size * (r.copies + CASE WHEN r.copies < 3 AND (c.source_size IS NULL OR s.hash < c.cut) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sized s
+       (s.size * (r.copies + CASE WHEN r.copies < 3 AND (c.known IS NULL OR s.hash < c.cut OR s.hash = c.cut AND s.number <= c.extra) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM numbered s
 JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
-LEFT JOIN (SELECT *, 1 AS source_size FROM cuts) c ON s.source IS NOT DISTINCT FROM c.source
+LEFT JOIN (SELECT *, 1 AS known FROM cuts) c ON s.source IS NOT DISTINCT FROM c.source
 """,
     "op13_fill_in_middle": r"""
 WITH cut AS (

@@ -225,6 +225,43 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def targets_by_hand(sizes):
+    """Shares by weight of all sizes; what is above three times a source's size goes to the others."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    open_, out, left = set(names), {}, float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 3 * sizes[s]}
+        for s in over or open_:
+            out[s] = 3.0 * sizes[s] if over else weight[s] * level
+        left -= sum(out[s] for s in over)
+        open_ = open_ - over if over else set()
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_mixing_of_equal_rows(spark, copies):
+    """A source of equal rows comes as near its target as one row allows; extra columns stay."""
+    rows = [(7, "one two three four five six seven eight nine ten", "en", "b", 0)] * copies + [(100 + i, "w " * (3 * i), "en", s, 0) for i in range(1, 30) for s in ("a", "c", None)] + [(9, None, "en", "d", 0)] * 3
+    table = spark.createDataFrame(rows, DOC).withColumn("rows", F.lit("x")).repartition(6)
+    out = mixing.mix_sources(table).toPandas()
+    assert len(out) == len(rows)
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(words(r[1]))
+    want = targets_by_hand(sizes)
+    for source, g in out.groupby("source", dropna=False):
+        key = source if isinstance(source, str) else None
+        assert g.target.iloc[0] == pytest.approx(want[key]) and g.source_size.iloc[0] == sizes[key]
+        assert (g.taken <= 3 * g["size"]).all()
+        assert abs(g.taken.sum() - want[key]) <= (5 if key == "b" else g["size"].max())
+    mixed = mixing.mixed_documents(table).toPandas()
+    assert set(mixed.rows) <= {"x"} and mixed.columns.tolist() == table.columns
+    counts = mixed[mixed.source == "b"].shape[0]
+    assert 10 * counts == out[out.source == "b"].taken.sum()
+
+
 def test_lengths(docs):
     found = lengths.encoded_lengths(docs, *vocabulary())
     n = sorted(r.n_tokens for r in found.collect())

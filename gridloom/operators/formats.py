@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..names import spare
@@ -53,16 +53,8 @@ def top(df: DataFrame, v: Value, out: str, k: int, *, percent: bool = False, bot
     by = by or []
     n = F.col("_n")
     count = F.greatest(F.ceil(n * k / 100), F.lit(1)) if percent else F.least(F.lit(k), n)
-    if by:
-        group = Window.partitionBy(*by)
-        counts = df.select(*by, num(v).alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-        order = F.col("_v").asc() if bottom else F.col("_v").desc()
-        ahead = F.coalesce(F.sum("_c").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select("*", ahead.alias("_ahead"), F.sum("_c").over(group).alias("_n"))
-    else:
-        counts = value_counts(df, v).select(F.col("v").alias("_v"), F.col("n").alias("_c"), "below")
-        counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))  # one row
-        counts = counts.withColumn("_ahead", F.col("below") if bottom else n - F.col("below") - F.col("_c"))
+    counts = value_counts(df, v, by).select(*by, F.col("v").alias("_v"), F.col("n").alias("_c"), "below", F.col("total").alias("_n"))
+    counts = counts.withColumn("_ahead", F.col("below") if bottom else n - F.col("below") - F.col("_c"))
     (edge,) = spare(df, "_edge")
     last = counts.where(F.col("_ahead") < count).groupBy(*by).agg((F.max("_v") if bottom else F.min("_v")).alias(edge))
     joined = _onto(df, last, by) if by else df.crossJoin(F.broadcast(last))
@@ -89,14 +81,7 @@ def stop_value(kind: str, given: float | Column | None, low: Column, high: Colum
 def _nearest_rank(df: DataFrame, v: Value, percent: float, out: str, by: list[str]) -> DataFrame:
     """Of each group, or of the table, the value at place ceil((n - 1) * percent / 100) from 0: a row
     each, made from counts of distinct values."""
-    if by:
-        group = Window.partitionBy(*by)
-        counts = df.select(*by, num(v).alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select("*", before.alias("below"), F.sum("n").over(group).alias("total"))
-    else:
-        counts = value_counts(df, v)
-        counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # one row
+    counts = value_counts(df, v, by)
     place = F.ceil((F.col("total") - 1) * min(max(float(percent), 0.0), 100.0) / 100)
     return counts.where((F.col("below") <= place) & (place < F.col("below") + F.col("n"))).groupBy(*by).agg(F.max("v").alias(out))
 

@@ -13,30 +13,34 @@ from ..storage import ranged
 from ..values import NUM, Value, num, result
 
 
-def value_counts(df: DataFrame, value: Value) -> DataFrame:
-    """``v`` and ``n``, with ``below``: how many values of the table are smaller; a row per distinct value."""
-    counts = df.select(num(value).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    placed = ranged(counts, "v")
-    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = placed.groupBy("_range").agg(F.sum("n").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("_inside", inside).join(F.broadcast(starts), "_range").select("v", "n", (F.col("_before") + F.col("_inside")).alias("below"))
+def value_counts(df: DataFrame, value: Value, by: list[str] | None = None) -> DataFrame:
+    """``v`` and ``n``, with ``below`` (how many values of the table, or of the group ``by``, are smaller) and
+    ``total`` (how many there are); a row per distinct value. A null group is one; a large one lies
+    in several ranges, whose counts are carried from one to the next."""
+    by = by or []
+    groups = [f"_g{i}" for i in range(len(by))]
+    counts = df.select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], num(value).alias("v")).where("v is not null").groupBy(*groups, "v").agg(F.count("*").alias("n"))
+    placed = ranged(counts, *groups, "v")
+    whole = Window.partitionBy(*(groups or [F.lit(1)]))  # of one row a range
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range", *groups).agg(F.sum("n").alias("_n"))
+    starts = starts.select(F.col("_range").alias("_at"), *[F.col(g).alias(f"_s{i}") for i, g in enumerate(groups)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_range", *groups).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_s{i}")) for i, g in enumerate(groups)], F.col("_range") == F.col("_at"))
+    joined = placed.withColumn("_inside", inside).join(starts if by else F.broadcast(starts), same)
+    return joined.select(*[F.col(g).alias(c) for c, g in zip(by, groups, strict=True)], "v", "n", (F.col("_before") + F.col("_inside")).alias("below"), "total")
 
 
 def rank(df: DataFrame, value: Value, out: str, *, ascending: bool = False, average: bool = False, by: list[str] | None = None) -> DataFrame:
-    """RANK, RANK.EQ and (``average``) RANK.AVG of every row, in the table or within groups ``by``."""
-    if by:
-        order = num(value).asc() if ascending else num(value).desc()
-        place = F.rank().over(Window.partitionBy(*by).orderBy(order)).cast("double")
-        if average:
-            place = place + (F.count("*").over(Window.partitionBy(*by, num(value))) - 1) / 2
-        return df.withColumn(out, place)
-    counts = value_counts(df, value)
-    total = counts.agg(F.sum("n").alias("_total"))
-    ahead = F.col("below") if ascending else F.col("_total") - F.col("below") - F.col("n")
-    key, v = spare(df, "_key", "_v")
-    place = counts.crossJoin(F.broadcast(total)).select(F.col("v").alias(v), (ahead + 1 + ((F.col("n") - 1) / 2 if average else 0)).cast("double").alias(out))
-    return df.withColumn(key, num(value)).join(place, F.col(key) == F.col(v), "left").drop(key, v)
+    """RANK, RANK.EQ and (``average``) RANK.AVG of every row, in the table or within groups ``by``; null
+    where there is no number."""
+    by = by or []
+    key, v, *groups = spare(df, "_key", "_v", *[f"_by{i}" for i in range(len(by))])
+    counts = value_counts(df, value, by)
+    ahead = F.col("below") if ascending else F.col("total") - F.col("below") - F.col("n")
+    place = counts.select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col("v").alias(v), (ahead + 1 + ((F.col("n") - 1) / 2 if average else 0)).cast("double").alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, groups, strict=True)], F.col(key) == F.col(v))
+    return df.withColumn(key, num(value)).join(place, same, "left").drop(key, v, *groups)
 
 
 def nth(df: DataFrame, value: Value, k: int, *, largest: bool = True) -> DataFrame:
@@ -65,11 +69,10 @@ def percentile_exc(df: DataFrame, value: Value, k: float) -> DataFrame:
 
 def trimmed_mean(df: DataFrame, value: Value, percent: float) -> DataFrame:
     """TRIMMEAN: the mean without floor(n * percent / 2) values at each end; one row ``value``."""
-    counts = value_counts(df, value)
-    cut = counts.agg(F.sum("n").alias("total")).select("total", F.floor(F.col("total") * percent / 2).alias("cut"))
+    counts = value_counts(df, value).withColumn("cut", F.floor(F.col("total") * percent / 2))
     last = F.least(F.col("below") + F.col("n"), F.col("total") - F.col("cut"))
     kept = F.greatest(last - F.greatest("below", "cut"), F.lit(0))
-    return counts.crossJoin(F.broadcast(cut)).agg((F.sum(F.col("v") * kept) / F.sum(kept)).alias("value"))
+    return counts.agg((F.sum(F.col("v") * kept) / F.sum(kept)).alias("value"))
 
 
 def mode(df: DataFrame, value: Value, position: str) -> DataFrame:

@@ -469,11 +469,7 @@ def aggregate_number(number: int, options: int, *values, form: str = "aggregate"
     return _by_number(form, int(number), 12, [wrap(v) for v in values])
 
 
-def _literal(v: Value) -> int:
-    """A function number is a constant: it chooses which expression is built."""
-    return int(float(str(v.c._jc.toString()))) if hasattr(v.c, "_jc") else int(float(str(v.c).split("'")[1]))
-
-
-for _form, _put in (("row", row), ("aggregate", aggregate)):
-    _put("SUBTOTAL", category=_C, args="function_num, ref1, [ref2], ...")(lambda number, *values, form=_form: subtotal(_literal(number), *values, form=form))
-    _put("AGGREGATE", category=_C, args="function_num, options, ref1, ...")(lambda number, options, *values, form=_form: aggregate_number(_literal(number), 0, *values, form=form))
+for _name, _f, _constants in (("SUBTOTAL", subtotal, 1), ("AGGREGATE", aggregate_number, 2)):
+    for _form, _put in (("row", row), ("aggregate", aggregate)):
+        _put(_name, category=_C, args="function_num, " + "options, " * (_constants - 1) + "ref1, [ref2], ...")(lambda *args, f=_f, form=_form: f(*args, form=form))
+    CATALOG[_name].plain = _constants

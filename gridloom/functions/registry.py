@@ -24,6 +24,7 @@ class Function:
     mode: str = "F"
     row: Callable[..., Value] | None = None
     aggregate: Callable[..., Value] | None = None
+    plain: int = 0  # leading arguments that stay as they are: constants that choose what is built
 
 
 CATALOG: dict[str, Function] = {}
@@ -78,10 +79,11 @@ def call(name: str, *args, **shape) -> Value:
     """The row value of a function. Unknown names give ``#NAME?``. ``columns=`` says how wide the
     row-major array of VLOOKUP, HLOOKUP or INDEX is."""
     name = _known(name)
-    builder = _CUSTOM.get(name) or (CATALOG[name].row if name in CATALOG else None)
-    if builder is None:
+    if name in _CUSTOM:
+        return _CUSTOM[name](*map(wrap, args), **shape)
+    if name not in CATALOG or CATALOG[name].row is None:
         return error(NAME)
-    return builder(*map(wrap, args), **shape)
+    return CATALOG[name].row(*_values(name, args), **shape)
 
 
 def over(name: str, *args) -> Value:
@@ -93,7 +95,12 @@ def over(name: str, *args) -> Value:
         return error(NAME)
     built = CATALOG[name].aggregate
     # criteria are constants that shape the predicate, so they stay as they are
-    return built(*args) if name.endswith(("IF", "IFS")) else built(*map(wrap, args))
+    return built(*args) if name.endswith(("IF", "IFS")) else built(*_values(name, args))
+
+
+def _values(name: str, args: tuple) -> list:
+    n = CATALOG[name].plain
+    return [*args[:n], *map(wrap, args[n:])]
 
 
 def functions(spark: SparkSession) -> DataFrame:

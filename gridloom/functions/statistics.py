@@ -422,23 +422,33 @@ def forecast(x, ys, xs):
     return _number(out, (out.isNull(), DIV0))
 
 
-def _pair_sums(a, b):
-    """n, and the sums of products of deviations xx, yy, xy of two arrays of a row."""
+def _of_pairs(a, b, f) -> Column:
+    """A struct of ``n``, how many pairs of two arrays of a row are numbers, and ``out``, what ``f`` makes of
+    n, both means and the sums of products of deviations aa, bb and ab. Pairs, means and sums are
+    each bound once."""
     size = F.least(F.size(a.c), F.size(b.c))
     pairs = F.filter(F.arrays_zip(F.slice(a.c, 1, size).alias("a"), F.slice(b.c, 1, size).alias("b")), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
     pairs = F.transform(pairs, lambda p: F.struct(p["a"].cast("double").alias("a"), p["b"].cast("double").alias("b")))
-    xs, ys = F.transform(pairs, lambda p: p["a"]), F.transform(pairs, lambda p: p["b"])
-    mx, my = _mean(xs), _mean(ys)
-    cross = _total(F.transform(pairs, lambda p: (p["a"] - mx) * (p["b"] - my)))
-    return F.size(pairs), mx, my, _spread(xs, 2), _spread(ys, 2), cross
+    zero = lambda *names: F.struct(*[F.lit(0.0).alias(n) for n in names])
+
+    def deviations(ps, m):
+        sums = F.aggregate(ps, zero("aa", "bb", "ab"), lambda s, p: let(F.struct((p["a"] - m["a"]).alias("x"), (p["b"] - m["b"]).alias("y")), lambda d: F.struct((s["aa"] + d["x"] * d["x"]).alias("aa"), (s["bb"] + d["y"] * d["y"]).alias("bb"), (s["ab"] + d["x"] * d["y"]).alias("ab"))))
+        n = F.size(ps)
+        return let(sums, lambda s: F.struct(n.alias("n"), f(n, m["a"], m["b"], s["aa"], s["bb"], s["ab"]).cast("double").alias("out")))
+
+    def means(ps):
+        total = F.aggregate(ps, zero("a", "b"), lambda s, p: F.struct((s["a"] + p["a"]).alias("a"), (s["b"] + p["b"]).alias("b")))
+        n = _nz(F.size(ps))
+        return let(total, lambda t: let(F.struct((t["a"] / n).alias("a"), (t["b"] / n).alias("b")), lambda m: deviations(ps, m)))
+
+    return let(pairs, means)
 
 
 def _pair_row(names, f, least=1, args="known_ys, known_xs"):
     @row(*names, category=_C, args=args, mode="K")
     def build(a, b):
-        s = _pair_sums(a, b)
-        out = f(*s)
-        return _number(out, (s[0] < least, DIV0), (out.isNull(), DIV0))
+        s = _of_pairs(a, b, f)
+        return _number(s["out"], (s["n"] < least, DIV0), (s["out"].isNull(), DIV0))
 
 
 def _nz(c: Column) -> Column:
@@ -455,8 +465,8 @@ _pair_row(["RSQ"], lambda n, my, mx, yy, xx, xy: xy * xy / _nz(xx * yy))
 
 @row("FORECAST", "FORECAST.LINEAR", category=_C, args="x, known_ys, known_xs", mode="K")
 def forecast_row(x, ys, xs):
-    n, my, mx, _, xx, xy = _pair_sums(ys, xs)
-    return _number(my + xy / _nz(xx) * (num0(x) - mx), (n < 1, DIV0), (xx == 0, DIV0))
+    s = _of_pairs(ys, xs, lambda n, my, mx, yy, xx, xy: my + xy / _nz(xx) * (num0(x) - mx))
+    return _number(s["out"], (s["out"].isNull(), DIV0))
 
 
 # distributions
@@ -508,14 +518,15 @@ def _normal_cdf(z: Column) -> Column:
 
 
 def normal_quantile(p: Column) -> Column:
-    return let(p, _normal_quantile)
+    """Of a probability above 0 and below 1, else null."""
+    return let(p, lambda p: F.when((p > 0) & (p < 1), _normal_quantile(p)))
 
 
 def _normal_quantile(p: Column) -> Column:
     q = p - 0.5
     middle = _poly(_MIDDLE_N, q * q) * q / _poly(_MIDDLE_D, q * q)
     tail = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
-    outer = _poly(_OUTER_N, tail) / _poly(_OUTER_D, tail)
+    outer = let(tail, lambda t: _poly(_OUTER_N, t) / _poly(_OUTER_D, t))
     return F.when(p < _LOW, outer).when(p <= 1 - _LOW, middle).otherwise(-outer)
 
 
@@ -543,16 +554,15 @@ def norm_dist(v, mean, sd, cumulative=None):
 
 @row("NORM.S.INV", category=_C, args="probability")
 def norm_s_inv(v):
-    p = finite(v)
-    p = F.when((p > 0) & (p < 1), p)
-    return _number(normal_quantile(p), (p.isNull(), NUM))
+    out = normal_quantile(finite(v))
+    return _number(out, (out.isNull(), NUM))
 
 
 @row("NORM.INV", category=_C, args="probability, mean, standard_dev")
 def norm_inv(v, mean, sd):
-    p, m, s = finite(v), finite(mean), finite(sd)
-    p, s = F.when((p > 0) & (p < 1), p), F.when(s > 0, s)
-    return _number(m + normal_quantile(p) * s, (p.isNull() | m.isNull() | s.isNull(), NUM))
+    m, s = finite(mean), finite(sd)
+    out = m + normal_quantile(finite(v)) * F.when(s > 0, s)
+    return _number(out, (out.isNull(), NUM))
 
 
 @row("CONFIDENCE.NORM", category=_C, args="alpha, standard_dev, size")

@@ -201,6 +201,14 @@ def test_in_ranges(spark):
     assert tiles.in_ranges(left, right.limit(0)).count() == 0 and tiles.in_ranges(left, right.limit(0), how="left_anti").count() == len(cells)
 
 
+def test_a_cell_is_sent_once_for_ranges_of_like_sizes(spark):
+    cells = spark.range(1, 4001).select(F.lit("S").alias("sheet"), F.col("id").cast("int").alias("row"), F.lit(2).alias("col"))
+    ranges = spark.range(40).select(F.lit("S").alias("sheet"), (F.col("id") * 100).cast("int").alias("r1"), F.lit(1).alias("c1"), (F.col("id") * 100 + 9 + F.col("id") % 50).cast("int").alias("r2"), F.lit(3).alias("c2"))
+    assert tiles.in_ranges(cells, ranges).count() == sum(10 + i % 50 for i in range(40)) - 1  # no cell is in row 0
+    for low, high, sizes in [("r1", "r2", 1), ("c1", "c2", 1)]:
+        assert ranges.select(F.explode(tiles.touched(F.col(low), F.col(high))).alias("t")).select("t.level").distinct().count() == sizes
+
+
 def test_merged_cells_show_their_anchor(spark):
     cells = sheet(spark, {(1, 1): 5, (2, 2): 6, (9, 9): 7, (4, 3): 8, (1_500_000, 3): 9})
     merges = spark.createDataFrame([("S", 1, 1, 2, 2), ("S", 4, 3, tiles.LAST, 3), ("S", 20, 20, 30, 30)], "sheet string, r1 int, c1 int, r2 int, c2 int")

@@ -13,14 +13,15 @@ from ..storage import ranged
 from ..values import NUM, Value, num, result
 
 
-def value_counts(df: DataFrame, value: Value, by: list[str] | None = None) -> DataFrame:
+def value_counts(df: DataFrame, value: Value, by: list[str] | None = None, weight: Column | None = None, parts: int | None = None) -> DataFrame:
     """``v`` and ``n``, with ``below`` (how many values of the table, or of the group ``by``, are smaller) and
     ``total`` (how many there are); a row per distinct value. A null group is one; a large one lies
-    in several ranges, whose counts are carried from one to the next."""
+    in several ranges, whose counts are carried from one to the next. A row counts ``weight`` times,
+    once without; the ranges are ``parts`` or as many as the session shuffles to."""
     by = by or []
     groups = [f"_g{i}" for i in range(len(by))]
-    counts = df.select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], num(value).alias("v")).where("v is not null").groupBy(*groups, "v").agg(F.count("*").alias("n"))
-    placed = ranged(counts, *groups, "v")
+    counts = df.select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], num(value).alias("v"), *([] if weight is None else [weight.alias("_w")])).where("v is not null").groupBy(*groups, "v").agg((F.count("*") if weight is None else F.sum("_w")).alias("n"))
+    placed = ranged(counts, *groups, "v", parts=parts)
     whole = Window.partitionBy(*(groups or [F.lit(1)]))  # of one row a range
     before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_range", *groups).agg(F.sum("n").alias("_n"))

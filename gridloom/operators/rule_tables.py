@@ -21,18 +21,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..storage import written
-from ..values import cell, num, parsed, text_of
+from ..values import cell, num, number, parsed, text_of
 from .formats import _byte
+from .ranking import value_counts
 from .tiles import in_ranges
 
 RULES = "rule string, kind string, priority int, stop_if_true boolean, style string, operator string, v1 string, v2 string, rank int, percent boolean, bottom boolean, below boolean, equal boolean, stops array<struct<kind:string,value:double,over:boolean>>, colors array<string>"
 TARGETS = "rule string, sheet string, r1 int, c1 int, r2 int, c2 int"
-#: Ranges of values by which a rule's order statistics are found.
+#: At most so many ranges of values order a rule's values.
 RANGES = 256
 _LAST_PRIORITY = (1 << 31) - 1
 
@@ -61,22 +62,17 @@ def covered(areas: list[dict]) -> int:
 
 def _order_statistics(values: DataFrame, asked: DataFrame) -> DataFrame:
     """``rule``, ``ask``, ``value``: the value at a place (from 0) among a rule's ``values`` (``rule``, ``x``,
-    ``n``, how often); a range of values of a rule is ordered apart from the others."""
-    cuts = values.groupBy("rule").agg(F.percentile_approx("x", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), 10_000).alias("cuts"))
-    cuts = written(cuts, "rule-cuts")
-    ranged = values.join(cuts, "rule").select("rule", "x", "n", F.size(F.filter(F.array_distinct("cuts"), lambda c: c <= F.col("x"))).alias("range"))
-    counts = written(ranged.groupBy("rule", "range", "x").agg(F.sum("n").alias("n")), "rule-values")
-    by_range = counts.groupBy("rule", "range").agg(F.sum("n").alias("held"))
-    start = F.coalesce(F.sum("held").over(Window.partitionBy("rule").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = by_range.select("rule", "range", "held", start.alias("start")).join(asked, "rule").where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("held")))
-    inside = F.sum("n").over(Window.partitionBy("rule", "range").orderBy("x"))
-    reached = counts.select("rule", "range", "x", inside.alias("up_to")).join(placed, ["rule", "range"]).where(F.col("start") + F.col("up_to") > F.col("place"))
-    return reached.groupBy("rule", "ask").agg(F.min("x").alias("value"))
+    ``n``, how often)."""
+    parts = min(RANGES, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = value_counts(values, number("x"), ["rule"], F.col("n"), parts)
+    reached = (F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.col("n"))
+    return counts.join(asked, "rule").where(reached).select("rule", "ask", F.col("v").alias("value"))
 
 
 def with_figures(pairs: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
     """``rules`` with what their targets' numbers give: ``n``, ``low``, ``high``, ``mean``, ``edge`` (of top10)
-    and ``at``, the values of stops."""
+    and ``at``, the values of stops; and with the numbers of their constants (``a``, ``b``) and
+    colours (``rgb``)."""
     sizes = targets.groupBy("rule").agg(_cells_of(F.collect_list(F.struct("sheet", "r1", "c1", "r2", "c2"))).alias("cells"))
     summed = pairs.groupBy("rule").agg(F.count("*").alias("filled"), F.count("x").alias("numbers"), F.sum("x").alias("sum"), F.min("x").alias("low"), F.max("x").alias("high"))
     blank = F.greatest(F.col("cells") - F.coalesce("filled", F.lit(0)), F.lit(0))
@@ -106,11 +102,13 @@ def with_figures(pairs: DataFrame, rules: DataFrame, targets: DataFrame) -> Data
         .otherwise(s["value"])
     )
     joined = rules.join(figures, "rule", "left").join(map_of, "rule", "left")
-    return joined.withColumn("edge", F.try_element_at("_places", F.lit(-1))).withColumn("at", F.transform("stops", stop)).drop("_places")
+    part = lambda c, i: F.conv(F.substring(c, 2 * i + 1, 2), 16, 10).cast("double")
+    constants = {"a": parsed(F.coalesce("v1", F.lit(""))), "b": parsed(F.coalesce("v2", F.lit(""))), "rgb": F.transform("colors", lambda c: F.array(*[part(c, i) for i in range(3)]))}
+    return joined.withColumns({"edge": F.try_element_at("_places", F.lit(-1)), "at": F.transform("stops", stop)} | constants).drop("_places")
 
 
 def _holds(x: Column, s: Column) -> Column:
-    a, b, text = parsed(F.coalesce("v1", F.lit(""))), parsed(F.coalesce("v2", F.lit(""))), F.coalesce("v1", F.lit(""))
+    a, b, text = F.col("a"), F.col("b"), F.coalesce("v1", F.lit(""))
     by_number = x.isNotNull() & a.isNotNull()
     operator, kind = F.col("operator"), F.col("kind")
     compared = (
@@ -146,11 +144,10 @@ def _share(x: Column, low: Column, high: Column) -> Column:
 
 def _color(x: Column) -> Column:
     """Between the outer colours, or by the middle stop where there are three colours and stops."""
-    at, colors, last = F.col("at"), F.col("colors"), F.size("at")
+    at, colors, rgb, last = F.col("at"), F.col("colors"), F.col("rgb"), F.size("at")
     low, middle, high = F.get(at, F.lit(0)), F.get(at, F.lit(1)), F.get(at, last - 1)
-    part = lambda c, i: F.conv(F.substring(c, 2 * i + 1, 2), 16, 10).cast("double")
-    mix = lambda p, q, t: F.concat(*[_byte(part(p, i) + t * (part(q, i) - part(p, i))) for i in range(3)])
-    c = [F.get(colors, F.lit(i)) for i in range(3)]
+    mix = lambda p, q, t: F.concat(*[_byte(p[i] + t * (q[i] - p[i])) for i in range(3)])
+    c = [F.get(rgb, F.lit(i)) for i in range(3)]
     three = (last >= 3) & (F.size(colors) >= 3)
     on = F.coalesce
     lower, upper = mix(c[0], c[1], on(_share(x, low, middle), F.lit(1.0))), mix(c[1], c[2], on(_share(x, middle, high), F.lit(1.0)))
@@ -170,9 +167,10 @@ def formatted(cells: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFra
     areas = targets.select("rule", "sheet", "r1", "c1", "r2", "c2")
     rules = rules.select(*[c.split()[0] for c in RULES.split(", ")])
     v = cell("v")
-    filled = cells.where("v.t <> 'empty'").select("sheet", "row", "col", num(v).alias("x"), text_of(v).alias("s"))
-    pairs = in_ranges(filled, areas).select("cell.*", "range.rule").distinct()
-    pairs = written(pairs, "rule-pairs")
+    # small files hold many cells: their texts and numbers are all tasks' work
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = cells.where("v.t <> 'empty'").repartition(parts, "sheet", "row", "col").select("sheet", "row", "col", num(v).alias("x"), text_of(v).alias("s"))
+    pairs = written(in_ranges(filled, areas).select("cell.*", "range.rule").distinct(), "rule-pairs")
     known = written(with_figures(pairs, rules, areas), "rules")
     x, s, at = F.col("x"), F.col("s"), F.col("at")
     each = pairs.join(known, "rule")

@@ -26,10 +26,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranged(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` written in ranges of ``order``, as many as the session shuffles to, with the number of each
-    row's range as ``_range``: equal keys are in one range, and later ranges have larger ones."""
-    return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+def ranged(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
+    """``df`` written in ranges of ``order``, ``parts`` or as many as the session shuffles to, with the number
+    of each row's range as ``_range``: equal keys are in one range, and later ranges have larger ones."""
+    return written(df.repartitionByRange(*([] if parts is None else [parts]), *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 class Grown:

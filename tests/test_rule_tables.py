@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.operators import grid, rule_tables
+from gridloom.operators import grid, ranking, rule_tables
+from gridloom.values import number
 
 EMPTY = dict.fromkeys(("priority", "style", "operator", "v1", "v2", "rank", "colors", "stops"))
 
@@ -120,3 +122,9 @@ def test_covered():
         areas = [{"sheet": rng.choice("ST"), "r1": a, "c1": b, "r2": a + rng.randrange(-1, 6), "c2": b + rng.randrange(6)} for a, b in [(rng.randrange(9), rng.randrange(9)) for _ in range(5)]]
         assert rule_tables.covered(areas) == len({(x["sheet"], r, c) for x in areas for r in range(x["r1"], x["r2"] + 1) for c in range(x["c1"], x["c2"] + 1)})
     assert rule_tables.covered([{"sheet": "S", "r1": 1, "c1": 1, "r2": 2**31 - 2, "c2": 2}]) == 2 * (2**31 - 2)
+
+
+def test_weighted_places_in_two_ranges(spark):
+    rows = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 1.0, 2), ("b", 5.0, 4)], "rule string, x double, n int")
+    got = {tuple(r) for r in ranking.value_counts(rows, number("x"), ["rule"], F.col("n"), 2).collect()}
+    assert got == {("a", 1.0, 5, 0, 6), ("a", 2.0, 1, 5, 6), ("b", 5.0, 4, 0, 4)}

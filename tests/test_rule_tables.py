@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import values
 from gridloom.operators import grid, ranking, rule_tables
-from gridloom.values import number
 
 EMPTY = dict.fromkeys(("priority", "style", "operator", "v1", "v2", "rank", "colors", "stops"))
 
@@ -126,5 +126,5 @@ def test_covered():
 
 def test_weighted_places_in_two_ranges(spark):
     rows = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 1.0, 2), ("b", 5.0, 4)], "rule string, x double, n int")
-    got = {tuple(r) for r in ranking.value_counts(rows, number("x"), ["rule"], F.col("n"), 2).collect()}
+    got = {tuple(r) for r in ranking.value_counts(rows, values.number("x"), ["rule"], F.col("n"), 2).collect()}
     assert got == {("a", 1.0, 5, 0, 6), ("a", 2.0, 1, 5, 6), ("b", 5.0, 4, 0, 4)}

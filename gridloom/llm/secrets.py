@@ -16,9 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import value_counts
+from ..values import number
 from .common import frugal, written
 
 # Base rules (fixed values), in the order in which kinds are listed.
@@ -148,14 +151,40 @@ class Network:
         return np.concatenate([self.forward(symbols[i : i + 512])[0] for i in range(0, len(symbols), 512)] or [np.zeros(0, np.float32)])
 
 
-def train_network(symbols: np.ndarray, secret: np.ndarray, rounds: int = 8, batch: int = 128, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Adam on the cross entropy, both classes of equal weight. Half of the windows of every batch
-    lose what stands around the candidate, so that its own shape is learned too."""
-    net, rng = Network.fresh(seed), np.random.default_rng(seed)
-    first, second = ({k: np.zeros_like(v) for k, v in net.weights.items()} for _ in range(2))
-    share = np.where(secret, 0.5 / max(secret.mean(), 1e-9), 0.5 / max(1 - secret.mean(), 1e-9)).astype(np.float32)
-    step = 0
-    for _ in range(rounds):
+@dataclass
+class Adam:
+    """A network with the running means of its gradients and of their squares."""
+
+    network: Network
+    first: dict[str, np.ndarray]
+    second: dict[str, np.ndarray]
+    step: int = 0
+
+    @staticmethod
+    def fresh(seed: int) -> Adam:
+        net = Network.fresh(seed)
+        return Adam(net, *({k: np.zeros_like(v) for k, v in net.weights.items()} for _ in range(2)))
+
+    def parts(self) -> list[dict[str, np.ndarray]]:
+        return [self.network.weights, self.first, self.second]
+
+    def packed(self) -> bytes:
+        return b"".join(part[k].astype(np.float32).tobytes() for part in self.parts() for k in sorted(part))
+
+    def replaced(self, flat: np.ndarray, step: int) -> Adam:
+        """The state that ``flat`` holds, in the order of ``packed``."""
+        at, out = 0, []
+        for part in self.parts():
+            made = {}
+            for k in sorted(part):
+                made[k] = flat[at : at + part[k].size].reshape(part[k].shape).astype(np.float32)
+                at += part[k].size
+            out.append(made)
+        return Adam(Network(out[0]), out[1], out[2], step)
+
+    def learn(self, symbols: np.ndarray, secret: np.ndarray, share: np.ndarray, rng: np.random.Generator, batch: int = 128, rate: float = 4e-3) -> None:
+        """One pass over the rows, in any order. Half of the windows of every batch lose what stands
+        around the candidate, so that its own shape is learned too."""
         order = rng.permutation(len(symbols))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
@@ -163,14 +192,67 @@ def train_network(symbols: np.ndarray, secret: np.ndarray, rounds: int = 8, batc
             bare = rng.random(len(some)) < 0.5
             x[bare, :BEFORE] = 0
             x[bare, BEFORE + HELD :] = 0
-            logit, kept = net.forward(x)
+            logit, kept = self.network.forward(x)
             wrong = ((1 / (1 + np.exp(-logit)) - secret[some]) * share[some] / len(some)).astype(np.float32)
-            step += 1
-            for k, g in net.gradients(wrong, kept).items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                net.weights[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return net
+            self.step += 1
+            for k, g in self.network.gradients(wrong, kept).items():
+                self.first[k] += 0.1 * (g - self.first[k])
+                self.second[k] += 0.001 * (g * g - self.second[k])
+                self.network.weights[k] -= rate * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _shares(secret: np.ndarray, mean: float) -> np.ndarray:
+    """Weights of rows by which both classes weigh the same."""
+    return np.where(secret, 0.5 / max(mean, 1e-9), 0.5 / max(1 - mean, 1e-9)).astype(np.float32)
+
+
+#: Passes over all findings.
+ROUNDS = 8
+#: Findings up to which the driver learns by itself, and about as many a task learns from; there are
+#: at most so many tasks a pass, whose shares grow beyond that.
+TASK_ROWS, TASKS = 8192, 64
+
+
+def train_network(rows: DataFrame, n: int, mean: float, seed: int = 7) -> Network:
+    """Adam on the cross entropy over all ``n`` rows (``window``, ``secret``, ``h``), both classes of equal
+    weight; ``mean`` is the share of secrets. Beyond ``TASK_ROWS`` rows each task passes over its own
+    rows from the common state, and the tasks' states are averaged by their rows after each pass."""
+    state = Adam.fresh(seed)
+    ordered = ["h", "window", "secret"]
+    if n <= TASK_ROWS:
+        here = rows.orderBy(*ordered).collect()
+        symbols, secret = encoded([r["window"] for r in here]), np.array([r["secret"] for r in here])
+        rng = np.random.default_rng(seed)
+        for _ in range(ROUNDS):
+            state.learn(symbols, secret, _shares(secret, mean), rng)
+        return state.network
+    dealt = written(rows.select(*ordered), "finding-shares").repartition(min(TASKS, -(-n // TASK_ROWS)), "h", "window").sortWithinPartitions(*ordered)
+    for i in range(ROUNDS):
+        ends = dealt.mapInArrow(frugal(_pass(state, i, mean, seed)), "task int, n long, steps int, state binary").collect()
+        ends.sort(key=lambda r: r["task"])
+        total = sum(r["n"] for r in ends)
+        flat = sum(np.frombuffer(r["state"], np.float32).astype(np.float64) * (r["n"] / total) for r in ends)
+        state = state.replaced(flat, state.step + max(r["steps"] for r in ends))
+    return state.network
+
+
+def _pass(start: Adam, i: int, mean: float, seed: int):
+    """A task's pass over its rows from the state ``start``: how many rows, steps, and the state then."""
+    packed, begun = start.packed(), start.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        state = Adam.fresh(seed).replaced(np.frombuffer(packed, np.float32), begun)
+        rng = np.random.default_rng([seed, i, task])
+        for batch in batches:
+            if len(batch):
+                secret = batch.column("secret").to_numpy(zero_copy_only=False)
+                state.learn(encoded(batch.column("window").to_pylist()), secret, _shares(secret, mean), rng)
+                n += len(batch)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([state.step - begun], pa.int32()), pa.array([state.packed()], pa.binary())], names=["task", "n", "steps", "state"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -181,6 +263,8 @@ class Scanner:
     slope: float
     shift: float
     thresholds: tuple[float, ...]
+    #: How many findings it was learned from, those that calibrate included.
+    findings: int = 0
 
     def scores(self, symbols: np.ndarray) -> np.ndarray:
         """Calibrated probabilities that windows are secrets."""
@@ -195,16 +279,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def calibrated(logits: np.ndarray, secret: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of least cross entropy (Newton's method), with the usual softened targets."""
-    good, bad = int(secret.sum()), int((~secret).sum())
-    target = np.where(secret, (good + 1) / (good + 2), 1 / (bad + 2))
-    x = np.column_stack([logits, np.ones(len(logits))])
+def calibrated(logits: DataFrame, good: int, bad: int) -> tuple[float, float]:
+    """Slope and shift of least cross entropy (Newton's method) of ``logit`` and ``secret``, with the usual
+    softened targets; a pass over the rows for each step."""
+    x, target = F.col("logit"), F.when(F.col("secret"), (good + 1) / (good + 2)).otherwise(1 / (bad + 2))
     w = np.array([1.0, 0.0])
     for _ in range(50):
-        p = _sigmoid(x @ w)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target) + 1e-6 * w)
+        z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x * float(w[0]) + float(w[1])))
+        p = logits.select(x.alias("x"), (1 / (1 + F.exp(-z))).alias("p"), target.alias("t"))
+        q, d = F.col("p") * (1 - F.col("p")), F.col("p") - F.col("t")
+        a, b, c, u, v = p.agg(F.sum(q * F.col("x") * F.col("x")), F.sum(q * F.col("x")), F.sum(q), F.sum(d * F.col("x")), F.sum(d)).first()
+        step = np.linalg.solve(np.array([[a, b], [b, c]]) + 1e-6 * np.eye(2), np.array([u, v]) + 1e-6 * w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
@@ -223,39 +308,50 @@ SHAPE_LEAST = 20
 _HELD_OUT = 5
 
 
-def train_scanner(findings: DataFrame, most: int = 6000, recall: float = 0.99, seed: int = 7) -> Scanner | None:
+def _least_logits(secrets: DataFrame, recall: float) -> dict[int, tuple[float, int]]:
+    """The highest logit that ``recall`` of the known secrets reach, and how many there are, by shape, and
+    of all under -1. Values are ordered in ranges apart from each other."""
+    both = secrets.select(F.explode(F.array(F.lit(-1), "shape")).alias("kind"), "logit")
+    counts = value_counts(both, number("logit"), ["kind"])
+    place = F.col("total") - F.greatest(F.ceil(F.col("total") * F.lit(recall)), F.lit(1))
+    reached = counts.where((place >= F.col("below")) & (place < F.col("below") + F.col("n")))
+    return {r["kind"]: (r["v"], r["total"]) for r in reached.select("kind", "v", "total").collect()}
+
+
+def train_scanner(findings: DataFrame, recall: float = 0.99, seed: int = 7) -> Scanner | None:
     """A scanner from labelled ``findings`` (``window``, ``secret``), or None where either class has
     none.
 
-    At most ``most`` findings of each class are taken, those of the lowest hashes of their window;
-    equal windows with equal labels count once. A fifth, by the same hash, isn't trained on and
-    sets calibration and thresholds.
+    All findings are learned from; equal windows with equal labels count once. A fifth, by a hash of
+    the window, isn't trained on and sets calibration and thresholds.
     """
     hashed = findings.where(F.col("window").isNotNull() & F.col("secret").isNotNull()).select("window", "secret").distinct().withColumn("h", F.xxhash64("window", F.lit(seed)))
-    counts = {r["secret"]: r["count"] for r in hashed.groupBy("secret").count().collect()}
-    taken: dict[bool, list] = {}
-    for kind in (True, False):
-        # a few more than wanted pass the filter, so that no task orders them all
-        keep = int(min(1.0, 2 * most / max(counts.get(kind, 0), 1)) * 1_000_000)
-        some = hashed.where((F.col("secret") == kind) & (F.pmod(F.xxhash64("window", F.lit(seed + 1)), F.lit(1_000_000)) < keep))
-        taken[kind] = some.orderBy("h", "window").limit(most).collect()
-    if not taken[True] or not taken[False]:
+    hashed = written(hashed.withColumn("held", F.pmod("h", F.lit(_HELD_OUT)) == 0), "labelled-findings")
+    counts = {(r["held"], r["secret"]): r["count"] for r in hashed.groupBy("held", "secret").count().collect()}
+    of = lambda secret: counts.get((True, secret), 0) + counts.get((False, secret), 0)
+    if not of(True) or not of(False):
         return None
-    rows = taken[True] + taken[False]
-    symbols, secret = encoded([r["window"] for r in rows]), np.array([r["secret"] for r in rows])
-    held = np.array([r["h"] % _HELD_OUT == 0 for r in rows])
-    if not secret[held].any() or secret[held].all() or not secret[~held].any() or secret[~held].all():
-        held = np.zeros(len(rows), bool)  # too few for both: all train and calibrate
-    network = train_network(symbols[~held], secret[~held], seed=seed)
-    left = held if held.any() else ~held
-    logits = network.logits(symbols[left]).astype(float)
-    slope, shift = calibrated(logits, secret[left])
-    scores, kinds = _sigmoid(slope * logits + shift), shapes(symbols[left])
-    known = secret[left]
+    apart = len(counts) == 4  # else too few for both: all train and calibrate
+    rows, left = (hashed.where("not held"), hashed.where("held")) if apart else (hashed, hashed)
+    size = lambda held, secret: counts[held, secret] if apart else of(secret)
+    n = size(False, True) + size(False, False)
+    network = train_network(rows, n, size(False, True) / n, seed)
+    judged = written(left.mapInArrow(frugal(_logits_of(network)), "secret boolean, logit double, shape int"), "judged-findings")
+    slope, shift = calibrated(judged, size(True, True), size(True, False))
+    least = _least_logits(judged.where("secret"), recall)
     # a threshold stays above even odds: a lower one would be none
-    every = max(0.5, constrained(scores[known], recall))
-    own = [known & (kinds == k) for k in range(SHAPES)]
-    return Scanner(network, slope, shift, tuple(max(0.5, constrained(scores[o], recall)) if o.sum() >= SHAPE_LEAST else every for o in own))
+    score = lambda kind: max(0.5, float(_sigmoid(slope * least[kind][0] + shift)))
+    thresholds = tuple(score(k if k in least and least[k][1] >= SHAPE_LEAST else -1) for k in range(SHAPES))
+    return Scanner(network, slope, shift, thresholds, sum(counts.values()))
+
+
+def _logits_of(network: Network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = encoded(batch.column("window").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("secret"), pa.array(network.logits(symbols).astype(np.float64)), pa.array(shapes(symbols).astype(np.int32))], names=["secret", "logit", "shape"])
+
+    return run
 
 
 def base_findings(docs: DataFrame) -> DataFrame:

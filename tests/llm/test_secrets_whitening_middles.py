@@ -98,6 +98,22 @@ def check_base(rows):
         assert starts == sorted(starts)
 
 
+@pytest.mark.parametrize("rows", [100_000, 500])
+def test_all_findings_are_learned_from(spark, monkeypatch, rows):
+    """In the driver and by tasks; the thresholds are those of all held-out secrets."""
+    monkeypatch.setattr(secrets, "TASK_ROWS", rows)
+    monkeypatch.setattr(secrets, "ROUNDS", 4)
+    rng = random.Random(5)
+    letters = lambda k, some: "".join(rng.choice(some) for _ in range(k))
+    given = [(secrets.window("key = " + letters(24, "0123456789abcdef") + " end", 6, 30), True) for _ in range(900)]
+    given += [(secrets.window("see " + letters(24, "ghijklmnopqrst-") + " there", 4, 28), False) for _ in range(1100)]
+    scanner = secrets.train_scanner(spark.createDataFrame(given + given[:50], "window string, secret boolean"))
+    assert scanner.findings == len(set(given))
+    said = scanner.secrets([w for w, _ in given])
+    wrong = sum(bool(a) != b for a, (_, b) in zip(said, given, strict=True))
+    assert wrong <= 40
+
+
 def test_base_spans(spark, docs):
     rng = random.Random(3)
     parts = ["token", "Secret", "api_key", "=", ":", " ", '"', "AKIA", "ABCD0123", "0123456789ab", "cdef", "x", ".", "\n"]

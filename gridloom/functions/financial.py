@@ -1,12 +1,15 @@
-"""Time value of money, cash flows and depreciation. Iterations are Spark aggregates over a fixed
-number of steps, so that they stay inside generated code."""
+"""Time value of money, cash flows and depreciation. Roots are found for all rows of a batch at once."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..values import DIV0, NUM, VALUE, Value, finite, let, num, num0, result
 from .maths import steps
@@ -78,39 +81,74 @@ def nper(rate, pmt, pv, fv=None, kind=None):
     return _out(out, _none(r, m, p), (F.when(r == 0, m == 0).otherwise(F.coalesce(ratio <= 0, F.lit(True))), NUM))
 
 
-def newton(value, slope, guess: Column, iterations: int, lowest: float | None = None) -> Column:
-    """Root by Newton's steps until two differ by less than 1e-10; null if that isn't reached, the
-    slope vanishes or a step falls to ``lowest`` or below."""
-    state = lambda x, found, failed: F.struct(x.alias("x"), found.alias("found"), failed.alias("failed"))
+def newton(value, guess: np.ndarray, iterations: int, lowest: float | None = None) -> np.ndarray:
+    """Roots by Newton's steps until two differ by less than 1e-10, of all rows at once; NaN where that
+    isn't reached, the slope vanishes or a step falls to ``lowest`` or below. ``value(x, rows)`` gives
+    the function and its slope at ``x`` for these rows; rows that have ended are left out."""
+    x, root = guess.astype(np.float64), np.full(len(guess), np.nan)
+    rows = np.flatnonzero(~np.isnan(x))
+    with np.errstate(all="ignore"):
+        for _ in range(iterations):
+            if not len(rows):
+                break
+            f, d = value(x[rows], rows)
+            failed = (np.abs(d) < 1e-15) | np.isnan(f) | np.isnan(d)
+            if lowest is not None:
+                failed |= x[rows] <= lowest
+            after = x[rows] - f / d
+            found = ~failed & (np.abs(after - x[rows]) < 1e-10)
+            x[rows] = after
+            root[rows[found]] = after[found]
+            rows = rows[~failed & ~found]
+    return root
 
-    def move(s, at):
-        x, f, d = s["x"], at["f"], at["d"]
-        low = F.lit(False) if lowest is None else x <= lowest
-        failed = F.coalesce(low | (F.abs(d) < 1e-15) | F.isnan(f) | F.isnan(d), F.lit(True))
-        after = F.coalesce(x - f / F.when(~failed, d), x)
-        return state(after, ~failed & (F.abs(after - x) < 1e-10), failed)
 
-    def step(s, _):
-        x = s["x"]
-        return F.when(s["found"] | s["failed"], s).otherwise(let(F.struct(value(x).alias("f"), slope(x).alias("d")), lambda at: move(s, at)))
+def _double(a: pa.Array) -> np.ndarray:
+    return a.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), state(guess, F.lit(False), F.lit(False)), step)
-    return F.when(end["found"], end["x"])
 
+def _roots(root: np.ndarray) -> pa.Array:
+    return pa.array(root, pa.float64(), mask=np.isnan(root))
 
-@row("RATE", category=_C, args="nper, pmt, pv, [fv], [type], [guess]")
-def rate(nper, pmt, pv, fv=None, kind=None, guess=None):
-    n, m, p, f, k = finite(nper), finite(pmt), finite(pv), _or0(fv), _or0(kind)
 
-    def value(r):
-        growth = F.pow(1 + r, n)
-        return p * growth + m * (1 + r * k) * (growth - 1) / _safe(r) + f
+@F.arrow_udf(DoubleType())
+def _rate(nper: pa.Array, pmt: pa.Array, pv: pa.Array, fv: pa.Array, kind: pa.Array, guess: pa.Array) -> pa.Array:
+    columns = [_double(c) for c in (nper, pmt, pv, fv, kind)]
+
+    def value(r, rows):
+        n, m, p, f, k = (c[rows] for c in columns)
+        growth, less, due = (1 + r) ** n, (1 + r) ** (n - 1), m * (1 + r * k)
+        at = p * growth + due * (growth - 1) / r + f
+        return at, p * n * less + due * (n * less * r - (growth - 1)) / (r * r) + m * k * (growth - 1) / r
+
+    return _roots(newton(value, _double(guess), 100, -1.0))
+
 
-    def slope(r):
-        growth, less = F.pow(1 + r, n), F.pow(1 + r, n - 1)
-        return p * n * less + m * (1 + r * k) * (n * less * r - (growth - 1)) / _safe(r * r) + m * k * (growth - 1) / _safe(r)
+@F.arrow_udf(DoubleType())
+def _irr(flows: pa.Array, guess: pa.Array) -> pa.Array:
+    """Rows with equally many flows are one table each; a null among flows counts as 0."""
+    sizes = _double(pc.list_value_length(flows))
+    guess, root = _double(guess), np.full(len(flows), np.nan)
+    for size in np.unique(sizes[sizes > 0]):
+        own = np.flatnonzero(sizes == size)
+        table = np.nan_to_num(_double(pc.list_flatten(flows.take(pa.array(own)))), nan=0.0, posinf=np.inf, neginf=-np.inf).reshape(len(own), int(size))
 
-    root = newton(value, slope, F.lit(0.1) if guess is None else num0(guess), 100, -1.0)
+        def value(r, rows, table=table):
+            f, d = np.zeros(len(rows)), np.zeros(len(rows))
+            for i in range(table.shape[1]):
+                power = (1 + r) ** i
+                f += table[rows, i] / power
+                d -= i * table[rows, i] / (power * (1 + r))
+            return f, d
+
+        root[own] = newton(value, guess[own], 200)
+    return _roots(root)
+
+
+@row("RATE", category=_C, args="nper, pmt, pv, [fv], [type], [guess]")
+def rate(nper, pmt, pv, fv=None, kind=None, guess=None):
+    n, m, p, f, k = finite(nper), finite(pmt), finite(pv), _or0(fv), _or0(kind)
+    root = _rate(n, m, p, f, k, F.lit(0.1) if guess is None else num0(guess))
     return _out(root, _none(n, m, p), (root.isNull(), NUM))
 
 
@@ -140,9 +178,7 @@ def npv_over(rate, flow, period):
 @row("IRR", category=_C, args="values, [guess]", mode="K")
 def irr(values, guess=None):
     flows = _flows([values])
-    value = lambda r: _sum(F.transform(flows, lambda c, i: c / F.pow(1 + r, i)))
-    slope = lambda r: -_sum(F.transform(flows, lambda c, i: i * c / (F.pow(1 + r, i) * _safe(1 + r))))
-    root = newton(value, slope, F.lit(0.1) if guess is None else num0(guess), 200)
+    root = _irr(flows, F.lit(0.1) if guess is None else num0(guess))
     return _out(root, (F.size(flows) < 2, NUM), (F.exists(flows, lambda c: c.isNull()), VALUE), (root.isNull(), NUM))
 
 

@@ -1,5 +1,7 @@
 """Literal cases through the row builders: (function, arguments, value or error code)."""
 
+import time
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import CATALOG, call, over
 from gridloom.functions.maths import compare, divide, join_text, multiply, negate, power
 from gridloom.functions.registry import _CUSTOM, _CUSTOM_OVER, register_function
-from gridloom.values import DIV0, NA, NUM, VALUE, Value, num, number
+from gridloom.values import DIV0, NA, NUM, VALUE, Value, array, num, number
 
 CASES = [
     ("SUM", (1, 2, "x"), 3), ("AVERAGE", (1, 2, 6), 3), ("COUNT", (1, "", "x", True), 3), ("PRODUCT", (2, 3, 4), 24), ("ROUND", (-2.5, 0), -2), ("ROUND", ("x", 0), VALUE),
@@ -65,3 +67,18 @@ def test_minus_zero_keeps_its_sign_as_text(spark):
     rows = spark.createDataFrame([(-0.0,), (0.0,), (None,), (-1.5,)], "x double")
     shown = [call("DOLLAR", number("x")).column(), call("VALUETOTEXT", number("x")).column()]
     assert [tuple(r) for r in rows.select(*shown).collect()] == [("$-0.00", "-0"), ("$0.00", "0"), ("$0.00", ""), ("($1.50)", "-1.5")]
+
+
+def test_roots_of_all_rows_at_once(spark):
+    """Rows that end after different numbers of steps, or never, and flows of unequal length; rows far
+    above a batch that a step for each row and iteration takes minutes for."""
+    rows = spark.createDataFrame([(1, 10.0, -15.0, 100.0, [-100.0, 60.0, 60.0]), (2, 0.0, 5.0, 5.0, [1.0, 2.0]), (3, None, None, 7.0, [-5.0, None, 9.0]), (4, 20.0, -9.0, 100.0, [-10.0, 4.0, 4.0, 4.0, 4.0]), (5, 2.0, -1.0, 9.0, [3.0])], "k int, n double, m double, p double, f array<double>")
+    some = rows.select("k", call("RATE", number("n"), number("m"), number("p")).column().alias("rate"), call("IRR", array("f")).column().alias("irr"), call("IRR", array("f")).error().alias("e"))
+    got = {r.k: r for r in some.collect()}
+    for k, n, m in ((1, 10, 15), (4, 20, 9)):
+        assert abs(m * (1 - (1 + got[k].rate) ** -n) / got[k].rate - 100) < 1e-6
+    assert abs(got[1].irr - 0.130662386) < 1e-8 and abs(sum(4 / (1 + got[4].irr) ** i for i in range(1, 5)) - 10) < 1e-6
+    assert [got[k].e for k in (1, 3, 4, 5)] == [None, VALUE, None, NUM]
+    many = spark.range(0, 40_000, 1, 1).select(call("IRR", array(F.array(-F.col("id") - 1.0, *[(F.col("id") + 1) * 0.3] * 5))).column().alias("x"))
+    began = time.time()
+    assert many.agg(F.max("x") - F.min("x")).first()[0] < 1e-9 and time.time() - began < 8

@@ -166,7 +166,9 @@ def homes(size: int, sim: Similarity) -> list[Band]:
 
 def signatures(members: np.ndarray, sim: Similarity) -> Iterator[tuple[np.ndarray, int]]:
     """For each home of the set its signatures and slot: the band's number and how many hot
-    groups make the set need its hot signatures."""
+    groups make the set need its hot signatures. Weak signatures are left out, or where too few
+    groups were left, those of no shingle at all; of two similar sets the one that leaves out
+    more still has a group that both agree in, and what it keeps there the other one keeps too."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(members ^ _M3))))
     for band in homes(len(members), sim):
         cuts, subsets, salts = _layout(band)
@@ -175,9 +177,12 @@ def signatures(members: np.ndarray, sim: Similarity) -> Iterator[tuple[np.ndarra
         count = np.diff(ends).reshape(band.n1, band.n2) @ subsets.astype(np.int64)
         order = _mix(np.arange(1, band.n2 + 1, dtype=np.uint64)) | np.uint64(1)
         found = _mix(((part * order) @ subsets) ^ salts)
-        weak = count < WEAK
-        spare = band.need - int(weak.any(axis=1).sum())
-        yield (found[~weak] if spare > 0 else found.ravel()), (band.number << 20) | max(0, spare)
+        for least in range(WEAK, -1, -1):
+            weak = count < least
+            spare = band.need - int(weak.any(axis=1).sum())
+            if spare > 0:
+                break
+        yield found[~weak], (band.number << 20) | max(0, spare)
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
@@ -449,18 +454,24 @@ def _within_families(sets: DataFrame, families: DataFrame, linked: DataFrame, si
     return written(held.groupBy("family", "column", "row").applyInArrow(block, "a long, b long"), "partenum-united")
 
 
+def _in_stars(stars: DataFrame) -> DataFrame:
+    """``cls``, ``family``: the sets of each star, its centre included."""
+    return stars.select(F.col("b").alias("cls"), F.col("a").alias("family")).union(stars.select("a", "a").distinct())
+
+
 def similar_pairs(sets: DataFrame, stars: DataFrame, sim: Similarity) -> DataFrame:
     """``a``, ``b``: similar pairs that connect all sets that similar ones connect.
 
     Of the candidate stars (a, b, n) each set is compared with the centre with which it has most
-    signatures in common. What stays apart in a family of stars is held together by sketches,
-    and the families that these leave are compared in full, but for sets that are united.
+    signatures in common. What stays apart in a star is held together by sketches, and the
+    families that these leave are compared in full, but for sets that are united. Similar sets are
+    in one star at least, while stars that hang together by chance grow with the table.
     """
     first = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
     links = _compared(sets, _compared(sets, first, "sketch", may_reach(sim)), "data", does_reach(sim))
     named = lambda edges, name: components(edges).select(F.col("node").alias("cls"), F.col("component").alias(name))
     linked = named(links, "part")
-    open_ = _within_families(sets, named(stars, "family"), linked, sim, False)
+    open_ = _within_families(sets, _in_stars(stars), linked, sim, False)
     if open_.isEmpty():
         return links
     return links.union(_within_families(sets, named(links.union(open_), "family"), linked, sim, True))

@@ -332,6 +332,35 @@ def test_ngram_join(spark, docs, empty, width, num):
     assert ngram_join.similar_documents(empty).count() == 0
 
 
+def test_unlike_sets_share_no_signature():
+    """Many sets of few shingles a part have no group to spare; parts without a shingle are no likeness."""
+    sim, rng = ngram_join.Similarity(num=80, den=100, width=5), np.random.default_rng(11)
+    seen = collections.Counter()
+    for size in [*range(62, 81)] * 20:
+        members = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        for found, _ in ngram_join.signatures(members, sim):
+            seen.update(set(found.tolist()))
+    assert max(seen.values()) == 1
+
+
+def test_stars_that_meet_are_compared_apart(spark, monkeypatch):
+    """Sets that share no star aren't held together, however long the chain of stars between them."""
+    sim, held = ngram_join.Similarity(), []
+    compare = ngram_join._within_families
+
+    def seen(sets, families, *more):
+        held.append(max(r["count"] for r in families.groupBy("family").count().collect()))
+        return compare(sets, families, *more)
+
+    monkeypatch.setattr(ngram_join, "_within_families", seen)
+    members = [np.arange(100, dtype=np.uint64) + np.uint64(1000 * (k - (k == 9))) for k in range(12)]  # 8 and 9 are alike
+    sets = spark.createDataFrame([(k, ngram_join._sketch(m), m.tobytes()) for k, m in enumerate(members)], "cls long, sketch binary, data binary")
+    stars = spark.createDataFrame([(k, k + 1, 1) for k in range(11)], "a long, b long, n long")
+    links = {(r.a, r.b) for r in ngram_join.similar_pairs(sets, stars, sim).collect()}
+    assert links == {(8, 9)}
+    assert held[0] == 2
+
+
 def test_one_of_each_with_repeated_ids(spark):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
     rows = [(1, a), (2, a + " end"), (0, b), (1, b), (1, c), (1, c), (3, d), (3, d), (3, None), (1, ""), (None, a), (4, "four")]

@@ -68,6 +68,26 @@ def percentile_exc(df: DataFrame, value: Value, k: float) -> DataFrame:
     return ends.crossJoin(F.broadcast(share)).where("a is not null").select((F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
 
 
+def percentiles(df: DataFrame, value: Value, shares: dict[str, float], by: list[str], *figures: Column) -> DataFrame:
+    """``figures`` of each group ``by`` with PERCENTILE.INC of ``value`` as a column for each of ``shares``; null
+    where a group has no number. A null group is one."""
+    counts = value_counts(df, value, by)
+    ends = []
+    for i, share in enumerate(shares.values()):
+        spot = F.lit(float(share)) * (F.col("total") - 1)
+        for end, place in (("a", F.floor(spot)), ("b", F.ceil(spot))):
+            ends.append(F.max(F.when((place >= F.col("below")) & (place < F.col("below") + F.col("n")), F.col("v"))).alias(f"_{end}{i}"))
+    keys = spare(df, *[f"_by{i}" for i in range(len(by))])
+    found = counts.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.max("total").alias("total"), *ends)
+    shown = []
+    for i, (name, share) in enumerate(shares.items()):
+        spot = F.lit(float(share)) * (F.col("total") - 1)
+        part, a, b = spot - F.floor(spot), F.col(f"_a{i}"), F.col(f"_b{i}")
+        shown.append(F.when(part == 0, a).otherwise((1 - part) * a + part * b).alias(name))
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)])
+    return df.groupBy(*by).agg(*figures).join(found.select(*keys, *shown), same, "left").drop(*keys)
+
+
 def trimmed_mean(df: DataFrame, value: Value, percent: float) -> DataFrame:
     """TRIMMEAN: the mean without floor(n * percent / 2) values at each end; one row ``value``."""
     counts = value_counts(df, value).withColumn("cut", F.floor(F.col("total") * percent / 2))

@@ -91,7 +91,9 @@ def numbered_aggregates(spark, d):
 @query
 def shape_statistics(spark, d):
     x = number("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(rounded(over("SKEW", x), 5).alias("skew"), rounded(over("KURT", x), 5).alias("kurt"), rounded(over("PERCENTILE", x, 0.9), 4).alias("p90"), rounded(over("QUARTILE", x, 1), 4).alias("q1"))
+    figures = [rounded(over("SKEW", x), 5).alias("skew"), rounded(over("KURT", x), 5).alias("kurt")]
+    out = ranking.percentiles(table(spark, d, "lineitem"), x, {"p90": 0.9, "q1": 0.25}, ["l_returnflag"], *figures)
+    return out.select("l_returnflag", "skew", "kurt", *[rounded(F.col(c), 4).alias(c) for c in ("p90", "q1")])
 
 
 @query
@@ -591,8 +593,9 @@ def further_statistics(spark, d):
     y, x = number("l_extendedprice"), number("l_quantity")
     names = {"STDEV": 6, "STDEVP": 6, "VAR": 5, "VARP": 5}
     figures = [rounded(over(n, x), k).alias(n.lower()) for n, k in names.items()]
-    figures += [rounded(over("PERCENTILE.INC", y, 0.3), 4).alias("p30"), rounded(over("QUARTILE.INC", y, 3), 4).alias("q3"), rounded(over("AGGREGATE", 9, 6, x), 4).alias("total")]
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*figures)
+    total = rounded(over("AGGREGATE", 9, 6, x), 4).alias("total")
+    out = ranking.percentiles(table(spark, d, "lineitem"), y, {"p30": 0.3, "q3": 0.75}, ["l_returnflag"], *figures, total)
+    return out.select("l_returnflag", *map(str.lower, names), *[rounded(F.col(c), 4).alias(c) for c in ("p30", "q3")], "total")
 
 
 @query

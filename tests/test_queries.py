@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from gridloom.operators import formats, lookup
+from gridloom.operators import formats, lookup, ranking
 from gridloom.plans.oracle import ORACLE_SQL
 from gridloom.plans.queries import QUERIES
 from gridloom.values import number
@@ -70,3 +70,16 @@ def test_formats_of_a_null_group(spark):
     assert get(formats.top(rows, v, "c", 1, by=["g"])) == {1: False, 2: True, 3: True, 4: False}
     assert get(formats.against_average(rows, v, "c", by=["g"])) == {1: False, 2: True, 3: True, 4: False}
     assert get(formats.icon_set(rows, v, "c", by=["g"], stops=[("min", None), ("percentile", 100)])) == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_percentiles_of_ranges(spark):
+    """Groups (a null one too) against Spark's own, without an aggregate that holds a group's values at once."""
+    rows = [("a", float(k * k % 97)) for k in range(200)] + [(None, 3.0), (None, 5.0), ("b", 1.5), ("c", 2.0), ("c", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"low": 0.0, "q1": 0.25, "p30": 0.3, "top": 1.0}
+    got = ranking.percentiles(df, number("x"), shares, ["g"], F.count("*").alias("n"))
+    want = df.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile("x", F.lit(p)).alias(c) for c, p in shares.items()])
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    for name in ("shape_statistics", "further_statistics"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan

@@ -1,5 +1,6 @@
 """Literal cases through the row builders: (function, arguments, value or error code)."""
 
+import math
 import time
 
 import pytest
@@ -82,3 +83,28 @@ def test_roots_of_all_rows_at_once(spark):
     many = spark.range(0, 40_000, 1, 1).select(call("IRR", array(F.array(-F.col("id") - 1.0, *[(F.col("id") + 1) * 0.3] * 5))).column().alias("x"))
     began = time.time()
     assert many.agg(F.max("x") - F.min("x")).first()[0] < 1e-9 and time.time() - began < 8
+
+
+def test_whole_numbers_of_any_size(spark):
+    pairs = [(a, b) for a in (0, 1, 2, 12, 36, 2**31, 2**52 + 2, 2**53 - 1) for b in (0, 1, 7, 36, 3**33, 2**53 - 2)]
+    fibonacci = [1, 1]
+    while fibonacci[-1] < 2**52:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    pairs += list(zip(fibonacci, fibonacci[1:], strict=False)) + list(zip(fibonacci[1:], fibonacci, strict=False))
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "a double, b double")
+    got = rows.select("a", "b", call("GCD", number("a"), number("b")).column().alias("g")).collect()
+    assert all(r.g == math.gcd(int(r.a), int(r.b)) for r in got)
+    assert shown(spark, call("BASE", 2.0**60, 2)) == "1" + "0" * 60  # all digits, not the last 53
+    assert [shown(spark, call("BASE", n, r)) for n, r in ((0, 2), (35, 36), (255, 16), (-1, 2), (5, 40))] == ["0", "Z", "FF", NUM, NUM]
+    assert [shown(spark, call("DECIMAL", *x)) for x in (("12", 2), ("z", 36), ("2", 2), ("", 2), ("1", 1))] == [1, 35, NUM, NUM, NUM]
+    assert [shown(spark, call("ARABIC", x)) for x in ("mcmxciv", "AB", "")] == [1994, VALUE, None]
+
+
+def test_long_parts_are_computed_once(spark):
+    n = number(F.col("id") % 50 + 1)
+    built = [call("GCD", n, 36), call("LCM", n, 12), call("DECIMAL", call("BASE", n, 2), 2)]
+    few, many = (spark.range(0, k, 1, 4).select(*[v.column().alias(f"x{i}") for i, v in enumerate(built)]) for k in (10, 100_000))
+    few.write.format("noop").mode("overwrite").save()
+    began = time.time()
+    many.write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 6

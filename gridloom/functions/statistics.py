@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..values import DIV0, NA, NUM, VALUE, Value, finite, let, num, num0, result, text_of, truthy
+from ..values import DIV0, NA, NUM, VALUE, Value, finite, let, num, num0, or_error, result, text_of, truthy
 from .maths import _fold, _listed, _total, counts, steps, sums
 from .registry import CATALOG, aggregate, row
 
@@ -448,7 +448,7 @@ def _pair_row(names, f, least=1, args="known_ys, known_xs"):
     @row(*names, category=_C, args=args, mode="K")
     def build(a, b):
         s = _of_pairs(a, b, f)
-        return _number(s["out"], (s["n"] < least, DIV0), (s["out"].isNull(), DIV0))
+        return or_error("number", let(s, lambda s: F.when(s["n"] >= least, s["out"])), DIV0)
 
 
 def _nz(c: Column) -> Column:
@@ -466,7 +466,7 @@ _pair_row(["RSQ"], lambda n, my, mx, yy, xx, xy: xy * xy / _nz(xx * yy))
 @row("FORECAST", "FORECAST.LINEAR", category=_C, args="x, known_ys, known_xs", mode="K")
 def forecast_row(x, ys, xs):
     s = _of_pairs(ys, xs, lambda n, my, mx, yy, xx, xy: my + xy / _nz(xx) * (num0(x) - mx))
-    return _number(s["out"], (s["out"].isNull(), DIV0))
+    return or_error("number", s["out"], DIV0)
 
 
 # distributions
@@ -554,15 +554,13 @@ def norm_dist(v, mean, sd, cumulative=None):
 
 @row("NORM.S.INV", category=_C, args="probability")
 def norm_s_inv(v):
-    out = normal_quantile(finite(v))
-    return _number(out, (out.isNull(), NUM))
+    return or_error("number", normal_quantile(finite(v)), NUM)
 
 
 @row("NORM.INV", category=_C, args="probability, mean, standard_dev")
 def norm_inv(v, mean, sd):
     m, s = finite(mean), finite(sd)
-    out = m + normal_quantile(finite(v)) * F.when(s > 0, s)
-    return _number(out, (out.isNull(), NUM))
+    return or_error("number", m + normal_quantile(finite(v)) * F.when(s > 0, s), NUM)
 
 
 @row("CONFIDENCE.NORM", category=_C, args="alpha, standard_dev, size")

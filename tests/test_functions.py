@@ -108,3 +108,11 @@ def test_long_parts_are_computed_once(spark):
     began = time.time()
     many.write.format("noop").mode("overwrite").save()
     assert time.time() - began < 6
+
+
+def test_long_parts_are_written_once(spark):
+    """What a query shows of a function holds its long part once, not for the error too."""
+    rows = spark.range(3)
+    for v, part, most in ((call("FORECAST.LINEAR", 5, array(F.array("id", "id", F.col("id") + 3)), [1, 2, 3]), "arrays_zip(", 1), (call("NORM.INV", 0.5, number("id"), 2), "transform(array(", 2), (call("TANH", number("id")), "TANH(", 1)):
+        plan = rows.select(v.column().alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count(part) <= most, part

@@ -1,7 +1,7 @@
 """A corpus from raw documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that the next one gets, which are
-written as Parquet in between.
+written as Parquet in between. Stages that run Python bound the session's Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, ngram_join, rules, suffixes
-from gridloom.llm.common import table, written
+from gridloom.llm.common import small_batches, table, written
 from gridloom.llm.queries import vocabulary
 
 #: Near copies share four fifths of their five-word shingles.
@@ -21,16 +21,19 @@ PASSAGE_BYTES = 240
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the isolation forest accept."""
+    small_batches(spark)
     return rules.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs, NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur more than once."""
+    small_batches(spark)
     return suffixes.documents_without_repeats(docs, PASSAGE_BYTES)
 
 
@@ -42,6 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, ``ids`` (packed), ``n_tokens`` and digests; fails if the ids
     don't decode to the text."""
+    small_batches(spark)
     decoded = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), *vocabulary(), frugally=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select(

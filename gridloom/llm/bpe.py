@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, frugal
+from .common import KEPT, columns_of, frugal
 
 #: Pieces whose ids a worker remembers; then it forgets those that it has not met since it had
 #: half as many.
@@ -275,6 +275,7 @@ def pieces(text: str) -> list[str]:
 
 
 _MADE: dict[tuple, DuckBpe] = {}
+KEPT[__name__] = _MADE.clear
 
 
 def _coder(tokens: list[bytes], pattern: str, remembered: int = REMEMBERED, query_bytes: int = QUERY_BYTES) -> DuckBpe:

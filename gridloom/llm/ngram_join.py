@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import frugal, written
+from .common import KEPT, frugal, written
 from .graph import components
 
 #: A band ends at this many times its start.
@@ -66,6 +66,7 @@ class _WordHashes(dict):
 
 
 _KNOWN = _WordHashes()
+KEPT[__name__] = _KNOWN.clear
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:

@@ -1,5 +1,11 @@
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as pipeline
-from gridloom.llm import bpe
+from gridloom.llm import bpe, ngram_join, rules
+from gridloom.llm.common import frugal
 from gridloom.llm.queries import vocabulary
 
 
@@ -17,3 +23,35 @@ def test_stages(spark):
     texts = sorted((r.text or "") for r in docs.collect())
     back = sorted(bytes(r.decoded).decode() for r in bpe.bpe_decode(out.select("doc_id", "ids"), *vocabulary()).collect())
     assert texts == back
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "near_duplicates", "repeated_passages", "token_ids"])
+def test_workers_get_small_batches(spark, name):
+    """4 MB of texts reach a Python worker in parts, once a stage was built."""
+    d = "/root/testdata/sf0.001"
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        dict(pipeline.STAGES)[name](spark, spark.read.parquet(f"{d}/documents.parquet").limit(20), d)
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        rows = spark.range(200, numPartitions=1).selectExpr("repeat('x', 20000) AS text")
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 4_000_000 and max(got) < 1_200_000
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_a_worker_frees_what_others_kept():
+    """A tokenizer or word hashes of one stage don't stay beside the next stage's tasks."""
+
+    def coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches
+
+    coding.__module__ = bpe.__name__
+    bpe._MADE[("a",)] = object()
+    ngram_join._KNOWN[b"word"] = 1
+    assert list(frugal(coding)(iter([]))) == []
+    assert ("a",) in bpe._MADE and not ngram_join._KNOWN
+    assert list(frugal(rules._count_batches)(iter([]))) == []
+    assert not bpe._MADE

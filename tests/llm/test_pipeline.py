@@ -55,3 +55,16 @@ def test_a_worker_frees_what_others_kept():
     assert ("a",) in bpe._MADE and not ngram_join._KNOWN
     assert list(frugal(rules._count_batches)(iter([]))) == []
     assert not bpe._MADE
+
+
+def test_good_documents_take_one_worker_a_task(spark):
+    """And are those that the two steps of ``quality_rules`` keep."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    good = rules.good_documents(docs, labels)
+    assert good._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    judged = rules.quality_rules(docs, labels).where("kept").select("doc_id").collect()
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in judged)
+    wide = [r[:7] for r in rules.rule_statistics(docs).select(*rules.features()).collect()]
+    stats = rules.rule_statistics(docs).toPandas()
+    assert abs(rules._counted_features({c: stats[c].to_numpy() for c in rules.COUNTS}) - wide).max() < 1e-15

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import KEPT, frugal, written
+from .common import KEPT, frugal, released, written
 from .graph import components
 
 #: A band ends at this many times its start.
@@ -311,10 +311,10 @@ def candidate_stars(docs: DataFrame, sim: Similarity) -> DataFrame:
     return written(both.groupBy("a", "b").agg(F.count("*").alias("n")), "partenum-stars")
 
 
-def star_sets(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int) -> DataFrame:
+def star_sets(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int, held: list[str] | None = None) -> DataFrame:
     """``cls``, ``sketch``, ``data`` (the set) of the sets in ``stars`` (a, b), by one more pass over the
     texts; ``classes``: cls, doc_id (a document that has the set). The ids of these documents are
-    broadcast where they are few, so that texts stay where they are."""
+    broadcast where they are few, so that texts stay where they are. ``held``: as for ``written``."""
     members = stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct()
     ids = written(members.join(classes, "cls").select("doc_id", "cls"), "partenum-wanted")
     few = ids.count() <= SMALL
@@ -340,7 +340,13 @@ def star_sets(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int)
         _KNOWN.clear()
 
     found = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(frugal(run), "cls long, sketch binary, data binary")
-    return written(found, "partenum-sets")
+    return written(found, "partenum-sets", held)
+
+
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """``sets`` of the classes in ``ids`` (cls): where these are few, others stay where they are in a join with them."""
+    ids = ids.distinct()
+    return sets.join(F.broadcast(ids), "cls", "left_semi") if ids.count() <= SMALL else sets
 
 
 def _compared(sets: DataFrame, pairs: DataFrame, column: str, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
@@ -364,6 +370,7 @@ def _compared(sets: DataFrame, pairs: DataFrame, column: str, similar: Callable[
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    sets = _only(sets, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
     sent = members.union(centres).join(sets.select("cls", F.col(column).alias("data")), "cls").select(*names)
     dealt = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "kind")
     # a repeated row gave its set again
@@ -450,7 +457,7 @@ def _within_families(sets: DataFrame, families: DataFrame, linked: DataFrame, si
                     own[own == gone] = own[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    once = sets.groupBy("cls").agg(*(F.first(c).alias(c) for c in (("sketch", "data") if exact else ("sketch",))))
+    once = _only(sets, where.select("cls")).groupBy("cls").agg(*(F.first(c).alias(c) for c in (("sketch", "data") if exact else ("sketch",))))
     held = left.union(right).join(once, "cls")
     return written(held.groupBy("family", "column", "row").applyInArrow(block, "a long, b long"), "partenum-united")
 
@@ -498,7 +505,9 @@ def _in_components(docs: DataFrame, sim: Similarity) -> DataFrame:
     rows = written(shingle_classes(docs, sim), "shingles")
     classes = written(rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
     stars = candidate_stars(docs, sim)
-    links = similar_pairs(star_sets(docs, classes, stars, sim.width), stars, sim)
+    held: list[str] = []
+    links = similar_pairs(star_sets(docs, classes, stars, sim.width, held), stars, sim)
+    released(docs.sparkSession, held)
     named = classes.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "component").select("cls", "component", "component_id")

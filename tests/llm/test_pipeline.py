@@ -1,11 +1,14 @@
+import os
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from gridloom.llm import bpe, ngram_join, rules
-from gridloom.llm.common import frugal
+from gridloom.llm import bpe, ngram_join, rules, suffixes
+from gridloom.llm.common import frugal, released, shared_dir, written
 from gridloom.llm.queries import vocabulary
 
 
@@ -68,3 +71,46 @@ def test_good_documents_take_one_worker_a_task(spark):
     wide = [r[:7] for r in rules.rule_statistics(docs).select(*rules.features()).collect()]
     stats = rules.rule_statistics(docs).toPandas()
     assert abs(rules._counted_features({c: stats[c].to_numpy() for c in rules.COUNTS}) - wide).max() < 1e-15
+
+
+def tables_in(spark) -> set[str]:
+    place = shared_dir(spark).removeprefix("file://") + "/gridloom"
+    return {f"{place}/{x}" for x in os.listdir(place)} if os.path.isdir(place) else set()
+
+
+def test_stages_keep_no_tables_that_nothing_reads(spark):
+    """Neither suffix arrays nor sets nor windows stay on the shared disk beside later stages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 10**6).withColumn("text", F.concat("text", F.lit(" and more"))))
+    before = tables_in(spark)
+    ngram_join.one_of_each(docs, pipeline.NEAR)
+    out = suffixes.documents_without_repeats(docs, pipeline.PASSAGE_BYTES)
+    left = {os.path.basename(x).rsplit("-", 1)[0] for x in tables_in(spark) - before}
+    assert not left & {"suffix-entries", "suffix-family", "suffix-lists", "suffix-shared", "suffix-found", "partenum-sets"}
+    assert out.count() > 0
+
+
+def test_a_family_keeps_its_levels_alone(spark, tmp_path):
+    family = suffixes.SuffixFamily(spark, f"file://{tmp_path}/family")
+    for batch in range(4):
+        rows = spark.createDataFrame([(k, bytes([batch]), k, 1) for k in (1, 2, 2, batch)], "key long, h binary, at long, n long")
+        family.add(rows)
+        assert set(os.listdir(tmp_path / "family")) == {"levels", *(place for _, place in family.levels)}
+    assert family.entries().count() == 10  # equal rows once
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, was = [], spark.conf.get(key)
+    files = lambda: sum("shuffle_" in str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    out = written(spark.range(1000).repartition(3, "id"), "kept", held)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(key) == was and out.count() == 1000
+    place = held[0].removeprefix("file://")
+    assert os.path.isdir(place)
+    released(spark, held)
+    assert not held and not os.path.exists(place)
